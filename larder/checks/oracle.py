@@ -650,6 +650,10 @@ SQL["rolling_mean_calendar"] = of_panel(
 SQL["rolling_std"] = of_panel(
     *[r(f"STDDEV_SAMP(Sales) {before(k)}", name=f"rolling_std_{k}") for k in P.STD_WINDOWS]
 )
+SQL["rolling_moments"] = of_panel(
+    *[r(f"AVG(Sales) {before(k)}", name=f"rolling_mean_{k}") for k in P.MEAN_WINDOWS],
+    *[r(f"STDDEV_SAMP(Sales) {before(k)}", name=f"rolling_std_{k}") for k in P.STD_WINDOWS],
+)
 SQL["rolling_min_max"] = of_panel(
     f"MIN(Sales) {before(30)} AS rolling_min_30", f"MAX(Sales) {before(30)} AS rolling_max_30"
 )

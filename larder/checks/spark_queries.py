@@ -602,6 +602,16 @@ def rolling_std(spark, sf):
     return rounded(_with(rolled, [f"rolling_std_{k}" for k in P.STD_WINDOWS]))
 
 
+@query
+def rolling_moments(spark, sf):
+    rolled = features.add_rolling_moments(
+        panel.store_days(spark, sf), "Sales", P.MEAN_WINDOWS, P.STD_WINDOWS
+    )
+    names = [f"rolling_mean_{k}" for k in P.MEAN_WINDOWS]
+    names += [f"rolling_std_{k}" for k in P.STD_WINDOWS]
+    return rounded(_with(rolled, names))
+
+
 @query
 def rolling_min_max(spark, sf):
     rolled = features.add_rolling(panel.store_days(spark, sf), "Sales", "min", [30])

@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -103,19 +104,13 @@ def add_lags(
     return df.withColumns({f"{column.lower()}_lag_{k}": lagged(k) for k in lags})
 
 
-def _lower_median(column: str, w: WindowSpec) -> Column:
-    # The frame holds a fixed, small number of rows, so its sorted values fit in one array.
-    ordered = F.sort_array(F.collect_list(column).over(w))
-    middle = F.ceil(F.size(ordered) / 2).cast("int")
-    return F.when(middle > 0, F.element_at(ordered, F.greatest(middle, F.lit(1))))
-
-
 WINDOW_STATS = {
     "mean": lambda c, w: F.avg(c).over(w),
     "std": lambda c, w: F.stddev_samp(c).over(w),
     "min": lambda c, w: F.min(c).over(w),
     "max": lambda c, w: F.max(c).over(w),
-    "median": _lower_median,
+    # The lower median; exact, as a frame holds far fewer values than the sketch keeps.
+    "median": lambda c, w: F.percentile_approx(c, 0.5).over(w),
 }
 
 
@@ -134,19 +129,83 @@ def add_rolling(
     )
 
 
+def _shared_frame(k: int, windows: Sequence[int]) -> int:
+    """The shortest of the windows that fits two or three times into ``k``, or ``k`` itself."""
+    return min((j for j in windows if k in (2 * j, 3 * j)), default=k)
+
+
+def add_rolling_moments(
+    df: DataFrame,
+    column: str,
+    means: Sequence[int],
+    stds: Sequence[int],
+    name: str = "rolling_{stat}_{k}",
+) -> DataFrame:
+    """Means and standard deviations of the k preceding rows.
+
+    Gives what ``add_rolling`` gives, with less work: Spark evaluates a sliding frame afresh for
+    every row, so a frame of 90 costs 90 steps per row. A frame that is two or three times as
+    long as another is merged here from that frame's count, sum and squared deviations, taken at
+    the current row and at rows one and two frame lengths earlier.
+    """
+    windows = sorted({*means, *stds})
+    source = {k: _shared_frame(k, windows) for k in windows}
+    frames = sorted(set(source.values()))
+    base = {}
+    for j in frames:
+        w = preceding(j)
+        base[f"_n_{j}"] = F.count(column).over(w)
+        base[f"_sum_{j}"] = F.sum(column).over(w)
+        base[f"_dev_{j}"] = F.var_pop(column).over(w) * F.count(column).over(w)
+    earlier = {
+        f"{part}_{j}_{i}": F.lag(f"{part}_{j}", i * j).over(by_store())
+        for k, j in source.items()
+        for i in range(1, k // j)
+        for part in ("_n", "_sum", "_dev")
+    }
+    zero = F.lit(0)
+
+    def parts(kind: str, k: int) -> list[Column]:
+        j = source[k]
+        names = [f"{kind}_{j}", *[f"{kind}_{j}_{i}" for i in range(1, k // j)]]
+        return [F.coalesce(n, zero) for n in names]
+
+    def total(kind: str, k: int) -> Column:
+        return reduce(lambda a, b: a + b, parts(kind, k))
+
+    def mean(k: int) -> Column:
+        return F.when(total("_n", k) > 0, total("_sum", k) / total("_n", k))
+
+    def std(k: int) -> Column:
+        n, overall = total("_n", k), mean(k)
+        deviations = total("_dev", k)
+        if k != source[k]:
+            for rows, part in zip(parts("_n", k), parts("_sum", k)):
+                gap = F.when(rows > 0, part / rows - overall).otherwise(0.0)
+                deviations = deviations + rows * gap * gap
+        return F.when(n > 1, F.sqrt(deviations / (n - 1)))
+
+    merged = {name.format(stat="mean", k=k): mean(k) for k in means}
+    merged |= {name.format(stat="std", k=k): std(k) for k in stds}
+    return df.withColumns(base).withColumns(earlier).withColumns(merged).drop(*base, *earlier)
+
+
 def add_rolling_features(df: DataFrame, calendar: bool = False) -> DataFrame:
     """The twelve rolling features and the promotion share, all on one partitioning."""
+    if calendar:
+        df = add_rolling(df, "Sales", "mean", MEAN_WINDOWS, calendar=True)
+        df = add_rolling(df, "Sales", "std", STD_WINDOWS, calendar=True)
+    else:
+        df = add_rolling_moments(df, "Sales", MEAN_WINDOWS, STD_WINDOWS)
     steps = [
-        ("Sales", "mean", MEAN_WINDOWS, "rolling_{stat}_{k}"),
-        ("Sales", "std", STD_WINDOWS, "rolling_{stat}_{k}"),
-        ("Sales", "min", [30], "rolling_{stat}_{k}"),
-        ("Sales", "max", [30], "rolling_{stat}_{k}"),
-        ("Sales", "median", [30], "rolling_{stat}_{k}"),
-        ("Customers", "mean", [30], "rolling_customers_{stat}_{k}"),
-        ("Promo", "mean", [30], "promo_frequency_{k}d"),
+        ("Sales", "min", "rolling_{stat}_{k}"),
+        ("Sales", "max", "rolling_{stat}_{k}"),
+        ("Sales", "median", "rolling_{stat}_{k}"),
+        ("Customers", "mean", "rolling_customers_{stat}_{k}"),
+        ("Promo", "mean", "promo_frequency_{k}d"),
     ]
-    for column, stat, windows, name in steps:
-        df = add_rolling(df, column, stat, windows, name, calendar)
+    for column, stat, name in steps:
+        df = add_rolling(df, column, stat, [30], name, calendar)
     return df
 
 
