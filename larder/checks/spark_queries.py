@@ -84,9 +84,28 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     return features.build_features(silver_sales(spark, sf), silver_stores(spark, sf), AT)
 
 
-def predictions(spark: SparkSession, sf: str) -> DataFrame:
+FORECAST_INPUTS = [
+    "Store",
+    "Date",
+    "Sales",
+    "Promo",
+    "rolling_mean_30",
+    "rolling_mean_7",
+    "sales_lag_7",
+    "demand_volatility",
+    "rolling_std_30",
+    "sales_per_customer",
+]
+
+
+def gold_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The features forecasts and reports need, written once since they are read several times."""
+    return tables.materialize(gold(spark, sf).select(*FORECAST_INPUTS), "gold")
+
+
+def forecasts(features_table: DataFrame, *keep: str) -> DataFrame:
     """The newest fifth of the days with three forecasts that need no training."""
-    _, newest = evaluate.time_split(gold(spark, sf))
+    _, newest = evaluate.time_split(features_table)
     wide = newest.select(
         "Store",
         "Date",
@@ -94,13 +113,20 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
         F.col("rolling_mean_30").alias("predicted_sales_xgboost"),
         F.col("rolling_mean_7").alias("predicted_sales_rf"),
         F.col("sales_lag_7").alias("predicted_sales_lr"),
+        *keep,
     )
     return evaluate.add_errors(wide)
 
 
+def predictions(spark: SparkSession, sf: str) -> DataFrame:
+    return forecasts(gold_table(spark, sf))
+
+
 def latest(spark: SparkSession, sf: str, rows: int = P.FORECAST_ROWS) -> DataFrame:
-    enriched = inventory.enrich(predictions(spark, sf), gold(spark, sf))
-    return inventory.latest_forecast(inventory.roll_forward(enriched), rows)
+    known = gold_table(spark, sf)
+    # The forecasts carry the volatility along, which saves joining it on again.
+    carried = forecasts(known, "demand_volatility")
+    return inventory.latest_forecast(inventory.roll_forward(carried), rows)
 
 
 def stock_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -944,8 +970,8 @@ def prediction_table(spark, sf):
 
 @query
 def enrich_predictions(spark, sf):
-    known = gold(spark, sf).filter("Store % 25 != 0")
-    return rounded(inventory.enrich(predictions(spark, sf), known))
+    known = gold_table(spark, sf)
+    return rounded(inventory.enrich(forecasts(known), known.filter("Store % 25 != 0")))
 
 
 @query
@@ -1160,7 +1186,8 @@ def importance_rank(spark, sf):
 
 @query
 def promo_analysis(spark, sf):
-    return rounded(reports.promo_analysis(predictions(spark, sf), gold(spark, sf)))
+    known = gold_table(spark, sf)
+    return rounded(reports.promo_analysis(forecasts(known), known))
 
 
 @query

@@ -15,7 +15,10 @@ DEFAULT = InventoryPolicy()
 
 
 def enrich(predictions: DataFrame, features: DataFrame) -> DataFrame:
-    """Predictions with the volatility of the same store and day, where there is one."""
+    """Predictions with the volatility of the same store and day, where there is one.
+
+    Not needed where the predictions were made with the volatility carried along.
+    """
     volatility = features.select("Store", "Date", "demand_volatility", "rolling_std_30")
     return predictions.join(volatility, ["Store", "Date"], "left")
 

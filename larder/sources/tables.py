@@ -56,11 +56,15 @@ def write_table(
     fmt: str = "parquet",
     path: str | None = None,
     partition_by: list[str] | None = None,
+    bucket_by: tuple[int, list[str]] | None = None,
+    sort_by: list[str] | None = None,
 ) -> DataFrame:
     """Save a table and return it read back.
 
     ``overwrite`` replaces data and schema. ``append`` adds rows by column position, so the
-    column names are checked against the existing table first.
+    column names are checked against the existing table first. ``bucket_by`` is a number of
+    buckets and their columns: later joins, groupings and windows by those columns then need no
+    shuffle. Pass data already partitioned alike, or every task writes a file per bucket.
     """
     spark = df.sparkSession
     if mode == "append" and spark.catalog.tableExists(name):
@@ -73,6 +77,11 @@ def write_table(
         writer = writer.option("path", path)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    if bucket_by:
+        buckets, columns = bucket_by
+        writer = writer.bucketBy(buckets, *columns)
+        if sort_by:
+            writer = writer.sortBy(*sort_by)
     writer.saveAsTable(name)
     return spark.table(name)
 
