@@ -498,7 +498,7 @@ def rule_audit(spark, sf):
 
 @query
 def clean_sales(spark, sf):
-    return timeless(cleaning.clean_sales(_text_dates(spark, sf), AT))
+    return timeless(cleaning.clean_sales(_text_dates(spark, sf), AT, stage=tables.materialize))
 
 
 # --- silver: stores --------------------------------------------------------------------------
@@ -796,7 +796,8 @@ def corr_topk(spark, sf):
 @query
 def corr_matrix(spark, sf):
     names = ["Sales", *P.CORRELATED_FEATURES]
-    return rounded(analysis.correlation_matrix(gold(spark, sf), names))
+    known = tables.materialize(gold(spark, sf).select(*names), "correlated")
+    return rounded(analysis.correlation_matrix(known, names))
 
 
 @query

@@ -5,7 +5,7 @@ Predicates follow SQL's three-valued logic: a row whose rule evaluates to NULL i
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
@@ -142,16 +142,19 @@ def apply_sales_rules(df: DataFrame) -> DataFrame:
 
 
 def clean_sales(
-    df: DataFrame, processed_at: datetime | None = None, exact_outliers: bool = True
+    df: DataFrame,
+    processed_at: datetime | None = None,
+    exact_outliers: bool = True,
+    stage: Callable[[DataFrame], DataFrame] = lambda rows: rows,
 ) -> DataFrame:
     """All sales rules in order.
 
-    The outlier threshold is a quantile of the cleaned rows, so this reads the input once for
-    the rows and again for the threshold. A job over a large table had better write the result
-    of ``apply_sales_rules`` and flag outliers on that table, as ``larder.plans.medallion`` does.
+    The outlier threshold is a quantile of the cleaned rows. ``stage`` may write those rows and
+    read them back (``larder.sources.tables.materialize`` does): the passes that find the
+    quantile then read one column of a table instead of cleaning everything again.
     """
-    cleaned = apply_sales_rules(df)
-    flagged = flag_above_quantile(cleaned, "Sales", OUTLIER_QUANTILE, exact=exact_outliers)
+    rows = stage(apply_sales_rules(df))
+    flagged = flag_above_quantile(rows, "Sales", OUTLIER_QUANTILE, exact=exact_outliers)
     return stamp(flagged, processed_at)
 
 

@@ -163,31 +163,34 @@ def add_rolling_moments(
         for i in range(1, k // j)
         for part in ("_n", "_sum", "_dev")
     }
-    zero = F.lit(0)
 
     def parts(kind: str, k: int) -> list[Column]:
         j = source[k]
         names = [f"{kind}_{j}", *[f"{kind}_{j}_{i}" for i in range(1, k // j)]]
-        return [F.coalesce(n, zero) for n in names]
+        return [F.coalesce(n, F.lit(0)) for n in names]
 
-    def total(kind: str, k: int) -> Column:
-        return reduce(lambda a, b: a + b, parts(kind, k))
+    def add(columns: Sequence[Column]) -> Column:
+        return reduce(lambda a, b: a + b, columns)
 
     def mean(k: int) -> Column:
-        return F.when(total("_n", k) > 0, total("_sum", k) / total("_n", k))
+        return F.when(F.col(f"_rows_{k}") > 0, add(parts("_sum", k)) / F.col(f"_rows_{k}"))
 
     def std(k: int) -> Column:
-        n, overall = total("_n", k), mean(k)
-        deviations = total("_dev", k)
+        squares = parts("_dev", k)
         if k != source[k]:
-            for rows, part in zip(parts("_n", k), parts("_sum", k)):
-                gap = F.when(rows > 0, part / rows - overall).otherwise(0.0)
-                deviations = deviations + rows * gap * gap
-        return F.when(n > 1, F.sqrt(deviations / (n - 1)))
+            for n, part in zip(parts("_n", k), parts("_sum", k)):
+                gap = part / n - F.col(f"_mean_{k}")
+                squares.append(F.when(n > 0, n * gap * gap).otherwise(0.0))
+        freedom = F.col(f"_rows_{k}") - 1
+        return F.when(freedom > 0, F.sqrt(add(squares) / freedom))
 
-    merged = {name.format(stat="mean", k=k): mean(k) for k in means}
-    merged |= {name.format(stat="std", k=k): std(k) for k in stds}
-    return df.withColumns(base).withColumns(earlier).withColumns(merged).drop(*base, *earlier)
+    rows = {f"_rows_{k}": add(parts("_n", k)) for k in windows}
+    centres = {f"_mean_{k}": mean(k) for k in windows}
+    named = {name.format(stat="mean", k=k): F.col(f"_mean_{k}") for k in means}
+    named |= {name.format(stat="std", k=k): std(k) for k in stds}
+    for step in (base, earlier, rows, centres, named):
+        df = df.withColumns(step)
+    return df.drop(*base, *earlier, *rows, *centres)
 
 
 def add_rolling_features(df: DataFrame, calendar: bool = False) -> DataFrame:
@@ -365,12 +368,14 @@ def build_features(
 
     Windows come first, over the sales columns alone: the shuffle by Store then carries no store
     attribute, and a store table too large to broadcast is joined on that same partitioning.
+    Projections are spread between the windows because Spark generates one method for all that
+    lies between two of them, and the JVM leaves methods over 8,000 bytes interpreted.
     """
     panel = add_lags(sales, "Sales", SALES_LAGS, calendar)
     panel = add_lags(panel, "Customers", CUSTOMER_LAGS, calendar)
+    panel = add_calendar(add_growth(panel, "Sales", GROWTH_LAGS))
     panel = add_store_average(add_rolling_features(panel, calendar))
     panel = join_dim(drop_warmup(panel), stores)
-    panel = add_growth(add_calendar(panel), "Sales", GROWTH_LAGS)
     panel = add_cyclic(add_momentum(add_volatility(panel)))
     return stamp_features(add_domain(panel), built_at)
 

@@ -23,7 +23,6 @@ from larder.operators import (
     inventory,
     models,
     quality,
-    quantile,
 )
 from larder.plans import reports
 from larder.sources import files, tables
@@ -103,16 +102,11 @@ def profile_bronze(run: Run) -> None:
 
 
 def build_silver(run: Run) -> None:
-    """Clean sales and stores.
-
-    The cleaned rows are written before the outlier threshold is taken from them: the passes
-    that find it then read one column of a table instead of cleaning everything again.
-    """
+    """Clean sales and stores, and keep the audit of every sales rule."""
     raw = run.table("bronze.raw_sales")
     run.save(cleaning.audit_rules(raw), "silver.cleaning_audit")
-    rows = tables.materialize(cleaning.apply_sales_rules(raw), "cleaned")
-    flagged = quantile.flag_above_quantile(rows, "Sales", P.OUTLIER_QUANTILE)
-    sales = run.save(cleaning.stamp(flagged, run.started_at), "silver.cleaned_sales")
+    cleaned = cleaning.clean_sales(raw, run.started_at, stage=tables.materialize)
+    sales = run.save(cleaned, "silver.cleaned_sales")
     stores = run.save(
         cleaning.clean_stores(run.table("bronze.raw_stores"), run.started_at),
         "silver.cleaned_stores",
