@@ -133,7 +133,7 @@ def build_gold(run: Run) -> None:
         quality_layer="gold",
         feature_version=P.FEATURE_VERSION,
     )
-    tables.analyze(run.spark, "gold.demand_features")
+    tables.analyze(run.spark, "gold.demand_features", ["Store", "Date", "Promo"])
     run.save(
         analysis.top_correlations(gold, "Sales", P.CORRELATED_FEATURES),
         "gold.feature_correlation_analysis",
@@ -211,8 +211,14 @@ def build_recommendations(run: Run, stock: DataFrame | None = None) -> None:
     run.describe("ml.business_impact_analysis", "Savings and avoided stock-outs over time")
 
 
-def register_views(run: Run) -> dict[str, DataFrame]:
-    """The dashboard queries as session views."""
+# Reports that other sessions read: saved as tables, beside the views of this session.
+SAVED_REPORTS = [
+    "kpi_summary", "accuracy_by_store_type", "savings_by_store", "promo_effectiveness",
+]
+
+
+def build_reports(run: Run) -> dict[str, DataFrame]:
+    """The dashboard queries as session views, some of them saved as well."""
     predictions = run.table("ml.demand_predictions")
     stores = run.table("silver.cleaned_stores")
     gold = run.table("gold.demand_features")
@@ -233,6 +239,8 @@ def register_views(run: Run) -> dict[str, DataFrame]:
         "competition_impact": reports.competition_impact(predictions, stores),
         "impact_latest": reports.impact_latest(run.table("ml.business_impact_analysis")),
     }
+    for name in SAVED_REPORTS:
+        run.save(views[name], f"analytics.{name}")
     return {name: tables.register_view(df, name) for name, df in views.items()}
 
 
@@ -250,4 +258,4 @@ def build_all(
     build_gold(run)
     build_models(run, overrides)
     build_recommendations(run, stock)
-    return register_views(run)
+    return build_reports(run)

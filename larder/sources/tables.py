@@ -110,7 +110,7 @@ def table_detail(spark: SparkSession, name: str, detail: str) -> DataFrame:
 def analyze(spark: SparkSession, name: str, columns: list[str] | str | None = None) -> DataFrame:
     """Collect table statistics, and column statistics for ``columns`` or ``"all"``."""
     scope = ""
-    if columns == "all":
+    if columns == "all":  # one pass over every column, best kept to narrow tables
         scope = " FOR ALL COLUMNS"
     elif columns:
         scope = " FOR COLUMNS " + ", ".join(columns)
@@ -130,7 +130,11 @@ def compact(
 
     The new files are complete before the table is pointed at them, so a reader sees the old or
     the new set and a failed run leaves the table as it was. The old files stay until removed.
+    Bucketed and partitioned tables, whose files have to keep their layout, are refused.
     """
+    placed = [c.name for c in spark.catalog.listColumns(name) if c.isBucket or c.isPartition]
+    if placed:
+        raise ValueError(f"{name} is laid out by {placed}; write it again instead")
     spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS NOSCAN")
     size = table_detail(spark, name, "Statistics").select(
         F.regexp_extract("statistics", r"(\d+) bytes", 1).cast("bigint").alias("size")

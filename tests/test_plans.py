@@ -99,7 +99,9 @@ def test_the_job_fills_every_table(spark, views):
         "gold.demand_features", "gold.feature_correlation_analysis", "gold.feature_dictionary",
         "gold.feature_validation_report", "gold.feature_importance_xgboost", "ml.model_comparison",
         "ml.demand_predictions", "ml.inventory_recommendations", "ml.business_impact_analysis",
-        "ml.model_runs", "analytics.data_exploration_summary",
+        "ml.model_runs", "analytics.data_exploration_summary", "analytics.kpi_summary",
+        "analytics.accuracy_by_store_type", "analytics.savings_by_store",
+        "analytics.promo_effectiveness",
     }
     for name in tables_built:
         assert not spark.table(name).isEmpty(), name

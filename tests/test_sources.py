@@ -71,6 +71,15 @@ def test_compaction_keeps_rows_in_fewer_files(spark):
     assert tables.table_detail(spark, "t_compact", "Comment").first().comment == "kept"
 
 
+def test_compaction_refuses_tables_with_a_layout(spark):
+    rows = spark.range(10).withColumn("part", F.col("id") % 2)
+    tables.write_table(rows, "t_buckets", bucket_by=(2, ["id"]))
+    tables.write_table(rows, "t_parts", partition_by=["part"])
+    for name in ("t_buckets", "t_parts"):
+        with pytest.raises(ValueError, match="laid out"):
+            tables.compact(spark, name, tables.shared_folder(spark, "refused"))
+
+
 def test_layers_and_views(spark):
     names = {r.namespace for r in tables.ensure_layers(spark).collect()}
     assert set(P.LAYERS) <= names
