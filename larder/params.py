@@ -174,6 +174,7 @@ CRITICAL_FEATURES = [
     "demand_volatility", "sales_momentum",
 ]
 RANGED_FEATURES = ["demand_volatility", "sales_momentum", "competition_pressure"]
+# Suffixes of the prediction columns, under the names that dashboards read.
 MODEL_COLUMNS = {"Linear Regression": "lr", "Random Forest": "rf", "Boosted Trees": "xgboost"}
 PRIMARY_MODEL = "xgboost"
 MAPE_TARGET = 15.0

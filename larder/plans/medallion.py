@@ -53,11 +53,17 @@ class Run:
         path = None if self.root is None else f"{self.root}/{name.replace('.', '/')}"
         return tables.write_table(df, name, mode, path=path, **options)
 
-    def save_by_store(self, df: DataFrame, name: str) -> DataFrame:
-        """Save bucketed by store, so that store windows over the table need no shuffle."""
+    def save_by_store(self, df: DataFrame, name: str, placed: bool = False) -> DataFrame:
+        """Save bucketed by store, so that store windows over the table need no shuffle.
+
+        There are as many buckets as shuffle partitions, and both place a store by the same
+        hash. ``placed`` says that ``df`` comes out of store windows: each bucket then already
+        lies within one task, and the rows are not shuffled again.
+        """
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        placed = df.repartition(buckets, "Store")
-        return self.save(placed, name, bucket_by=(buckets, ["Store"]), sort_by=["Store", "Date"])
+        if not placed:
+            df = df.repartition(buckets, "Store")
+        return self.save(df, name, bucket_by=(buckets, ["Store"]), sort_by=["Store", "Date"])
 
     def describe(self, name: str, text: str, **tags: str) -> None:
         tables.set_comment(self.spark, name, text)
@@ -126,7 +132,7 @@ def build_gold(run: Run) -> None:
     sales = run.table("silver.cleaned_sales").drop(*P.INGEST_COLUMNS)
     stores = run.table("silver.cleaned_stores").drop(*P.INGEST_COLUMNS)
     built = features.build_features(sales, stores, run.started_at)
-    gold = run.save_by_store(built, "gold.demand_features")
+    gold = run.save_by_store(built, "gold.demand_features", placed=True)
     run.describe(
         "gold.demand_features",
         "Features per store and day",

@@ -43,6 +43,20 @@ def test_large_store_table_joins_on_the_same_shuffle(spark):
     assert len(exchanges) == 2  # the facts once, the stores once
 
 
+def test_a_supplier_with_a_third_of_all_lines(spark, tmp_path):
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    hot = lines.filter("l_suppkey = 1")
+    extra = spark.range(6).join(hot).drop("id")  # about 600 lines, six times over
+    lines.unionByName(extra).write.parquet(str(tmp_path / "lineitem.parquet"))
+    days = panel.store_days(spark, str(tmp_path))
+    counts = {r.Store: r.n for r in days.groupBy("Store").agg(F.count("*").alias("n")).collect()}
+    plain = panel.store_days(spark, SF)
+    assert counts[1] == plain.filter("Store = 1").count()
+    both = days.join(plain.select("Store", "Date", F.col("Sales").alias("once")), ["Store", "Date"])
+    assert both.filter("Store = 1 AND Sales <> once * 7").isEmpty()
+    assert both.filter("Store <> 1 AND Sales <> once").isEmpty()
+
+
 def test_dedupe_cuts_copies_before_the_shuffle(spark):
     rows = spark.createDataFrame([(1, "d", 1.0)], "Store int, Date string, Sales double")
     plan = plan_of(cleaning.dedupe(rows))
@@ -122,6 +136,11 @@ def test_the_job_keeps_its_rows(spark, views):
     assert top.Model in {"Baseline", *P.MODEL_COLUMNS}
 
 
+def test_each_bucket_of_the_features_is_one_file(spark, views):
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(spark.table("gold.demand_features").inputFiles()) <= buckets
+
+
 def test_store_windows_over_the_saved_tables_need_no_shuffle(spark, views):
     gold = spark.table("gold.demand_features")
     assert hash_exchanges(plan_of(features.add_lags(gold.select("Store", "Date", "Sales"), "Sales", [3]))) == []
