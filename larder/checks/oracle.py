@@ -85,7 +85,7 @@ CTES["silver_sales"] = f"""
 SELECT * REPLACE ({DECODED} AS StateHoliday), {FLAGS} FROM kept"""
 
 CTES["gapped_stores"] = """
-SELECT * REPLACE (CASE WHEN Store % 9 <> 0 THEN Store END AS Store) FROM raw_stores"""
+SELECT * REPLACE (CASE WHEN CompetitionDistance IS NOT NULL THEN Store END AS Store) FROM raw_stores"""
 
 PROXIMITY = """CASE WHEN CompetitionDistance < 1000 THEN 'Very Close'
      WHEN CompetitionDistance < 5000 THEN 'Close' WHEN CompetitionDistance < 10000 THEN 'Moderate'
@@ -511,7 +511,7 @@ SELECT {r("MIN(demand_volatility)", name="min_demand_volatility")},
 FROM gold"""
 SQL["orphan_check"] = """
 SELECT DISTINCT Store FROM raw_sales
-WHERE Store NOT IN (SELECT Store FROM raw_stores WHERE Store % 25 <> 0)"""
+WHERE Store NOT IN (SELECT Store FROM raw_stores WHERE CompetitionDistance IS NOT NULL)"""
 SQL["invalid_open_sales"] = """
 SELECT COUNT(*) AS violations, CASE WHEN COUNT(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status
 FROM silver_sales WHERE Open = 0 AND Sales > 0"""
@@ -535,7 +535,7 @@ UNION ALL SELECT 'Null Check Status', CASE WHEN {" AND ".join(
 # --- silver ----------------------------------------------------------------------------------
 
 SQL["parse_date"] = """
-SELECT Store, CASE WHEN Store % 20 <> 3 THEN Date END AS Date, Sales FROM raw_sales"""
+SELECT Store, CASE WHEN Customers <= 70 THEN Date END AS Date, Sales FROM raw_sales"""
 SQL["drop_closed_sales"] = "SELECT * FROM raw_sales WHERE NOT (Open = 0 AND Sales > 0)"
 SQL["drop_negative_sales"] = "SELECT * FROM raw_sales WHERE Sales >= 0"
 SQL["drop_null_critical"] = """
@@ -578,7 +578,7 @@ SELECT step, ['closed_with_sales', 'negative_sales', 'null_critical', 'duplicate
        CAST(n AS BIGINT) AS rows_removed, {r("rows_after * 100.0 / total", name="retention_pct")}
 FROM running"""
 SQL["clean_sales"] = f"""
-WITH usable AS (SELECT * FROM silver_sales WHERE Store % 20 <> 3)
+WITH usable AS (SELECT * FROM silver_sales WHERE Customers <= 70)
 SELECT *, CASE WHEN Sales > (SELECT QUANTILE_CONT(Sales, 0.99) FROM usable) THEN 1 ELSE 0 END
               AS is_outlier, {STAMP}
 FROM usable"""
@@ -614,7 +614,7 @@ SELECT p.*, {STAMP}, s.* EXCLUDE (Store, data_quality_layer, data_quality_status
        s.data_quality_layer AS store_data_quality_layer,
        s.data_quality_status AS store_data_quality_status,
        s.cleaning_rules_version AS store_cleaning_rules_version
-FROM panel p LEFT JOIN (SELECT * FROM silver_stores WHERE Store % 25 <> 0) s ON p.Store = s.Store"""
+FROM panel p LEFT JOIN (SELECT * FROM silver_stores WHERE has_competition = 1) s ON p.Store = s.Store"""
 
 
 def of_panel(*columns: str) -> str:
@@ -802,7 +802,7 @@ SQL["enrich_predictions"] = f"""
 SELECT p.Store, p.Date, {", ".join(r(f"p.{c}", name=c) for c in PREDICTION_COLUMNS)},
        {r("g.demand_volatility", name="demand_volatility")},
        {r("g.rolling_std_30", name="rolling_std_30")}
-FROM pred p LEFT JOIN gold g ON p.Store = g.Store AND p.Date = g.Date AND g.Store % 25 <> 0"""
+FROM pred p LEFT JOIN gold g ON p.Store = g.Store AND p.Date = g.Date AND g.Promo = 0"""
 AHEAD = f"OVER ({BY_STORE} ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)"
 SQL["forward_sum"] = of_panel(f"SUM(Sales) {AHEAD} AS sales_next_30")
 SQL["forward_avg"] = of_panel(f"AVG(Customers) {AHEAD} AS customers_next_30")
@@ -813,7 +813,7 @@ SQL["latest_by_store_full_horizon"] = f"SELECT {LATEST_COLUMNS} FROM latest_full
 SQL["attach_inventory"] = f"SELECT Store, {r('current_inventory', 5)} FROM stocked"
 SQL["attach_inventory_table"] = f"""
 WITH stock AS (SELECT Store, CAST(SUM(Customers) AS DOUBLE) AS held FROM panel
-               WHERE Store % 10 <> 0 GROUP BY Store)
+               GROUP BY Store HAVING AVG(Sales) > 7400)
 SELECT l.Store, {r("held", 3, "current_inventory")},
        CASE WHEN held IS NULL THEN 'UNKNOWN'
             WHEN held < GREATEST(0, avg_daily_demand * 7 + safety_stock) THEN 'HIGH' ELSE 'LOW' END
@@ -850,7 +850,7 @@ SELECT Store, {r(f"GREATEST(0, {Z95} * sigma * sqrt(7))", 3, "safety_stock")} FR
 SQL["reorder_point"] = f"""
 SELECT Store, {r(f"daily * 7 + {Z95} * sigma * sqrt(7)", 3, "reorder_point")} FROM demand"""
 SQL["eoq"] = f"""
-SELECT Store, {r("CASE WHEN Store % 10 <> 0 THEN GREATEST(1, sqrt(2 * daily * 365 * 100 / 30)) ELSE 0 END",
+SELECT Store, {r("CASE WHEN daily > 7400 THEN GREATEST(1, sqrt(2 * daily * 365 * 100 / 30)) ELSE 0 END",
                  name="economic_order_qty")} FROM demand"""
 SQL["optimal_inventory"] = f"""
 WITH z(level, z) AS (VALUES (0.90, 1.2815515655446008), (0.91, 1.3407550336902165),

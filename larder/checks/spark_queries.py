@@ -370,8 +370,8 @@ def feature_range_check(spark, sf):
 
 @query
 def orphan_check(spark, sf):
-    known = panel.raw_stores(spark, sf).filter("Store % 25 != 0")
-    return quality.orphans(panel.raw_sales(spark, sf), known)
+    rivalled = panel.raw_stores(spark, sf).filter("CompetitionDistance IS NOT NULL")
+    return quality.orphans(panel.raw_sales(spark, sf), rivalled)
 
 
 @query
@@ -400,7 +400,7 @@ def validation_report(spark, sf):
 
 def _text_dates(spark, sf):
     """Raw sales with dates as text, some of which are no dates."""
-    bad = F.when(F.col("Store") % 20 == 3, F.lit("2013-13-01"))
+    bad = F.when(F.col("Customers") > 70, F.lit("2013-13-01"))
     return panel.raw_sales(spark, sf).withColumn(
         "Date", F.coalesce(bad, F.date_format("Date", P.DATE_FORMAT))
     )
@@ -506,8 +506,9 @@ def clean_sales(spark, sf):
 
 
 def _stores_with_gaps(spark, sf):
+    """Raw stores, those without a known competitor having lost their number."""
     return panel.raw_stores(spark, sf).withColumn(
-        "Store", F.when(F.col("Store") % 9 != 0, F.col("Store"))
+        "Store", F.when(F.col("CompetitionDistance").isNotNull(), F.col("Store"))
     )
 
 
@@ -560,9 +561,9 @@ def _with(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 @query
 def join_store_dim(spark, sf):
-    some = silver_stores(spark, sf).filter("Store % 25 != 0")
+    rivalled = silver_stores(spark, sf).filter("has_competition = 1")
     fact = cleaning.stamp(panel.store_days(spark, sf), AT)
-    return timeless(features.join_dim(fact, some))
+    return timeless(features.join_dim(fact, rivalled))
 
 
 @query
@@ -973,7 +974,7 @@ def prediction_table(spark, sf):
 @query
 def enrich_predictions(spark, sf):
     known = gold_table(spark, sf)
-    return rounded(inventory.enrich(forecasts(known), known.filter("Store % 25 != 0")))
+    return rounded(inventory.enrich(forecasts(known), known.filter("Promo = 0")))
 
 
 @query
@@ -1013,9 +1014,9 @@ def attach_inventory(spark, sf):
 def attach_inventory_table(spark, sf):
     stock = (
         panel.store_days(spark, sf)
-        .filter("Store % 10 != 0")
         .groupBy("Store")
-        .agg(F.sum("Customers").cast("double").alias("current_inventory"))
+        .agg(F.sum("Customers").cast("double").alias("current_inventory"), F.avg("Sales").alias("daily"))
+        .filter("daily > 7400")
     )
     plan = inventory.optimize(latest(spark, sf), stock)
     return rounded(
@@ -1061,7 +1062,7 @@ def reorder_point(spark, sf):
 
 @query
 def eoq(spark, sf):
-    demand = F.when(F.col("Store") % 10 != 0, F.col("daily") * 365).otherwise(F.col("daily") * 0)
+    demand = F.when(F.col("daily") > 7400, F.col("daily") * 365).otherwise(0.0)
     lot = inventory.economic_order_quantity(demand, 100, 30)
     return rounded(_per_store_demand(spark, sf).select("Store", lot.alias("economic_order_qty")))
 

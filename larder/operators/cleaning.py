@@ -30,10 +30,12 @@ from larder.params import (
 
 def standardize_date(df: DataFrame, column: str = "Date", fmt: str = DATE_FORMAT) -> DataFrame:
     """Text to date; text that is no date becomes NULL."""
-    if dict(df.dtypes)[column] == "date":
+    kind = dict(df.dtypes)[column]
+    if kind == "date":
         return df
-    text = F.col(column).cast("string")
-    return df.withColumn(column, F.try_to_timestamp(text, F.lit(fmt)).cast("date"))
+    if kind.startswith("timestamp"):
+        return df.withColumn(column, F.col(column).cast("date"))
+    return df.withColumn(column, F.try_to_date(F.col(column).cast("string"), fmt))
 
 
 def standardize_types(df: DataFrame, types: Mapping[str, str] = SALES_TYPES) -> DataFrame:

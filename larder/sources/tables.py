@@ -72,6 +72,13 @@ def write_table(
         if set(columns) != set(df.columns):
             raise ValueError(f"{name} has columns {columns}, not {df.columns}")
         df = df.select(*columns)
+    if mode == "append" and path is not None and not partition_by and not bucket_by:
+        # Earlier rows may lie under the path although this session's catalog is new.
+        df.write.format(fmt).mode("append").save(path)
+        if not spark.catalog.tableExists(name):
+            spark.catalog.createTable(name, path=path, source=fmt)
+        spark.catalog.refreshTable(name)
+        return spark.table(name)
     writer = df.write.format(fmt).mode(mode)
     if path is not None:
         writer = writer.option("path", path)

@@ -14,6 +14,13 @@ def test_bad_dates_become_null_and_are_dropped(spark):
     assert cleaning.clean_sales(df, AT).count() == 1
 
 
+def test_dates_of_other_types(spark):
+    df = raw_rows(spark, {"Date": "2013-02-01"})
+    for kind in ("timestamp", "timestamp_ntz", "date"):
+        typed = df.withColumn("Date", F.col("Date").cast(kind))
+        assert cleaning.standardize_date(typed).first().Date == date(2013, 2, 1)
+
+
 def test_three_valued_logic_of_the_closed_rule(spark):
     df = raw_rows(
         spark, {"Open": None, "Sales": 10.0}, {"Open": None, "Sales": 0.0, "Store": 2},

@@ -50,6 +50,14 @@ def test_overwrite_replaces_schema_and_append_adds_by_name(spark):
         tables.write_table(spark.range(1), "t_write", mode="append")
 
 
+def test_append_under_a_path_survives_a_new_catalog(spark, tmp_path):
+    path = str(tmp_path / "log")
+    tables.write_table(spark.range(2), "t_log", mode="append", path=path)
+    spark.sql("DROP TABLE t_log")
+    assert tables.write_table(spark.range(3), "t_log", mode="append", path=path).count() == 5
+    assert tables.write_table(spark.range(4), "t_log", mode="append", path=path).count() == 9
+
+
 def test_properties_comments_and_statistics(spark):
     tables.write_table(spark.range(7), "t_tags")
     props = tables.set_properties(spark, "t_tags", {"quality.layer": "gold", "note": "it's"})
