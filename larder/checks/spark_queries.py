@@ -1169,9 +1169,7 @@ def savings_by_store(spark, sf):
 
 @query
 def savings_total(spark, sf):
-    return rounded(
-        reports.savings_total(reports.savings_by_store(exact_recommendations(spark, sf))), digits=2
-    )
+    return rounded(reports.savings_total(exact_recommendations(spark, sf)), digits=2)
 
 
 @query

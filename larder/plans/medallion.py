@@ -230,15 +230,14 @@ def build_reports(run: Run) -> dict[str, DataFrame]:
     gold = run.table("gold.demand_features")
     advice = run.table("ml.inventory_recommendations")
     kpis = reports.kpi_summary(predictions)
-    savings = reports.savings_by_store(advice, run.policy)
     views = {
         "kpi_summary": kpis,
         "kpi_cards": reports.kpi_cards(kpis),
         "top_accurate": reports.top_accurate(predictions),
         "accuracy_by_store_type": reports.accuracy_by_type(predictions, stores),
         "stockout_alerts": reports.stockout_alerts(advice),
-        "savings_by_store": savings,
-        "savings_total": reports.savings_total(savings),
+        "savings_by_store": reports.savings_by_store(advice, run.policy),
+        "savings_total": reports.savings_total(advice, run.policy),
         "weekly_trend": reports.weekly_trend(predictions),
         "importance_rank": reports.importance_rank(run.table("gold.feature_importance_xgboost")),
         "promo_effectiveness": reports.promo_analysis(predictions, gold),

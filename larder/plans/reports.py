@@ -5,12 +5,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larder.functions.columns import first_below
+from larder.functions.columns import first_below, to_rows
 from larder.params import PRIMARY_MODEL, InventoryPolicy
 
 # Labels of the competition report, by distance in metres.
@@ -53,11 +51,9 @@ def kpi_cards(summary: DataFrame) -> DataFrame:
         "Forecast Accuracy": F.concat(score, F.lit("%")),
         "Total Sales (Test Period)": _money(F.col("total_actual_sales")),
     }
-    rows = [
-        summary.select(F.lit(metric).alias("metric"), value.alias("value"))
-        for metric, value in cards.items()
-    ]
-    return reduce(DataFrame.unionByName, rows)
+    return to_rows(
+        summary, [{"metric": F.lit(metric), "value": value} for metric, value in cards.items()]
+    )
 
 
 def top_accurate(predictions: DataFrame, model: str = PRIMARY_MODEL, n: int = 20) -> DataFrame:
@@ -134,29 +130,32 @@ def stockout_alerts(recommendations: DataFrame, n: int = 50) -> DataFrame:
     )
 
 
+def _savings(recommendations: DataFrame, policy: InventoryPolicy) -> DataFrame:
+    surplus = F.col("current_inventory") - F.col("optimal_order_qty")
+    monthly = surplus * policy.holding_cost_per_month
+    return recommendations.filter(surplus > 0).select(
+        "Store",
+        F.round("current_inventory", 0).alias("current_inventory"),
+        F.round("optimal_order_qty", 0).alias("optimal_inventory"),
+        F.round(surplus, 0).alias("inventory_reduction"),
+        F.round(monthly, 2).alias("monthly_savings"),
+        F.round(monthly * 12, 2).alias("annual_savings"),
+        "stockout_risk",
+    )
+
+
 def savings_by_store(
     recommendations: DataFrame, policy: InventoryPolicy = InventoryPolicy()
 ) -> DataFrame:
     """What each overstocked store would save."""
-    surplus = F.col("current_inventory") - F.col("optimal_order_qty")
-    monthly = surplus * policy.holding_cost_per_month
-    return (
-        recommendations.filter(surplus > 0)
-        .select(
-            "Store",
-            F.round("current_inventory", 0).alias("current_inventory"),
-            F.round("optimal_order_qty", 0).alias("optimal_inventory"),
-            F.round(surplus, 0).alias("inventory_reduction"),
-            F.round(monthly, 2).alias("monthly_savings"),
-            F.round(monthly * 12, 2).alias("annual_savings"),
-            "stockout_risk",
-        )
-        .orderBy(F.desc("annual_savings"), "Store")
-    )
+    return _savings(recommendations, policy).orderBy(F.desc("annual_savings"), "Store")
 
 
-def savings_total(savings: DataFrame) -> DataFrame:
-    return savings.agg(
+def savings_total(
+    recommendations: DataFrame, policy: InventoryPolicy = InventoryPolicy()
+) -> DataFrame:
+    """The savings of all stores together, summed without sorting them first."""
+    return _savings(recommendations, policy).agg(
         F.sum("annual_savings").alias("total_annual_savings"),
         F.avg("annual_savings").alias("avg_savings_per_store"),
         F.count("*").alias("stores_with_savings"),

@@ -79,9 +79,9 @@ def test_stock_reports(spark):
     assert (alert.days_until_stockout, alert.inventory_gap, alert.forecast_next_30d) == (1.3, 90.0, 300.0)
     saved = reports.savings_by_store(advice)
     assert [(r.Store, r.monthly_savings, r.annual_savings) for r in saved.collect()] == [(2, 1000.0, 12000.0)]
-    total = reports.savings_total(saved).first()
+    total = reports.savings_total(advice).first()
     assert (total.total_annual_savings, total.stores_with_savings) == (12000.0, 1)
-    assert reports.savings_total(saved.limit(0)).first().stores_with_savings == 0
+    assert reports.savings_total(advice.limit(0)).first().stores_with_savings == 0
 
 
 def test_importance_ranks_ties_alike(spark):
