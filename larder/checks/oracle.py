@@ -883,11 +883,11 @@ SQL["recommend"] = f"""
 SELECT Store, latest_date, stockout_risk, {ROUNDED_PLAN}, recommended_action, order_priority,
        {r("inventory_gap", 5)}, {r("excess_inventory", 5)} FROM recs"""
 SQL["impact_totals"] = f"""
-SELECT total_stores, high_risk_stores, {", ".join(r(c, 2) for c in (
+SELECT total_stores, high_risk_stores, {", ".join(r(c, 5) for c in (
     "total_forecasted_demand", "total_current_inventory", "total_optimal_inventory",
     "total_safety_stock", "total_excess_inventory"))} FROM totals"""
 SQL["business_impact"] = f"""
-SELECT total_stores, high_risk_stores, lead_time_days, {", ".join(r(c, 2) for c in (
+SELECT total_stores, high_risk_stores, lead_time_days, {", ".join(r(c, 5) for c in (
     "forecasted_demand_30d", "current_inventory", "optimal_inventory", "inventory_reduction_units",
     "inventory_reduction_pct", "monthly_holding_cost_savings", "annual_holding_cost_savings",
     "stockouts_prevented", "stockout_cost_savings", "total_annual_roi", "service_level_target"))}
@@ -907,7 +907,7 @@ SELECT COUNT(DISTINCT Store) AS total_stores,
        SUM(ABS(error_xgboost)) AS total_absolute_error
 FROM pred"""
 SQL["kpi_summary"] = f"""
-SELECT total_stores, {", ".join(r(c, 2) for c in (
+SELECT total_stores, {", ".join(r(c) for c in (
     "avg_forecast_accuracy_pct", "forecast_accuracy_score", "total_actual_sales",
     "total_predicted_sales", "total_absolute_error"))} FROM kpis"""
 SQL["kpi_cards"] = """
@@ -923,11 +923,11 @@ FROM (SELECT Store, COUNT(*) AS prediction_count,
       FROM pred WHERE actual_sales > 0 GROUP BY Store ORDER BY m, Store LIMIT 20)"""
 SQL["accuracy_by_type"] = f"""
 SELECT StoreType, Assortment, COUNT(DISTINCT p.Store) AS store_count,
-       {r("AVG(percentage_error_xgboost)", 3, "avg_mape")},
-       {r("AVG(actual_sales)", 3, "avg_actual_sales")},
-       {r("AVG(predicted_sales_xgboost)", 3, "avg_predicted_sales")},
-       {r("SUM(actual_sales)", 3, "total_actual_sales")},
-       {r("SUM(predicted_sales_xgboost)", 3, "total_predicted_sales")}
+       {r("AVG(percentage_error_xgboost)", name="avg_mape")},
+       {r("AVG(actual_sales)", name="avg_actual_sales")},
+       {r("AVG(predicted_sales_xgboost)", name="avg_predicted_sales")},
+       {r("SUM(actual_sales)", name="total_actual_sales")},
+       {r("SUM(predicted_sales_xgboost)", name="total_predicted_sales")}
 FROM pred p JOIN silver_stores s ON p.Store = s.Store GROUP BY StoreType, Assortment"""
 SQL["stockout_alerts"] = f"""
 SELECT Store, current_inventory, reorder_point, optimal_order_qty,

@@ -1119,12 +1119,12 @@ def recommend(spark, sf):
 
 @query
 def impact_totals(spark, sf):
-    return rounded(inventory.impact_totals(recommendations(spark, sf)), digits=2)
+    return rounded(inventory.impact_totals(recommendations(spark, sf)), digits=5)
 
 
 @query
 def business_impact(spark, sf):
-    return rounded(timeless(inventory.business_impact(recommendations(spark, sf))), digits=2)
+    return rounded(timeless(inventory.business_impact(recommendations(spark, sf))), digits=5)
 
 
 @query
@@ -1137,7 +1137,7 @@ def urgent_topk(spark, sf):
 
 @query
 def kpi_summary(spark, sf):
-    return rounded(reports.kpi_summary(predictions(spark, sf)).drop("report_date"), digits=2)
+    return rounded(reports.kpi_summary(predictions(spark, sf)).drop("report_date"))
 
 
 @query
@@ -1152,9 +1152,7 @@ def top_accurate(spark, sf):
 
 @query
 def accuracy_by_type(spark, sf):
-    return rounded(
-        reports.accuracy_by_type(predictions(spark, sf), silver_stores(spark, sf)), digits=3
-    )
+    return rounded(reports.accuracy_by_type(predictions(spark, sf), silver_stores(spark, sf)))
 
 
 @query
