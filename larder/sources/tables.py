@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import tempfile
 import uuid
 from collections.abc import Mapping
 
@@ -12,18 +11,18 @@ from pyspark.sql import functions as F
 
 from larder.params import LAYERS
 
+_STEPS: dict[str, list[str]] = {}  # by application: the folders materialize() has written
+
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the folder the cluster shares between its machines.
 
-    Reads ``spark.checkpoint.dir``. Only a local-mode session that leaves it unset falls back to
-    a temporary folder; on a cluster a machine-local folder would lose data with its executor.
+    That is ``spark.checkpoint.dir``; where it is unset, a folder in the warehouse, which has to
+    be shared anyway for tables to work.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="larder-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_steps"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -31,10 +30,26 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Write a result to the shared folder and read it back.
 
     For results that are read several times: the files outlive the executors that wrote them.
+    They stay until :func:`release`.
     """
-    path = shared_folder(df.sparkSession, name)
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _STEPS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the files of all steps this application has written; returns how many there were.
+
+    Call it when the results that read them have been saved.
+    """
+    steps = _STEPS.pop(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for step in steps:
+        path = jvm.org.apache.hadoop.fs.Path(step)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return len(steps)
 
 
 def quoted(text: str) -> str:
