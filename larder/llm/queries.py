@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larder.llm import decontaminate, linededup, mix, quality, simhash
+from larder.llm import (
+    decontaminate,
+    langid,
+    linededup,
+    mix,
+    pii,
+    quality,
+    secretscan,
+    simhash,
+    warc,
+)
 from larder.llm.common import read, remainder
 
 
@@ -13,6 +23,39 @@ def op1_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.shares(read(spark, sf_dir, "documents"))
 
 
+def _written(spans: str) -> Column:
+    """Spans as kind:start:end, comma-joined."""
+    parts = F.transform(F.col(spans), lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
+    return F.array_join(parts, ",")
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(F.col(spans), lambda s: s["kind"] == kind)).cast("long")
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    order = {kind: i for i, kind in enumerate(pii.KINDS)}
+    rank = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])
+    together = F.array_sort(
+        F.transform(
+            F.concat("found.base", "found.more"),
+            lambda s: F.struct(rank[s["kind"]].alias("order"), s["start"], s["end"], s["kind"]),
+        )
+    )
+    return (
+        docs.select("doc_id", found.alias("found"))
+        .select("doc_id", F.col("found.base").alias("base"), together.alias("everything"))
+        .select(
+            "doc_id",
+            *[_count("base", kind).alias(f"n_{kind}") for kind in pii.KINDS],
+            F.sha2(_written("base"), 256).alias("base_sha256"),
+            _written("everything").alias("spans"),
+        )
+    )
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     found = decontaminate.hits(docs, read(spark, sf_dir, "benchmark"))
@@ -36,6 +79,24 @@ def op4_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("predicted", (F.col("score") >= quality.CUT).cast("int"))
 
 
+def op5_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(read(spark, sf_dir, "pages"))
+
+
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return (
+        docs.select("doc_id", secretscan.find(docs).alias("found"))
+        .select("doc_id", F.col("found.base").alias("base"), F.col("found.all").alias("everything"))
+        .select(
+            "doc_id",
+            *[_count("base", kind).alias(f"n_{kind}") for kind in secretscan.KINDS],
+            F.sha2(_written("base"), 256).alias("base_sha256"),
+            _written("everything").alias("spans"),
+        )
+    )
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -47,13 +108,27 @@ def op9_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).drop("row")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.train(docs)
+    return docs.select(
+        "doc_id",
+        (remainder(F.col("doc_id"), langid.FOLDS) == langid.HELD_OUT).alias("held_out"),
+        langid.identify(docs, model).alias("found"),
+    ).select("doc_id", "held_out", "found.*")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_pareto_mix,
+        op2_personal_data,
         op3_decontaminate,
         op4_pairwise_quality,
+        op5_warc_derivatives,
+        op6_secrets,
         op8_simhash_components,
         op9_repeated_lines,
+        op10_language,
     )
 }
