@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larder.llm import (
+    ann,
     decontaminate,
     langid,
     linededup,
@@ -97,6 +98,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -127,6 +132,7 @@ QUERIES = {
         op4_pairwise_quality,
         op5_warc_derivatives,
         op6_secrets,
+        op7_nearest_vectors,
         op8_simhash_components,
         op9_repeated_lines,
         op10_language,
