@@ -12,13 +12,13 @@ from pyspark.sql import functions as F
 from larder.sources.tables import materialize
 
 SAMPLE = 40_000  # vectors that the centroids are fitted on, at most
-LIST_SIZE = 256  # vectors a posting list is meant to hold
+LIST_SIZE = 1024  # vectors a posting list is meant to hold
 MOST_LISTS = 16_384  # centroids, at most; beyond this lists grow, and are split into shards
 DEGREE = 24  # links of a centroid in the graph
-BEAM = 48  # centroids a graph search keeps
-REPLICAS = 4  # lists a boundary vector is put on, at most
-CLOSURE = 1.10  # a vector is also put on lists within this ratio of its nearest centroid's distance
-PRUNING = 1.30  # a query reads the lists within this ratio of its nearest centroid's distance
+BEAM = 8  # centroids a graph search expands at least
+REPLICAS = 2  # lists a boundary vector is put on, at most
+CLOSURE = 1.10  # a vector is also put on a list within this ratio of its nearest's distance
+PRUNING = 1.12  # a query reads the lists within this ratio of its nearest centroid's distance
 BLOCK = 2048  # vectors or queries that a task compares at a time
 
 
@@ -105,84 +105,77 @@ def neighbour_graph(centres: np.ndarray, degree: int = DEGREE) -> np.ndarray:
 
 
 def search_graph(
-    queries: np.ndarray, centres: np.ndarray, links: np.ndarray, beam: int = BEAM
-) -> tuple[np.ndarray, np.ndarray]:
-    """The centroids nearest to each query that a best-first walk over the graph finds.
+    queries: np.ndarray,
+    centres: np.ndarray,
+    links: np.ndarray,
+    ratio: float = PRUNING,
+    beam: int = BEAM,
+) -> list[np.ndarray]:
+    """For each query the centroids within ``ratio`` of the distance of its nearest one.
 
-    All queries of a block walk at once: each expands its best centroid not expanded yet, until
-    its ``beam`` best are all expanded. Starts are spread over the centroids. Returns indices
-    and squared distances, nearest first.
+    All queries walk the graph at once from starts spread over the centroids. In each round a
+    query expands what it has met and not expanded among its ``beam`` best and within ``ratio``
+    of its best, so it ends when all of these are expanded. Only met centroids are measured.
     """
     n, q = len(centres), len(queries)
-    beam = min(beam, n)
     starts = np.unique(np.linspace(0, n - 1, min(n, 16)).astype(int))
-    seen = np.zeros((q, n), bool)
-    seen[:, starts] = True
-    found = np.full((q, beam + len(starts) + links.shape[1]), -1)
-    dist = np.full(found.shape, np.inf)
-    done = np.ones(found.shape, bool)
-    found[:, : len(starts)] = starts
-    dist[:, : len(starts)] = distances2(queries, centres[starts])
-    done[:, : len(starts)] = False
+    d = np.full((q, n), np.inf)
+    d[:, starts] = distances2(queries, centres[starts])
+    expanded = np.zeros((q, n), bool)
     while True:
-        order = np.argsort(dist, axis=1, kind="stable")
-        found, dist, done = (np.take_along_axis(x, order, 1) for x in (found, dist, done))
-        done[:, beam:] = True
-        active = np.flatnonzero(~done.all(axis=1))
-        if not len(active):
-            return found[:, :beam], dist[:, :beam]
-        at = (~done[active]).argmax(axis=1)
-        done[active, at] = True
-        near = links[found[active, at]]
-        fresh = ~seen[active[:, None], near]
-        seen[active[:, None], near] = True
-        d = ((centres[near] - queries[active][:, None, :]) ** 2).sum(axis=2)
-        tail = slice(beam, beam + links.shape[1])
-        found[active, tail] = near
-        dist[active, tail] = np.where(fresh, d, np.inf)
-        done[active, tail] = ~fresh
+        best = d.min(axis=1, keepdims=True)
+        edge = np.partition(d, min(beam, n) - 1, axis=1)[:, min(beam, n) - 1 : min(beam, n)]
+        ahead = np.isfinite(d) & (d <= np.maximum(edge, ratio**2 * best)) & ~expanded
+        row, at = np.nonzero(ahead)
+        if not len(row):
+            return [np.flatnonzero(near) for near in d <= ratio**2 * best]
+        expanded[row, at] = True
+        met = np.zeros((q, n), bool)
+        met[row[:, None], links[at]] = True
+        row, at = np.nonzero(met & np.isinf(d))
+        d[row, at] = ((centres[at] - queries[row]) ** 2).sum(axis=1)
 
 
 def closure(
     v: np.ndarray, centres: np.ndarray, ratio: float = CLOSURE, most: int = REPLICAS
 ) -> list[np.ndarray]:
-    """The lists of each vector: its nearest, and others nearly as near, unless one of those
-    already taken is nearer to the new one's centroid than the vector is."""
+    """The lists of each vector: its nearest, and the next ones that are nearly as near."""
     out = []
+    most = min(most, len(centres))
     for low in range(0, len(v), 1024):
         d = distances2(v[low : low + 1024], centres)
-        width = min(2 * most, len(centres))
-        near = np.argpartition(d, width - 1, axis=1)[:, :width]
-        near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1), 1)
-        for row, order in zip(d, near):
-            taken = [order[0]]
-            for c in order[1:]:
-                if len(taken) == most or row[c] > ratio**2 * row[order[0]]:
-                    break
-                between = ((centres[taken] - centres[c]) ** 2).sum(axis=1)
-                if (between > row[c]).all():
-                    taken.append(c)
-            out.append(np.array(taken))
+        near = np.argpartition(d, most - 1, axis=1)[:, :most]
+        near_d = np.take_along_axis(d, near, 1)
+        order = np.argsort(near_d, axis=1, kind="stable")
+        near, near_d = (np.take_along_axis(x, order, 1) for x in (near, near_d))
+        out += [row[keep] for row, keep in zip(near, near_d <= ratio**2 * near_d[:, :1])]
     return out
 
 
-def top(queries: np.ndarray, members: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query the members of the ``k`` largest inner products, ties at the end included.
+def top(queries: np.ndarray, members: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """Query, member and inner product of the ``k`` best of each query; ties go to the earlier.
 
     A fast product narrows members down; what is left is summed in one order, so that a pair
     has the same score in whatever block it is met.
     """
+    found = []
+    largest = np.abs(members).max(initial=0)
     for low in range(0, len(queries), 256):
         part = queries[low : low + 256]
         rough = part @ members.T
-        if members.shape[0] > k:
-            edge = np.partition(rough, -k, axis=1)[:, -k]
-        else:
-            edge = np.full(len(part), -np.inf)
-        slack = 1e-9 * np.abs(part).sum(axis=1) * np.abs(members).max(initial=0)
-        for i in range(len(part)):
-            rows = np.flatnonzero(rough[i] >= edge[i] - slack[i])
-            yield low + i, rows, (members[rows] * part[i]).sum(axis=1)
+        slack = 1e-9 * np.abs(part).sum(axis=1, keepdims=True) * largest
+        edge = np.partition(rough, -k, axis=1)[:, -k:][:, :1] if len(members) > k else -np.inf
+        q, m = np.nonzero(rough >= edge - slack)
+        scores = np.empty(len(q))
+        for at in range(0, len(q), 1 << 16):  # ties may be many
+            chosen = slice(at, at + (1 << 16))
+            scores[chosen] = (members[m[chosen]] * part[q[chosen]]).sum(axis=1)
+        order = np.lexsort((m, -scores, q))
+        q, m, scores = q[order], m[order], scores[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        keep = place < k
+        found.append((q[keep] + low, m[keep], scores[keep]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _stack(column: pd.Series) -> np.ndarray:
@@ -256,17 +249,15 @@ def nearest(
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         centres, links, _ = shared.value
         for batch in batches:
-            for low in range(0, len(batch), 512):
-                part = batch.iloc[low : low + 512]
+            for low in range(0, len(batch), 128):
+                part = batch.iloc[low : low + 128]
                 v = _stack(part["v"])
-                found, d = search_graph(np.c_[v, np.zeros(len(v))], centres, links)
-                kept = (d <= pruning**2 * d[:, :1]) & (found >= 0)
-                lists = [row[keep] for row, keep in zip(found, kept)]
+                lists = search_graph(np.c_[v, np.zeros(len(v))], centres, links, pruning)
                 yield part.assign(list=lists).explode("list").astype({"list": int})
 
     members = materialize(
-        base.select("key.k1", "key.k2", "v", "ids").mapInPandas(
-            assign, f"k1 long, k2 long, v array<float>, ids array<{kinds}>, list int"
+        base.select("key.k1", "key.k2", "v", F.col("ids")[0].alias("low")).mapInPandas(
+            assign, f"k1 long, k2 long, v array<float>, low {kinds}, list int"
         ),
         "postings",
     )
@@ -297,36 +288,36 @@ def nearest(
     )
 
     def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        found: list[pd.DataFrame] = []
-        if len(mine) and len(theirs):
-            v = _stack(mine["v"])
-            for i, at, scores in top(_stack(theirs["v"]), v, k + 1):
-                chosen = mine.iloc[at]
-                found.append(
-                    pd.DataFrame(
-                        {
-                            "q1": theirs["q1"].iat[i],
-                            "q2": theirs["q2"].iat[i],
-                            "k1": chosen["k1"].to_numpy(),
-                            "k2": chosen["k2"].to_numpy(),
-                            "score": scores,
-                            "ids": chosen["ids"].to_numpy(),
-                        }
-                    )
-                )
-        names = ["q1", "q2", "k1", "k2", "score", "ids"]
-        return pd.concat(found) if found else pd.DataFrame(columns=names)
+        if mine.empty or theirs.empty:
+            return pd.DataFrame(columns=["q1", "q2", "k1", "k2", "low", "score"])
+        mine = mine.sort_values("low")
+        q, m, scores = top(_stack(theirs["v"]), _stack(mine["v"]), k + 1)
+        return pd.DataFrame(
+            {
+                "q1": theirs["q1"].to_numpy()[q],
+                "q2": theirs["q2"].to_numpy()[q],
+                "k1": mine["k1"].to_numpy()[m],
+                "k2": mine["k2"].to_numpy()[m],
+                "low": mine["low"].to_numpy()[m],
+                "score": scores,
+            }
+        )
 
     cell = ["list", "row", "col"]
     pairs = (
         members.groupBy(*cell)
         .cogroup(routed.groupBy(*cell))
-        .applyInPandas(compare, f"q1 long, q2 long, k1 long, k2 long, score double, ids array<{kinds}>")
+        .applyInPandas(compare, f"q1 long, q2 long, k1 long, k2 long, low {kinds}, score double")
     )
+    # A vector on several lists has the same score on each, so the k + 1 best vectors are among
+    # a query's first (k + 1) * REPLICAS.
     query = ["q1", "q2"]
-    once = pairs.groupBy(*query, "k1", "k2").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    order = Window.partitionBy(*query).orderBy(F.desc("score"), F.col("ids")[0])
-    best = once.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= k + 1)
+    ids = base.select("key.k1", "key.k2", "ids")
+    order = Window.partitionBy(*query).orderBy(F.desc("score"), "low")
+    near = pairs.withColumn("at", F.row_number().over(order)).filter(
+        F.col("at") <= (k + 1) * REPLICAS
+    )
+    best = near.drop("at", "low").distinct().join(ids, ["k1", "k2"])
     each = best.select(*query, "score", F.explode("ids").alias("id"))
     order = Window.partitionBy(*query).orderBy(F.desc("score"), "id")
     ranked = (
