@@ -191,7 +191,7 @@ def dedup(
     Adds ``lines_removed`` (string, such as ``3-7,12-12``; numbers of lines from 0) and
     ``words_removed`` (long). Two lines are equal if they are but for spaces at their ends.
     Whole texts are compared. A run is looked for in all other documents and in its own. Runs
-    within one line, or shorter ones, stay; empty lines within a run go with it. Of a run that
+    within one line, or shorter ones, stay; empty lines between lines that are cut go too. Of a run that
     overlaps its own repeat the first period stays. Every line that is cut occurs in an earlier
     place that keeps it. Null texts stay null, empty ones empty; a text of repeats alone becomes
     empty. Repeated rows are copies like any others; rows with a null id come last. No rows give
