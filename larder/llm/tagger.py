@@ -319,10 +319,10 @@ def train(
     examples: Sequence[tuple[str, list[tuple[int, int, int]]]],
     kinds: Sequence[str],
     width: int,
-    most: int = 1800,
-    passes: int = 6,
-    batch: int = 48,
-    rate: float = 0.015,
+    most: int = 2700,
+    passes: int = 7,
+    batch: int = 32,
+    rate: float = 0.03,
     seed: int = 7,
 ) -> dict:
     """A model trained by Adam; the same from the same examples."""
