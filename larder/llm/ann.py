@@ -15,7 +15,7 @@ SAMPLE = 40_000  # vectors that the centroids are fitted on, at most
 LIST_SIZE = 1024  # vectors a posting list is meant to hold
 MOST_LISTS = 16_384  # centroids, at most; beyond this lists grow, and are split into shards
 DEGREE = 24  # links of a centroid in the graph
-BEAM = 8  # centroids a graph search expands at least
+BEAM = 16  # centroids a graph search expands at least
 REPLICAS = 2  # lists a boundary vector is put on, at most
 CLOSURE = 1.10  # a vector is also put on a list within this ratio of its nearest's distance
 PRUNING = 1.12  # a query reads the lists within this ratio of its nearest centroid's distance
@@ -199,7 +199,7 @@ def fit(vectors: DataFrame, n: int, sample: int, list_size: int, most_lists: int
 
 def nearest(
     vectors: DataFrame,
-    queries: Column,
+    queries: Column | str,
     k: int = 20,
     vec_id: str = "vec_id",
     embedding: str = "embedding",

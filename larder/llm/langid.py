@@ -19,9 +19,12 @@ START = "▁"  # fixed by the vocabulary: marks the start of a word in a piece
 FOLDS, HELD_OUT = 4, 2
 MOST_TEXTS = 500  # texts per language that are learned from, at most
 MOST_WORDS = 200_000  # words with their languages that are learned from, at most
+MOST_LANGUAGES = 1000  # languages that are told apart, at most: the first by name
 LONGEST_PIECE = 10
 BLOCK = 40  # letters of a word scored together; longer ones are scored in blocks of so many
+PART = 1 << 20  # characters whose words are held at a time
 LETTERS = re.compile(r"[^\W\d_]+")
+NO_LETTER = re.compile(r"[\W\d_]")
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # any large odd number
 
 
@@ -203,10 +206,20 @@ def words_of(text: str) -> list[str]:
     return found
 
 
+def parts_of(text: str, size: int = PART) -> Iterable[str]:
+    """A text in parts of about ``size`` characters, parted where no word is cut."""
+    low = 0
+    while low < len(text):
+        between = NO_LETTER.search(text, low + size)
+        high = between.end() if between else len(text)
+        yield text[low:high]
+        low = high
+
+
 class Scorer:
     """Scores texts and keeps the words it has met, up to a bound."""
 
-    def __init__(self, model: Model, most_words: int = 400_000):
+    def __init__(self, model: Model, most_words: int = 250_000):
         self.model, self.most_words = model, most_words
         self.table = Table(model.hashes)
         self.rows: dict[str, int] = {}
@@ -216,29 +229,51 @@ class Scorer:
         """The language and its posterior for each text.
 
         The evidence of a text's words is added up, and weighed as that of 20 words at most, so
-        that the posterior of a long text in a mix of languages isn't 1 at once.
+        that the posterior of a long text in a mix of languages isn't 1 at once. Words are held
+        for about ``PART`` characters of texts at a time.
         """
-        each = [words_of(t.decode("utf-8", "replace")) for t in texts]
-        met = set().union(*each)
+        totals = np.zeros((len(texts), len(self.model.languages)))
+        counts = np.zeros(len(texts), np.int64)
+        letters = np.zeros(len(texts), bool)
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+        for i, raw in enumerate(texts):
+            for part in parts_of(raw.decode("utf-8", "replace")):
+                words = words_of(part)
+                counts[i] += len(words)
+                letters[i] |= any(map(str.isalpha, words)) or any(c.isalpha() for c in part)
+                held.append((i, words))
+                size += len(part)
+                if size > PART:
+                    self._add(held, totals)
+                    held, size = [], 0
+        self._add(held, totals)
+        totals *= np.minimum(1.0, 20 / np.maximum(counts, 1))[:, None]
+        chances = np.exp(totals - totals.max(axis=1, keepdims=True))
+        chances /= chances.sum(axis=1, keepdims=True)
+        best = chances.argmax(axis=1)
+        return [
+            (self.model.languages[k], float(chances[i, k])) if letters[i] else ("und", 0.0)
+            for i, k in enumerate(best)
+        ]
+
+    def _add(self, held: list[tuple[int, list[str]]], totals: np.ndarray) -> None:
+        met = set().union(*(words for _, words in held))
         if len(self.rows) + len(met) > self.most_words:
             self.rows, self.logs = {}, self.logs[:0]
         new = sorted(met.difference(self.rows))
         self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
         self.logs = np.concatenate([self.logs, word_logs(new, self.model, self.table)])
-        return [self._best(words) for words in each]
-
-    def _best(self, words: list[str]) -> tuple[str, float]:
-        if not any(map(str.isalpha, words)) and not any(c.isalpha() for w in words for c in w):
-            return "und", 0.0
-        total = self.logs[[self.rows[w] for w in words]].sum(axis=0)
-        total *= min(1.0, 20 / len(words))
-        chance = np.exp(total - total.max())
-        best = int(chance.argmax())
-        return self.model.languages[best], float(chance[best] / chance.sum())
+        for i, words in held:
+            if words:
+                totals[i] += self.logs[[self.rows[w] for w in words]].sum(axis=0)
 
 
 def training_words(
-    docs: DataFrame, most_texts: int = MOST_TEXTS, most_words: int = MOST_WORDS
+    docs: DataFrame,
+    most_texts: int = MOST_TEXTS,
+    most_words: int = MOST_WORDS,
+    most_languages: int = MOST_LANGUAGES,
 ) -> dict[str, Counter]:
     """The words of each language in the learning rows, counted on the executors.
 
@@ -255,6 +290,8 @@ def training_words(
         .filter(F.col("at") <= most_texts)
         .groupBy("lang")
         .agg(F.max("mark").alias("upto"))
+        .orderBy("lang")
+        .limit(most_languages)
     )
 
     def compute(texts: list[bytes]) -> Iterable[tuple]:
@@ -262,10 +299,12 @@ def training_words(
 
     rows = docs.filter(known).select("lang", "text", mark.alias("mark"))
     words = (
-        rows.join(chosen, "lang")
+        rows.join(F.broadcast(chosen), "lang")
         .filter(F.col("mark") <= F.col("upto"))
         .select("lang", per_text(compute, "words array<string>")(F.col("text"))["words"].alias("w"))
-        .select("lang", F.explode("w").alias("word"))
+        # A plain explode adds a filter that would have all texts parted before the join.
+        .select("lang", F.explode_outer("w").alias("word"))
+        .filter("word is not null")
     )
     counted = words.groupBy("lang", "word").count()
     top = counted.orderBy(F.desc("count"), "lang", "word").limit(most_words)

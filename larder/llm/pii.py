@@ -195,10 +195,10 @@ def train(docs: DataFrame, text: str = "text", most_texts: int = MOST_TEXTS, **h
 
     schema = "found array<struct<t: string, s: array<struct<k: int, a: int, b: int>>>>"
     chosen = docs.filter(mark <= F.lit(upto)) if upto is not None else docs.limit(0)
-    rows = chosen.select(F.explode(per_text(compute, schema)(F.col(text))["found"]).alias("w"))
+    rows = chosen.select(F.explode_outer(per_text(compute, schema)(F.col(text))["found"]).alias("w"))
     bound = most_texts * PER_TEXT
     got = [
-        (r.w.t, [(s.k, s.a, s.b) for s in r.w.s]) for r in rows.limit(bound).toLocalIterator()
+        (r.w.t, [(s.k, s.a, s.b) for s in r.w.s]) for r in rows.filter("w is not null").limit(bound).toLocalIterator()
     ]
     return tagger.train(sorted(got), KINDS, WINDOW, **how)
 
