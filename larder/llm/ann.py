@@ -19,6 +19,7 @@ BEAM = 16  # centroids a graph search expands at least
 REPLICAS = 2  # lists a boundary vector is put on, at most
 CLOSURE = 1.10  # a vector is also put on a list within this ratio of its nearest's distance
 PRUNING = 1.12  # a query reads the lists within this ratio of its nearest centroid's distance
+FIRST_LISTS = 4  # lists that a query reads in the first round
 BLOCK = 2048  # vectors or queries that a task compares at a time
 
 
@@ -111,7 +112,7 @@ def search_graph(
     ratio: float = PRUNING,
     beam: int = BEAM,
 ) -> list[np.ndarray]:
-    """For each query the centroids within ``ratio`` of the distance of its nearest one.
+    """For each query the centroids within ``ratio`` of its nearest one's distance, in order.
 
     All queries walk the graph at once from starts spread over the centroids. In each round a
     query expands what it has met and not expanded among its ``beam`` best and within ``ratio``
@@ -128,7 +129,8 @@ def search_graph(
         ahead = np.isfinite(d) & (d <= np.maximum(edge, ratio**2 * best)) & ~expanded
         row, at = np.nonzero(ahead)
         if not len(row):
-            return [np.flatnonzero(near) for near in d <= ratio**2 * best]
+            order = np.argsort(d, axis=1, kind="stable")
+            return [row[:n] for row, n in zip(order, (d <= ratio**2 * best).sum(axis=1))]
         expanded[row, at] = True
         met = np.zeros((q, n), bool)
         met[row[:, None], links[at]] = True
@@ -197,6 +199,78 @@ def fit(vectors: DataFrame, n: int, sample: int, list_size: int, most_lists: int
     return centres, neighbour_graph(centres), float(norm2)
 
 
+def _cells(members: DataFrame, routed: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """Both dealt out to cells: a ``row`` of a list's members against a ``col`` of its queries.
+
+    A cell holds about ``block`` of either, so neither a long list nor one that many queries read
+    meets in a task. The numbers of blocks are one row a list, of which there are a bounded few.
+    """
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("list").agg(F.ceil(F.count("*") / block).alias(name))
+
+    grid = F.broadcast(blocks(members, "rows").join(blocks(routed, "cols"), "list"))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = members.join(grid, "list").withColumns(
+        {"row": F.pmod(F.xxhash64("k1", "k2"), "rows"), "col": each("cols")}
+    )
+    theirs = routed.join(grid, "list").withColumns(
+        {"col": F.pmod(F.xxhash64("q1", "q2"), "cols"), "row": each("rows")}
+    )
+    return mine.drop("rows", "cols"), theirs.drop("rows", "cols")
+
+
+def _best(members: DataFrame, routed: DataFrame, k: int, kinds: str, block: int) -> DataFrame:
+    """The ``k`` + 1 best vectors of each query among the lists it reads: q1, q2, k1, k2, score.
+
+    Lists are read in rounds, the nearest first and four times as many in each. From the second
+    round on only vectors come back that are as good as the last of those found before, so what
+    is shuffled for a query hardly grows with the lists it reads.
+    """
+    query = ["q1", "q2"]
+
+    def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+        if mine.empty or theirs.empty:
+            return pd.DataFrame(columns=["q1", "q2", "k1", "k2", "low", "score"])
+        mine = mine.sort_values("low")
+        q, m, scores = top(_stack(theirs["v"]), _stack(mine["v"]), k + 1)
+        keep = scores >= theirs["bound"].to_numpy()[q]
+        q, m, scores = q[keep], m[keep], scores[keep]
+        return pd.DataFrame(
+            {
+                "q1": theirs["q1"].to_numpy()[q],
+                "q2": theirs["q2"].to_numpy()[q],
+                "k1": mine["k1"].to_numpy()[m],
+                "k2": mine["k2"].to_numpy()[m],
+                "low": mine["low"].to_numpy()[m],
+                "score": scores,
+            }
+        )
+
+    schema = f"q1 long, q2 long, k1 long, k2 long, low {kinds}, score double"
+    best = members.sparkSession.createDataFrame([], schema)
+    last = routed.agg(F.max("at")).first()[0]
+    low, high = 0, FIRST_LISTS
+    while last is not None and low <= last:
+        enough = F.when(F.count("*") == k + 1, F.min("score")).otherwise(float("-inf"))
+        bounds = best.groupBy(*query).agg(enough.alias("bound"))
+        some = routed.filter((F.col("at") >= low) & (F.col("at") < high))
+        some = some.join(bounds, query, "left").fillna(float("-inf"), "bound")
+        mine, theirs = _cells(members, some, block)
+        cell = ["list", "row", "col"]
+        pairs = mine.groupBy(*cell).cogroup(theirs.groupBy(*cell)).applyInPandas(compare, schema)
+        once = (
+            pairs.unionByName(best)
+            .groupBy(*query, "k1", "k2")
+            .agg(F.first("low").alias("low"), F.max("score").alias("score"))
+        )
+        order = Window.partitionBy(*query).orderBy(F.desc("score"), "low")
+        ranked = once.withColumn("at", F.row_number().over(order))
+        best = materialize(ranked.filter(F.col("at") <= k + 1).drop("at"), "best")
+        low, high = high, 4 * high
+    return best.drop("low")
+
+
 def nearest(
     vectors: DataFrame,
     queries: Column | str,
@@ -253,7 +327,10 @@ def nearest(
                 part = batch.iloc[low : low + 128]
                 v = _stack(part["v"])
                 lists = search_graph(np.c_[v, np.zeros(len(v))], centres, links, pruning)
-                yield part.assign(list=lists).explode("list").astype({"list": int})
+                lengths = [len(found) for found in lists]
+                yield part.loc[part.index.repeat(lengths)].assign(
+                    list=np.concatenate(lists), at=np.concatenate([np.arange(n) for n in lengths])
+                )
 
     members = materialize(
         base.select("key.k1", "key.k2", "v", F.col("ids")[0].alias("low")).mapInPandas(
@@ -268,56 +345,12 @@ def nearest(
     routed = materialize(
         asked.groupBy("q1", "q2")
         .agg(F.first("v").alias("v"))
-        .mapInPandas(route, "q1 long, q2 long, v array<float>, list int"),
+        .mapInPandas(route, "q1 long, q2 long, v array<float>, list int, at int"),
         "routes",
     )
-    # Lists and the queries that read them are dealt out in blocks; one row a list, bounded.
-    parts = lambda df, name: df.groupBy("list").agg(F.ceil(F.count("*") / block).alias(name))
-    grid = parts(members, "m").join(parts(routed, "q"), "list")
-    members = (
-        members.join(F.broadcast(grid), "list")
-        .withColumn("row", F.pmod(F.xxhash64("k1", "k2"), "m"))
-        .withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q") - 1)))
-        .drop("m", "q")
-    )
-    routed = (
-        routed.join(F.broadcast(grid), "list")
-        .withColumn("col", F.pmod(F.xxhash64("q1", "q2"), "q"))
-        .withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1)))
-        .drop("m", "q")
-    )
-
-    def compare(mine: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        if mine.empty or theirs.empty:
-            return pd.DataFrame(columns=["q1", "q2", "k1", "k2", "low", "score"])
-        mine = mine.sort_values("low")
-        q, m, scores = top(_stack(theirs["v"]), _stack(mine["v"]), k + 1)
-        return pd.DataFrame(
-            {
-                "q1": theirs["q1"].to_numpy()[q],
-                "q2": theirs["q2"].to_numpy()[q],
-                "k1": mine["k1"].to_numpy()[m],
-                "k2": mine["k2"].to_numpy()[m],
-                "low": mine["low"].to_numpy()[m],
-                "score": scores,
-            }
-        )
-
-    cell = ["list", "row", "col"]
-    pairs = (
-        members.groupBy(*cell)
-        .cogroup(routed.groupBy(*cell))
-        .applyInPandas(compare, f"q1 long, q2 long, k1 long, k2 long, low {kinds}, score double")
-    )
-    # A vector on several lists has the same score on each, so the k + 1 best vectors are among
-    # a query's first (k + 1) * REPLICAS.
+    best = _best(members, routed, k, kinds, block)
+    best = best.join(base.select("key.k1", "key.k2", "ids"), ["k1", "k2"])
     query = ["q1", "q2"]
-    ids = base.select("key.k1", "key.k2", "ids")
-    order = Window.partitionBy(*query).orderBy(F.desc("score"), "low")
-    near = pairs.withColumn("at", F.row_number().over(order)).filter(
-        F.col("at") <= (k + 1) * REPLICAS
-    )
-    best = near.drop("at", "low").distinct().join(ids, ["k1", "k2"])
     each = best.select(*query, "score", F.explode("ids").alias("id"))
     order = Window.partitionBy(*query).orderBy(F.desc("score"), "id")
     ranked = (
