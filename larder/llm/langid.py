@@ -282,12 +282,14 @@ def training_words(
     """
     known = (remainder(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull()
     mark = F.xxhash64("doc_id")
-    least = Window.partitionBy("lang").orderBy("mark")
+    least = docs.filter(known).select(
+        "lang", mark.alias("mark"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64)).alias("part")
+    )
+    for group in (["lang", "part"], ["lang"]):  # so that no task meets all of a common language
+        order = Window.partitionBy(*group).orderBy("mark")
+        least = least.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= most_texts)
     chosen = (
-        docs.filter(known)
-        .select("lang", mark.alias("mark"))
-        .withColumn("at", F.row_number().over(least))
-        .filter(F.col("at") <= most_texts)
+        least
         .groupBy("lang")
         .agg(F.max("mark").alias("upto"))
         .orderBy("lang")
