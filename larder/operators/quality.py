@@ -245,6 +245,20 @@ def quality_report(
     )
 
 
+def check_report(failures: Mapping[str, DataFrame], checked_at: datetime) -> DataFrame:
+    """A row per check: how many rows of its failures there are, and whether there are none."""
+    counted = [
+        df.agg(F.count("*").alias("failures")).select(
+            F.lit(name).alias("check_name"),
+            "failures",
+            pass_fail(F.col("failures") == 0).alias("status"),
+            F.lit(checked_at).cast("timestamp").alias("checked_at"),
+        )
+        for name, df in failures.items()
+    ]
+    return reduce(DataFrame.unionByName, counted)
+
+
 def critical_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NULLs and verdict per column, and whether all columns passed."""
     all_filled = reduce(lambda a, b: a & b, [F.col(c) == 0 for c in columns])

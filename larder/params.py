@@ -175,8 +175,8 @@ CRITICAL_FEATURES = [
 ]
 RANGED_FEATURES = ["demand_volatility", "sales_momentum", "competition_pressure"]
 # Suffixes of the prediction columns, under the names that dashboards read.
-MODEL_COLUMNS = {"Linear Regression": "lr", "Random Forest": "rf", "Boosted Trees": "xgboost"}
-PRIMARY_MODEL = "xgboost"
+MODEL_COLUMNS = {"Linear Regression": "lr", "Random Forest": "rf", "Boosted Trees": "boosted"}
+PRIMARY_MODEL = "boosted"
 MAPE_TARGET = 15.0
 
 FOREST_PARAMS = {
@@ -192,6 +192,13 @@ LINEAR_PARAMS = {"regParam": 0.0, "solver": "normal"}
 # --- fixed values: inventory -----------------------------------------------------------------
 
 FORECAST_ROWS = 30
+ACTIONS = {
+    "high": "URGENT: Place order immediately",
+    "low": "WARNING: Below safety stock",
+    "excess": "EXCESS: Reduce inventory",
+    "normal": "NORMAL: Monitor",
+    "unknown": "UNKNOWN: No forecast or no stock",
+}
 
 
 @dataclass(frozen=True)

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,20 +28,28 @@ from larder.operators import (
 from larder.plans import reports
 from larder.sources import files, tables
 
+# The features whose distribution is kept.
+HISTOGRAMS = ["Sales", "sales_lag_7", "rolling_mean_30", "demand_volatility", "sales_momentum"]
+
 
 @dataclass(frozen=True)
 class Run:
     """One run of the job: its session, time, batch and settings.
 
-    ``root`` places the tables under a folder; without it they go to the warehouse.
+    ``root`` places the tables under a folder; without it they go to the warehouse. ``features``
+    are the models' inputs; by default only what is known on the first of the thirty rows that a
+    forecast is summed over. ``buckets`` is fixed for a table's life: choose it so that a bucket
+    of the feature table, sorted in one task, is a few hundred megabytes. Without it there are as
+    many as shuffle partitions.
     """
 
     spark: SparkSession
     started_at: datetime
     root: str | None = None
     policy: P.InventoryPolicy = field(default_factory=P.InventoryPolicy)
-    features: tuple[str, ...] = tuple(P.SAFE_FEATURES)
+    features: tuple[str, ...] = tuple(P.HORIZON_FEATURES)
     min_horizon_rows: int = P.FORECAST_ROWS
+    buckets: int | None = None
 
     @property
     def batch_id(self) -> str:
@@ -56,11 +65,12 @@ class Run:
     def save_by_store(self, df: DataFrame, name: str, placed: bool = False) -> DataFrame:
         """Save bucketed by store, so that store windows over the table need no shuffle.
 
-        There are as many buckets as shuffle partitions, and both place a store by the same
-        hash. ``placed`` says that ``df`` comes out of store windows: each bucket then already
-        lies within one task, and the rows are not shuffled again.
+        Buckets and shuffle partitions place a store by the same hash. ``placed`` says that
+        ``df`` comes out of store windows or a table with these buckets: with as many of either
+        each bucket already lies within one task, and the rows are not shuffled again.
         """
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        partitions = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = self.buckets or partitions
         if not placed:
             df = df.repartition(buckets, "Store")
         return self.save(df, name, bucket_by=(buckets, ["Store"]), sort_by=["Store", "Date"])
@@ -111,8 +121,11 @@ def build_silver(run: Run) -> None:
     """Clean sales and stores, and keep the audit of every sales rule."""
     raw = run.table("bronze.raw_sales")
     run.save(cleaning.audit_rules(raw), "silver.cleaning_audit")
-    cleaned = cleaning.clean_sales(raw, run.started_at, stage=tables.materialize)
-    sales = run.save(cleaned, "silver.cleaned_sales")
+    # The rows whose quantile is sought are laid out by store, so neither the flagged table nor
+    # the features made from it are shuffled again.
+    stage = lambda rows: run.save_by_store(rows, "silver.cleaned_sales_unflagged")
+    cleaned = cleaning.clean_sales(raw, run.started_at, stage=stage)
+    sales = run.save_by_store(cleaned, "silver.cleaned_sales", placed=True)
     stores = run.save(
         cleaning.clean_stores(run.table("bronze.raw_stores"), run.started_at),
         "silver.cleaned_stores",
@@ -120,9 +133,28 @@ def build_silver(run: Run) -> None:
     tags = {"quality_layer": "silver", "cleaning_rules_version": P.RULES_VERSION}
     run.describe("silver.cleaned_sales", "Checked sales with business and outlier flags", **tags)
     run.describe("silver.cleaned_stores", "Checked stores with derived attributes", **tags)
+    checks = run.save(
+        quality.check_report(
+            {
+                "missing columns": quality.check_columns(sales, P.SALES_TYPES).filter(
+                    "status = 'MISSING'"
+                ),
+                "wrong types": quality.check_types(sales, P.EXPECTED_TYPES).filter("status = 'FAIL'"),
+                "repeated keys": quality.duplicate_keys(sales),
+                "repeated stores": quality.duplicate_keys(stores, ["Store"]),
+                "sales of unknown stores": quality.orphans(sales, stores),
+                "closed with sales": quality.invalid_open_sales(sales).filter("status = 'FAIL'"),
+                "negative sales": quality.ranges(sales, ["Sales"], "Sales").filter("status = 'FAIL'"),
+            },
+            run.started_at,
+        ),
+        "silver.validation_checks",
+    )
+    status = "cleaned" if checks.filter("status = 'FAIL'").isEmpty() else "failed"
+    run.save(quality.coverage(sales), "silver.date_coverage")
     report = {"Silver Sales": sales, "Silver Stores": stores}
     run.save(
-        quality.quality_report(report, run.started_at), "silver.data_quality_report", "append"
+        quality.quality_report(report, run.started_at, status), "silver.data_quality_report", "append"
     )
     for name in ("silver.cleaned_sales", "silver.cleaned_stores"):
         tables.analyze(run.spark, name)
@@ -144,7 +176,27 @@ def build_gold(run: Run) -> None:
         analysis.top_correlations(gold, "Sales", P.CORRELATED_FEATURES),
         "gold.feature_correlation_analysis",
     )
-    run.save(features.feature_dictionary(run.spark), "gold.feature_dictionary")
+    run.save(features.feature_coverage(gold), "gold.feature_dictionary")
+    run.save(
+        analysis.correlation_matrix(gold, ["Sales", *P.CORRELATED_FEATURES]),
+        "gold.feature_correlation_matrix",
+    )
+    shapes = [
+        analysis.histogram(gold, c).select(F.lit(c).alias("feature"), "*") for c in HISTOGRAMS
+    ]
+    run.save(reduce(DataFrame.unionByName, shapes), "gold.feature_histograms")
+    run.save(
+        quality.check_report(
+            {
+                "unfilled features": quality.critical_nulls(gold, P.CRITICAL_FEATURES).filter(
+                    "status = 'FAIL'"
+                ),
+                "repeated keys": quality.duplicate_keys(gold),
+            },
+            run.started_at,
+        ),
+        "gold.validation_checks",
+    )
     run.save(
         quality.validation_report(gold, P.CRITICAL_FEATURES, run.started_at),
         "gold.feature_validation_report",
@@ -155,11 +207,11 @@ def build_gold(run: Run) -> None:
 def build_models(run: Run, overrides: Mapping[str, Mapping[str, object]] | None = None) -> None:
     """Fit the three models, compare them with the moving average and save the predictions."""
     gold = run.table("gold.demand_features")
-    carried = ["demand_volatility", "rolling_std_30", "rolling_mean_30"]
+    carried = ["demand_volatility", "rolling_std_30", "rolling_mean_30", "Promo", "sales_per_customer"]
     names = [*run.features, *[c for c in carried if c not in run.features]]
     matrix = tables.materialize(evaluate.model_matrix(gold, names), "matrix")
     train, test = evaluate.time_split(matrix)
-    kinds = {"xgboost": "boosted", "rf": "forest", "lr": "linear"}
+    kinds = {"boosted": "boosted", "rf": "forest", "lr": "linear"}
     fitted = {
         suffix: models.fit(kind, train, run.features, **(overrides or {}).get(kind, {}))
         for suffix, kind in kinds.items()
@@ -172,9 +224,14 @@ def build_models(run: Run, overrides: Mapping[str, Mapping[str, object]] | None
     }
     compared = evaluate.compare_models(saved, "actual_sales", columns)
     run.save(compared, "ml.model_comparison")
+    run.save(evaluate.best(run.table("ml.model_comparison")), "ml.best_model")
+    run.save(
+        evaluate.residuals(saved, "actual_sales", f"predicted_sales_{P.PRIMARY_MODEL}"),
+        "ml.residual_sample",
+    )
     run.save(
         models.importance(run.spark, fitted[P.PRIMARY_MODEL], run.features),
-        "gold.feature_importance_xgboost",
+        "gold.feature_importance_boosted",
     )
     log_models(run, fitted, train)
 
@@ -212,22 +269,17 @@ def build_recommendations(run: Run, stock: DataFrame | None = None) -> None:
     advice = inventory.recommend(inventory.optimize(latest, stock, run.policy), at)
     saved = run.save(inventory.graded_priority(advice), "ml.inventory_recommendations")
     run.describe("ml.inventory_recommendations", "Stock levels and actions per store")
+    run.save(inventory.urgent(saved), "ml.urgent_orders")
     impact = inventory.business_impact(saved, run.policy, at)
     run.save(impact, "ml.business_impact_analysis", "append")
     run.describe("ml.business_impact_analysis", "Savings and avoided stock-outs over time")
 
 
-# Reports that other sessions read: saved as tables, beside the views of this session.
-SAVED_REPORTS = [
-    "kpi_summary", "accuracy_by_store_type", "savings_by_store", "promo_effectiveness",
-]
-
-
 def build_reports(run: Run) -> dict[str, DataFrame]:
-    """The dashboard queries as session views, some of them saved as well."""
+    """The dashboard queries as session views; those that other sessions read as stored views,
+    which follow the tables."""
     predictions = run.table("ml.demand_predictions")
     stores = run.table("silver.cleaned_stores")
-    gold = run.table("gold.demand_features")
     advice = run.table("ml.inventory_recommendations")
     kpis = reports.kpi_summary(predictions)
     views = {
@@ -239,13 +291,13 @@ def build_reports(run: Run) -> dict[str, DataFrame]:
         "savings_by_store": reports.savings_by_store(advice, run.policy),
         "savings_total": reports.savings_total(advice, run.policy),
         "weekly_trend": reports.weekly_trend(predictions),
-        "importance_rank": reports.importance_rank(run.table("gold.feature_importance_xgboost")),
-        "promo_effectiveness": reports.promo_analysis(predictions, gold),
+        "importance_rank": reports.importance_rank(run.table("gold.feature_importance_boosted")),
+        "promo_effectiveness": reports.promo_analysis(predictions),
         "competition_impact": reports.competition_impact(predictions, stores),
         "impact_latest": reports.impact_latest(run.table("ml.business_impact_analysis")),
     }
-    for name in SAVED_REPORTS:
-        run.save(views[name], f"analytics.{name}")
+    for name, statement in reports.stored_views(run.policy).items():
+        tables.persist_view(run.spark, f"analytics.{name}", statement)
     return {name: tables.register_view(df, name) for name, df in views.items()}
 
 

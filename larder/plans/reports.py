@@ -18,6 +18,8 @@ DISTANCE_BANDS = [
     (10000, "Moderate (5-10km)"),
 ]
 FAR = "Far (>10km)"
+# Labels of the promotion report.
+PROMO_LABELS = {1: "With Promotion", 0: "No Promotion"}
 
 
 def _predicted(model: str) -> str:
@@ -29,7 +31,7 @@ def _percentage(model: str) -> str:
 
 
 def _money(value: Column) -> Column:
-    return F.concat(F.lit("$"), F.format_number(value, 2))
+    return F.concat(F.lit("$"), F.format_number(F.round(value, 2), 2))  # half a cent goes up
 
 
 def kpi_summary(predictions: DataFrame, model: str = PRIMARY_MODEL) -> DataFrame:
@@ -186,15 +188,15 @@ def importance_rank(importance: DataFrame, n: int = 15) -> DataFrame:
     )
 
 
-def promo_analysis(
-    predictions: DataFrame, features: DataFrame, model: str = PRIMARY_MODEL
-) -> DataFrame:
+def promo_analysis(predictions: DataFrame, model: str = PRIMARY_MODEL) -> DataFrame:
     """Sales with and without promotion. Unknown promotion forms a group of its own, under the
-    same label as none."""
-    status = F.when(F.col("Promo") == 1, "With Promotion").otherwise("No Promotion")
+    same label as none.
+
+    The predictions carry ``Promo`` and ``sales_per_customer`` along, so nothing is joined.
+    """
+    status = F.when(F.col("Promo") == 1, PROMO_LABELS[1]).otherwise(PROMO_LABELS[0])
     return (
         predictions.filter(F.col("actual_sales") > 0)
-        .join(features.select("Store", "Date", "Promo", "sales_per_customer"), ["Store", "Date"])
         .groupBy("Promo")
         .agg(
             F.count("*").alias("days_count"),
@@ -207,6 +209,40 @@ def promo_analysis(
     )
 
 
+def stored_views(policy: InventoryPolicy = InventoryPolicy(), model: str = PRIMARY_MODEL) -> dict[str, str]:
+    """The reports that other sessions read, as queries for stored views over the job's tables."""
+    predicted, percentage = _predicted(model), _percentage(model)
+    surplus = "current_inventory - optimal_order_qty"
+    monthly = f"({surplus}) * {policy.holding_cost_per_month}D"
+    return {
+        "kpi_summary": f"""
+            SELECT count(DISTINCT Store) AS total_stores, avg({percentage}) AS avg_forecast_accuracy_pct,
+                   100 - avg({percentage}) AS forecast_accuracy_score,
+                   sum(actual_sales) AS total_actual_sales, sum({predicted}) AS total_predicted_sales,
+                   sum(abs(error_{model})) AS total_absolute_error, current_date() AS report_date
+            FROM ml.demand_predictions""",
+        "accuracy_by_store_type": f"""
+            SELECT StoreType, Assortment, count(DISTINCT p.Store) AS store_count,
+                   avg({percentage}) AS avg_mape, avg(actual_sales) AS avg_actual_sales,
+                   avg({predicted}) AS avg_predicted_sales, sum(actual_sales) AS total_actual_sales,
+                   sum({predicted}) AS total_predicted_sales
+            FROM ml.demand_predictions p JOIN silver.cleaned_stores s ON p.Store = s.Store
+            GROUP BY StoreType, Assortment""",
+        "savings_by_store": f"""
+            SELECT Store, round(current_inventory, 0) AS current_inventory,
+                   round(optimal_order_qty, 0) AS optimal_inventory,
+                   round({surplus}, 0) AS inventory_reduction, round({monthly}, 2) AS monthly_savings,
+                   round({monthly} * 12, 2) AS annual_savings, stockout_risk
+            FROM ml.inventory_recommendations WHERE {surplus} > 0""",
+        "promo_effectiveness": f"""
+            SELECT CASE WHEN Promo = 1 THEN '{PROMO_LABELS[1]}' ELSE '{PROMO_LABELS[0]}' END AS promo_status,
+                   count(*) AS days_count, avg(actual_sales) AS avg_daily_sales,
+                   avg({predicted}) AS avg_predicted_sales,
+                   avg(sales_per_customer) AS avg_sales_per_customer
+            FROM ml.demand_predictions WHERE actual_sales > 0 GROUP BY Promo""",
+    }
+
+
 def competition_impact(
     predictions: DataFrame, stores: DataFrame, model: str = PRIMARY_MODEL
 ) -> DataFrame:
@@ -227,8 +263,9 @@ def competition_impact(
 
 def impact_latest(impact: DataFrame) -> DataFrame:
     """The newest impact row, formatted."""
+    tied = [F.desc("total_stores"), F.desc("total_annual_roi")]
     return (
-        impact.orderBy(F.desc("analysis_date"))
+        impact.orderBy(F.desc("analysis_date"), *tied)
         .limit(1)
         .select(
             "analysis_date",

@@ -1,9 +1,11 @@
 from datetime import date, datetime
 
+from conftest import SF
 from helpers import raw_rows
 from pyspark.sql import functions as F
 
 from larder.operators import cleaning
+from larder.sources import panel
 
 AT = datetime(2024, 1, 1)
 
@@ -61,6 +63,25 @@ def test_dedupe_of_differing_copies_does_not_depend_on_input_order(spark):
     assert [r.Sales for r in newest] == [3.0]
 
 
+def test_dedupe_keeps_the_newest_load_then_the_fullest_row(spark):
+    rows = [
+        (1, "d", 100.0, 5, "2024-01-01", "a"), (1, "d", 250.0, None, "2024-01-02", "b"),
+        (1, "d", 250.0, 6, "2024-01-02", "c"), (2, "d", None, 1, None, "d"), (2, "d", 9.0, 1, None, "e"),
+    ]
+    df = spark.createDataFrame(
+        rows, "Store int, Date string, Sales double, Customers int, ingestion_timestamp string, row_hash string"
+    )
+    kept = {r.Store: (r.Sales, r.Customers) for r in cleaning.dedupe(df).collect()}
+    assert kept == {1: (250.0, 6), 2: (9.0, 1)}
+
+
+def test_a_store_loaded_twice_stays_one_row(spark):
+    stores = panel.raw_stores(spark, SF).withColumn("ingestion_timestamp", F.lit("2024-01-01"))
+    newer = stores.withColumns({"Promo2": F.lit(1), "ingestion_timestamp": F.lit("2024-01-02")})
+    kept = cleaning.clean_stores(stores.unionByName(newer))
+    assert kept.count() == stores.count() and kept.filter("Promo2 <> 1").isEmpty()
+
+
 def test_cleaning_is_idempotent_and_leaves_unique_keys(spark):
     df = raw_rows(spark, {}, {}, {"Store": 2}, {"Store": 3, "Open": 0, "Sales": 0.0})
     once = cleaning.apply_sales_rules(df)

@@ -8,13 +8,9 @@ import pytest
 from conftest import SF
 
 import __spark_entry__ as contract
+from larder.checks import oracle, spark_queries
 from tools.check_oracle import compare
 
-NO_SQL = {
-    "fit_forest", "fit_boosted", "fit_horizon", "coef_importance", "tree_importance",
-    "prediction_table",
-}
-
 
 @pytest.fixture(scope="module")
 def connection():
@@ -25,9 +21,10 @@ def connection():
     return c
 
 
-def test_every_query_has_sql_but_the_trained_models():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == NO_SQL
+def test_every_query_has_sql():
+    assert set(spark_queries.QUERIES) == set(oracle.statements())
     assert set(contract.oracle_sql()) <= set(contract.queries())
+    assert set(spark_queries.QUERIES) <= set(contract.queries())
 
 
 def test_entry(spark):
@@ -39,7 +36,8 @@ def test_entry(spark):
 @pytest.mark.parametrize("name", [
     "bronze_ingest", "sink_append", "quality_counts", "rule_audit", "clean_sales", "clean_stores",
     "lag_features_calendar", "rolling_moments", "build_features", "histogram", "time_split",
-    "model_comparison", "optimize_stores", "service_z", "accuracy_by_type", "promo_analysis",
+    "model_comparison", "optimize_stores", "optimal_inventory_unknown", "dedupe_latest_load",
+    "exact_quantile", "corr_matrix", "fit_linear", "orphan_check", "service_z", "accuracy_by_type", "promo_analysis",
 ])
 def test_query_equals_its_sql(spark, connection, name):
     assert compare(spark, connection, name, SF).startswith("equal")

@@ -157,7 +157,10 @@ def test_features_do_not_see_later_rows(spark):
 
 
 def test_dictionary(spark):
-    dictionary = features.feature_dictionary(spark)
+    names = [f for group in P.FEATURE_CATEGORIES.values() for f in group]
+    known = spark.range(3).select(*[F.when(F.col("id") > 0, 1).alias(f) for f in names])
+    dictionary = features.feature_coverage(known)
+    assert {r.filled_rows for r in dictionary.collect()} == {2}
     counts = {r.category: r.features for r in features.feature_counts(dictionary).collect()}
     assert counts == {c: len(names) for c, names in P.FEATURE_CATEGORIES.items()}
     kinds = {r.feature_name: r.data_type for r in dictionary.collect()}

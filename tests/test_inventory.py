@@ -34,7 +34,22 @@ def test_edges(spark):
     assert zero.days_until_stockout == 999 and zero.economic_order_qty == 0 and zero.safety_stock == 0
     assert unknown.stockout_risk == "UNKNOWN" and unknown.days_until_stockout is None
     assert nan.safety_stock == 0 and nan.reorder_point == 70
-    assert none.safety_stock == 0 and none.stockout_risk == "LOW"
+    assert none.safety_stock is None and none.stockout_risk == "UNKNOWN"
+
+
+def test_unknown_is_not_healthy(spark):
+    advice = inventory.graded_priority(
+        inventory.recommend(plan(spark, (None, None, 5.0), (300.0, 0.5, None), (300.0, 0.5, 500.0)))
+    )
+    lost, unstocked, known = advice.orderBy("Store").collect()
+    for row in (lost, unstocked):
+        assert row.stockout_risk == "UNKNOWN" and row.recommended_action.startswith("UNKNOWN")
+        assert row.days_until_stockout is None
+        assert row.order_priority is None and row.graded_priority is None and row.excess_inventory is None
+    assert lost.safety_stock is None and lost.reorder_point is None and lost.economic_order_qty is None
+    assert known.order_priority == 4
+    totals = inventory.impact_totals(advice).first()
+    assert (totals.total_stores, totals.unknown_stores) == (3, 2)
 
 
 def test_reorder_point_never_lies_under_safety_stock(spark):
@@ -63,7 +78,7 @@ def test_actions_and_priorities(spark):
 def forecasts(spark, days, store=1):
     return spark.createDataFrame(
         [(store, DAY + timedelta(days=i), 10.0, 1.0, 0.5) for i in range(days)],
-        "Store int, Date date, actual_sales double, predicted_sales_xgboost double, demand_volatility double",
+        "Store int, Date date, actual_sales double, predicted_sales_boosted double, demand_volatility double",
     )
 
 

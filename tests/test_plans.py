@@ -8,7 +8,7 @@ from conftest import SF, plan_of
 from pyspark.sql import functions as F
 
 from larder import params as P
-from larder.operators import cleaning, evaluate, features, inventory, quality
+from larder.operators import cleaning, evaluate, features, inventory, models, quality
 from larder.plans import medallion, reports
 from larder.sources import panel, tables
 
@@ -18,7 +18,8 @@ def hash_exchanges(plan):
 
 
 def test_all_features_take_one_shuffle_by_store(spark):
-    sales, stores = panel.store_days(spark, SF), cleaning.clean_stores(panel.raw_stores(spark, SF))
+    sales = panel.store_days(spark, SF)
+    stores = tables.materialize(cleaning.clean_stores(panel.raw_stores(spark, SF)))
     complete = sales.withColumns(
         {c: F.lit(0) for c in ("Open", "is_holiday", "is_promo_day", "SchoolHoliday")}
         | {"StateHoliday": F.lit("None")}
@@ -86,14 +87,35 @@ def test_filters_and_columns_reach_the_scan(spark):
 def test_accuracy_report_groups_before_it_joins(spark):
     predictions = tables.materialize(
         panel.store_days(spark, SF).select(
-            "Store", F.col("Sales").alias("actual_sales"), F.col("Sales").alias("predicted_sales_xgboost"),
-            F.lit(1.0).alias("percentage_error_xgboost"),
+            "Store", F.col("Sales").alias("actual_sales"), F.col("Sales").alias("predicted_sales_boosted"),
+            F.lit(1.0).alias("percentage_error_boosted"),
         )
     )
     plan = plan_of(reports.competition_impact(predictions, panel.raw_stores(spark, SF)))
     assert plan.index("Join") < plan.index("keys=[Store")
 
 
+def test_two_loads_keep_one_row_per_store_day_and_the_newer_figure(spark, tmp_path):
+    run = lambda day: medallion.Run(spark, datetime(2025, 1, day), root=str(tmp_path / "tables"))
+    names = [f.name for f in P.RAW_SALES]
+    for day, more in ((1, 0), (2, 500)):
+        rows = panel.raw_sales(spark, SF).select(names).filter("Store <= 3")
+        rows = rows.withColumn("Sales", F.when(F.col("Sales") > 0, F.col("Sales") + more).otherwise(F.col("Sales")))
+        sales, stores = str(tmp_path / f"sales{day}"), str(tmp_path / f"stores{day}")
+        rows.write.option("header", True).csv(sales)
+        panel.raw_stores(spark, SF).filter("Store <= 3").write.option("header", True).csv(stores)
+        medallion.build_bronze(run(day), sales, stores, mode="overwrite" if day == 1 else "append")
+    medallion.build_silver(run(2))
+    medallion.build_gold(run(2))
+    silver, gold = spark.table("silver.cleaned_sales"), spark.table("gold.demand_features")
+    assert silver.count() == silver.select("Store", "Date").distinct().count()
+    assert gold.count() == gold.select("Store", "Date").distinct().count() > 0
+    assert silver.filter("Sales > 0 AND Sales < 500").isEmpty()
+    assert spark.table("silver.cleaned_stores").count() == 4  # numbers 0 to 3
+    for layer in P.LAYERS:
+        spark.sql(f"DROP SCHEMA IF EXISTS {layer} CASCADE")
+
+
 @pytest.fixture(scope="module")
 def views(spark, tmp_path_factory):
     folder = tmp_path_factory.mktemp("job")
@@ -110,7 +132,9 @@ def test_the_job_fills_every_table(spark, views):
         "bronze.raw_sales", "bronze.raw_stores", "bronze.data_lineage", "silver.cleaned_sales",
         "silver.cleaned_stores", "silver.data_quality_report", "silver.cleaning_audit",
         "gold.demand_features", "gold.feature_correlation_analysis", "gold.feature_dictionary",
-        "gold.feature_validation_report", "gold.feature_importance_xgboost", "ml.model_comparison",
+        "gold.feature_validation_report", "gold.validation_checks", "silver.validation_checks",
+        "silver.date_coverage", "gold.feature_histograms", "gold.feature_correlation_matrix",
+        "ml.best_model", "ml.residual_sample", "gold.feature_importance_boosted", "ml.model_comparison",
         "ml.demand_predictions", "ml.inventory_recommendations", "ml.business_impact_analysis",
         "ml.model_runs", "analytics.data_exploration_summary", "analytics.kpi_summary",
         "analytics.accuracy_by_store_type", "analytics.savings_by_store",
@@ -120,6 +144,56 @@ def test_the_job_fills_every_table(spark, views):
         assert not spark.table(name).isEmpty(), name
 
 
+def test_validations_have_real_results(spark, views):
+    checks = {r.check_name: r for r in spark.table("silver.validation_checks").collect()}
+    assert checks["repeated keys"].status == "PASS" and checks["sales of unknown stores"].failures == 0
+    assert {r.quality_status for r in spark.table("silver.data_quality_report").collect()} == {"cleaned"}
+    broken = quality.check_report({"x": spark.range(3), "y": spark.range(0)}, datetime(2024, 1, 1))
+    assert [(r.failures, r.status) for r in broken.collect()] == [(3, "FAIL"), (0, "PASS")]
+
+
+def test_stored_views_say_what_the_reports_say(spark, views):
+    for name, key in {
+        "kpi_summary": "total_stores", "accuracy_by_store_type": "StoreType", "savings_by_store": "Store",
+        "promo_effectiveness": "promo_status",
+    }.items():
+        assert spark.catalog.getTable(f"analytics.{name}").tableType == "VIEW"
+        assert reports.stored_views().keys() >= {name}
+        stored = spark.table(f"analytics.{name}")
+        assert set(stored.columns) == set(views[name].columns)
+        rows = lambda df: sorted(
+            [tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in df.select(*stored.columns).collect()],
+            key=str,
+        )
+        assert rows(stored) == rows(views[name]), key
+
+
+def test_sales_within_the_thirty_rows_do_not_move_the_forecast(spark, views):
+    gold = spark.table("gold.demand_features")
+    train, test = evaluate.time_split(evaluate.model_matrix(gold, [*P.HORIZON_FEATURES, "demand_volatility"]))
+    model = models.fit("linear", train, P.HORIZON_FEATURES)
+    sales = spark.table("silver.cleaned_sales")
+    stores = spark.table("silver.cleaned_stores")
+
+    def forecast(changed):
+        again = features.build_features(changed, stores)
+        rows = evaluate.model_matrix(again, [*P.HORIZON_FEATURES, "demand_volatility"])
+        rows = rows.join(test.select("Store", "Date"), ["Store", "Date"])
+        wide = models.prediction_table(rows, {"lr": model}, primary="lr", keep=["demand_volatility"])
+        latest = inventory.latest_forecast(inventory.roll_forward(wide, "lr")).collect()
+        return {r.Store: (r.latest_date, r.forecast_next_30d) for r in latest if r.latest_date}
+
+    before = forecast(sales)
+    start = spark.createDataFrame([(s, d) for s, (d, _) in before.items()], "Store int, from date")
+    inside = sales.join(start, "Store", "left").withColumn(
+        "Sales", F.when(F.col("Date") >= F.col("from"), F.col("Sales") * 3 + 7).otherwise(F.col("Sales"))
+    )
+    after = forecast(inside.drop("from"))
+    assert before and after.keys() == before.keys()
+    for store, (day, value) in before.items():
+        assert after[store] == (day, pytest.approx(value, rel=1e-9))
+
+
 def test_the_views_answer(views):
     for name, view in views.items():
         assert view.count() > 0, name
@@ -143,5 +217,10 @@ def test_each_bucket_of_the_features_is_one_file(spark, views):
 def test_store_windows_over_the_saved_tables_need_no_shuffle(spark, views):
     gold = spark.table("gold.demand_features")
     assert hash_exchanges(plan_of(features.add_lags(gold.select("Store", "Date", "Sales"), "Sales", [3]))) == []
+    silver = spark.table("silver.cleaned_sales").drop(*P.INGEST_COLUMNS)
+    stores = spark.table("silver.cleaned_stores").drop(*P.INGEST_COLUMNS)
+    assert hash_exchanges(plan_of(features.build_features(silver, stores))) == []
+    report = reports.promo_analysis(spark.table("ml.demand_predictions"))
+    assert "Join" not in plan_of(report)
     ahead = inventory.roll_forward(spark.table("ml.demand_predictions"))
     assert hash_exchanges(plan_of(inventory.latest_forecast(ahead))) == []

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from conftest import plan_of
 from pyspark.sql import functions as F
 
 from larder.operators import quantile
@@ -28,15 +29,39 @@ def coarse_and_gappy(spark):
 def test_large_columns_match_numpy(spark, make):
     df = make(spark)
     values = np.array([r.v for r in df.collect() if r.v is not None])
-    for q in LEVELS:
-        got = quantile.exact_quantile(df, "v", q).first()["quantile"]
-        assert got == pytest.approx(np.quantile(values, q), rel=1e-12), q
+    got = [r["quantile"] for r in quantile.exact_quantile(df, "v", LEVELS).collect()]
+    assert got == pytest.approx(list(np.quantile(values, LEVELS)), rel=1e-12)
+
+
+def test_ranks_are_enclosed_whatever_is_proposed(spark, monkeypatch):
+    """A sketch that proposes values far too high or too low costs time, never the right rank."""
+    df = spark.range(100).select(F.col("id").cast("double").alias("v"))
+    for near in ([80.0, 99.0], [0.0, 3.0], [50.0], []):
+        proposed = sorted({0.0, 99.0, *near})
+        monkeypatch.setattr(quantile, "_proposed", lambda values, qs, p=proposed: (100, p))
+        assert quantile.quantile_values(df, "v", [0.5, 0.0, 1.0, 0.995]) == [49.5, 0.0, 99.0, 98.505]
+
+
+def test_reads_its_input_a_few_times(spark, tmp_path):
+    spark.range(50_000).select((F.col("id") * 7919 % 50_021).cast("double").alias("v")).write.parquet(
+        str(tmp_path / "v")
+    )
+    df = spark.read.parquet(str(tmp_path / "v"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("quantile", "one quantile")
+    flagged = quantile.flag_above_quantile(df, "v", 0.99)
+    jobs = tracker.getJobIdsForGroup("quantile")
+    spark.sparkContext._jsc.clearJobGroup()
+    assert 2 <= len(jobs) <= 8  # three reads; adaptive execution runs a job per shuffle
+    assert plan_of(flagged).count("FileScan") == 1  # the bound is a number by now
 
 
 def test_small_columns(spark):
     df = spark.createDataFrame([(float(i),) for i in (5, 1, 4)] + [(None,)], "v double")
     assert quantile.exact_quantile(df, "v", 0.5).first()["quantile"] == 4.0
     assert quantile.exact_quantile(df, "v", 0.75).first()["quantile"] == 4.5
+    odd = df.unionByName(spark.createDataFrame([(float("nan"),), (float("inf"),)], "v double"))
+    assert quantile.quantile_values(odd, "v", [0.0, 1.0]) == [1.0, float("inf")]
     single = df.filter("v = 5")
     assert quantile.exact_quantile(single, "v", 0.99).first()["quantile"] == 5.0
     assert quantile.exact_quantile(df.filter("v > 9"), "v", 0.99).first()["quantile"] is None

@@ -6,8 +6,8 @@ from larder.operators import inventory
 from larder.plans import reports
 
 PREDICTIONS = (
-    "Store int, Date date, actual_sales double, predicted_sales_xgboost double, "
-    "error_xgboost double, percentage_error_xgboost double"
+    "Store int, Date date, actual_sales double, predicted_sales_boosted double, "
+    "error_boosted double, percentage_error_boosted double"
 )
 
 
@@ -60,7 +60,8 @@ def test_weeks_start_on_monday(predictions):
 def test_promo_groups_unknown_apart(spark, predictions):
     rows = [(1, date(2024, 1, 1), 1, 2.0), (1, date(2024, 1, 7), 0, 3.0), (2, date(2024, 1, 9), None, 4.0)]
     known = spark.createDataFrame(rows, "Store int, Date date, Promo int, sales_per_customer double")
-    got = sorted((r.promo_status, r.days_count, r.avg_sales_per_customer) for r in reports.promo_analysis(predictions, known).collect())
+    carried = predictions.join(known, ["Store", "Date"])
+    got = sorted((r.promo_status, r.days_count, r.avg_sales_per_customer) for r in reports.promo_analysis(carried).collect())
     assert got == [("No Promotion", 1, 3.0), ("No Promotion", 1, 4.0), ("With Promotion", 1, 2.0)]
 
 
