@@ -91,4 +91,57 @@ SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
 FROM folded LEFT JOIN hit USING (row) LEFT JOIN named USING (row)
 """
 
-STATEMENTS = {"op1_pareto_mix": OP1, "op3_decontaminate": OP3}
+OP9 = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS parts
+  FROM documents
+), raw AS (
+  SELECT row, doc_id, unnest(parts) AS line, unnest(generate_series(0, len(parts) - 1)) AS n FROM docs
+), solid AS (
+  SELECT row, doc_id, n, regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS line,
+    len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w
+  FROM raw WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY row ORDER BY n) AS pos,
+    (sum(w) OVER (PARTITION BY row ORDER BY n))::BIGINT AS upto
+  FROM solid
+), whole AS (
+  SELECT row, list(line ORDER BY pos) AS lines, list(upto ORDER BY pos) AS ends FROM placed GROUP BY row
+), starts AS (
+  SELECT p.row, doc_id, pos, lines, ends, upto - w AS before,
+    len(list_filter(ends, lambda x: x < upto - w + 50)) + 1 AS last
+  FROM placed p JOIN whole USING (row)
+), windows AS (
+  SELECT row, pos, last, lines[pos : last] AS content,
+    {'no': doc_id IS NULL, 'd': doc_id, 'r': row, 'p': pos} AS place,
+    list_reverse(lines[len(list_filter(list_prepend(0, ends), lambda x: x <= before - 50)) + 1 : pos - 1])
+      AS head,
+    lines[last + 1 : len(list_filter(ends, lambda x: x < ends[last] + 50))] AS tail
+  FROM starts WHERE last <= len(lines)
+), first AS (
+  SELECT content, min(place) AS place, arg_min(head, place) AS head, arg_min(tail, place) AS tail
+  FROM windows GROUP BY content HAVING count(*) > 1
+), spans AS (
+  SELECT row,
+    pos - len(list_filter(generate_series(1, least(len(w.head), len(f.head))),
+      lambda i: w.head[1 : i] = f.head[1 : i])) AS low,
+    last + len(list_filter(generate_series(1, least(len(w.tail), len(f.tail))),
+      lambda i: w.tail[1 : i] = f.tail[1 : i])) AS high
+  FROM windows w JOIN first f USING (content) WHERE w.place <> f.place
+), gone AS (
+  SELECT DISTINCT row, unnest(generate_series(low, high)) AS pos FROM spans
+), runs AS (
+  SELECT row, pos - row_number() OVER (PARTITION BY row ORDER BY pos) AS run, n, w
+  FROM gone JOIN placed USING (row, pos)
+), merged AS (
+  SELECT row, min(n) AS a, max(n) AS b, sum(w) AS w FROM runs GROUP BY row, run
+), cut AS (
+  SELECT row, string_agg(a || '-' || b, ',' ORDER BY a) AS lines_removed, sum(w)::BIGINT AS words_removed
+  FROM merged GROUP BY row
+)
+SELECT doc_id, len(parts)::BIGINT AS n_lines, coalesce(lines_removed, '') AS lines_removed,
+  coalesce(words_removed, 0)::BIGINT AS words_removed
+FROM docs LEFT JOIN cut USING (row)
+"""
+
+STATEMENTS = {"op1_pareto_mix": OP1, "op3_decontaminate": OP3, "op9_repeated_lines": OP9}
