@@ -70,6 +70,17 @@ def saved(df: DataFrame, name: str, **options: object) -> tuple[str, DataFrame]:
     return table, tables.write_table(df, table, path=path, **options)
 
 
+_KEPT: dict[tuple, object] = {}
+
+
+def once(spark: SparkSession, *key: object, make: Callable[[], object]) -> object:
+    """What several queries of a session need and is slow to make: training rows, fitted models."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _KEPT:
+        _KEPT[full] = make()
+    return _KEPT[full]
+
+
 # --- inputs ----------------------------------------------------------------------------------
 
 
@@ -103,8 +114,11 @@ FORECAST_INPUTS = [
 
 
 def gold_table(spark: SparkSession, sf: str) -> DataFrame:
-    """The features forecasts and reports need, written once since they are read several times."""
-    return tables.materialize(gold(spark, sf).select(*FORECAST_INPUTS), "gold")
+    """The features forecasts and reports need: written once a session, as the job's table is."""
+    return once(
+        spark, sf, "gold",
+        make=lambda: tables.materialize(gold(spark, sf).select(*FORECAST_INPUTS), "gold"),
+    )
 
 
 def forecasts(features_table: DataFrame, *keep: str) -> DataFrame:
@@ -912,17 +926,6 @@ def model_run_log(spark, sf):
 # --- models ----------------------------------------------------------------------------------
 
 
-_KEPT: dict[tuple, object] = {}
-
-
-def once(spark: SparkSession, *key: object, make: Callable[[], object]) -> object:
-    """What several queries of a session need and is slow to make: training rows, fitted models."""
-    full = (spark.sparkContext.applicationId, *key)
-    if full not in _KEPT:
-        _KEPT[full] = make()
-    return _KEPT[full]
-
-
 def _matrix_split(spark, sf, names=P.SAFE_FEATURES):
     """Training and test rows, written once because fitting reads them many times."""
     matrix = once(
