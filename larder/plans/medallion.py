@@ -53,7 +53,7 @@ class Run:
 
     @property
     def batch_id(self) -> str:
-        return self.started_at.strftime("%Y%m%d_%H%M%S")
+        return self.started_at.strftime("%Y%m%d_%H%M%S_%f")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.table(name)
@@ -309,10 +309,14 @@ def build_all(
     stock: DataFrame | None = None,
     overrides: Mapping[str, Mapping[str, object]] | None = None,
 ) -> dict[str, DataFrame]:
+    """The whole job. Its steps' files are removed at the end; its tables and views stay."""
+    before = tables.steps(run.spark)
     build_bronze(run, sales_path, stores_path, fmt)
     profile_bronze(run)
     build_silver(run)
     build_gold(run)
     build_models(run, overrides)
     build_recommendations(run, stock)
-    return build_reports(run)
+    views = build_reports(run)
+    tables.release(run.spark, keep=before)
+    return views

@@ -39,12 +39,19 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> int:
-    """Remove the files of all steps this application has written; returns how many there were.
+def steps(spark: SparkSession) -> int:
+    """How many steps this application has written and not released."""
+    return len(_STEPS.get(spark.sparkContext.applicationId, []))
 
-    Call it when the results that read them have been saved.
+
+def release(spark: SparkSession, keep: int = 0) -> int:
+    """Remove the files of all steps but the first ``keep``; returns how many there were.
+
+    Call it when the results that read them have been saved. A job that others may have steps
+    beside keeps those there were when it began.
     """
-    steps = _STEPS.pop(spark.sparkContext.applicationId, [])
+    written = _STEPS.get(spark.sparkContext.applicationId, [])
+    steps, written[keep:] = written[keep:], []
     jvm = spark.sparkContext._jvm
     for step in steps:
         path = jvm.org.apache.hadoop.fs.Path(step)

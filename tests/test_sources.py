@@ -1,3 +1,4 @@
+import os
 from datetime import datetime
 
 import pytest
@@ -129,3 +130,14 @@ def test_panel_has_one_row_per_store_and_day(spark):
     raw = panel.raw_sales(spark, SF)
     assert raw.count() > days.count()
     assert set(raw.columns) == {f.name for f in P.RAW_SALES}
+
+
+def test_release_removes_later_steps_only(spark):
+    first = tables.materialize(spark.range(3))
+    before = tables.steps(spark)
+    second = tables.materialize(spark.range(4))
+    assert tables.steps(spark) == before + 1 and second.count() == 4
+    folder = second.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+    assert tables.release(spark, keep=before) == 1
+    assert not os.path.exists(folder) and first.count() == 3
+    assert tables.steps(spark) == before
