@@ -132,7 +132,9 @@ def hits(
 
     Words are runs of 0-9, A-Z in either case and anything outside ASCII. An item of fewer than
     ``window`` words, but not none, is one window. Nulls and empty texts have no words and hit
-    nothing; an item with a null id counts under the id ``null``; items with one id are one.
+    nothing; an item with a null id counts under the id ``null``; items with one id are one. Each
+    document stands for itself: repeated rows get the same, no rows give none, an empty benchmark
+    hits nothing, and other columns are not looked at.
     """
     context = docs.sparkSession.sparkContext
     schema = "n_words long, items array<string>, spans array<struct<a: int, b: int>>"

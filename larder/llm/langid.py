@@ -278,7 +278,8 @@ def training_words(
     """The words of each language in the learning rows, counted on the executors.
 
     ``most_texts`` texts of each language are read, those of the least hashes of their ids; of
-    their words the ``most_words`` commonest are returned.
+    their words the ``most_words`` commonest are returned. The hashes are narrowed down in 64 parts
+    of a language first, so at most 64 times ``most_texts`` of them meet in a task.
     """
     known = (remainder(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull()
     mark = F.xxhash64("doc_id")
@@ -289,8 +290,7 @@ def training_words(
         order = Window.partitionBy(*group).orderBy("mark")
         least = least.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= most_texts)
     chosen = (
-        least
-        .groupBy("lang")
+        least.groupBy("lang")
         .agg(F.max("mark").alias("upto"))
         .orderBy("lang")
         .limit(most_languages)
@@ -327,7 +327,10 @@ def train(docs: DataFrame, vocabulary: str = VOCABULARY, **bounds: int) -> Model
 def identify(docs: DataFrame, model: Model | None, text: str = "text") -> Column:
     """A column with ``lang_pred`` and ``score``, from 0 to 1, of each whole text.
 
-    ``und`` with score 0 for nulls and for texts without a letter, and for all without a model.
+    ``und`` with score 0 for nulls and for texts without a letter, and for all without a model. Of
+    equally likely languages the first by name is predicted. Each row stands for itself: repeated
+    rows get the same, no rows give none, and other columns, ids and languages among them, are
+    not looked at.
     """
 
     def compute(texts: list[bytes]) -> Iterable[tuple]:

@@ -111,7 +111,9 @@ def find(
     exclusive), by start, then kind. The base patterns find assignments, access keys and long
     hexadecimal runs. A run of 20 or more letters, digits and +/_=- is ``random`` besides if
     its tokens hold fewer than ``most`` characters each, it overlaps no base span and has not
-    the form of a digest or an identifier. Nulls and empty texts have no spans.
+    the form of a digest or an identifier. Nulls and empty texts have no spans. Each row stands for
+    itself: repeated rows get the same, no rows give none, ids may be null, and other columns are
+    not looked at.
 
     The driver reads the vocabulary, of about a megabyte, and broadcasts it.
     """
