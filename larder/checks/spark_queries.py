@@ -1018,7 +1018,13 @@ def fit_boosted(spark, sf):
 
 @query
 def fit_horizon(spark, sf):
-    """Only inputs known thirty rows ahead; a linear model, as the flagship's."""
+    """Only inputs known thirty rows ahead."""
+    return _against_mean(spark, sf, "boosted", P.HORIZON_FEATURES)
+
+
+@query
+def score_horizon(spark, sf):
+    """Only inputs known thirty rows ahead, and the flagship's kind of model."""
     _, test = _matrix_split(spark, sf, P.HORIZON_FEATURES)
     scored = models.score(_fitted(spark, sf, "linear", P.HORIZON_FEATURES), test)
     usable = F.col("prediction").isNotNull() & ~F.isnan("prediction")
