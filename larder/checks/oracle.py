@@ -778,7 +778,7 @@ WITH c AS ({cut_of("panel")})
 SELECT 'train' AS table_name, (SELECT COUNT(*) FROM panel WHERE Date < cut) AS record_count, cut FROM c
 UNION ALL SELECT 'test', (SELECT COUNT(*) FROM panel WHERE Date >= cut), cut FROM c"""
 SQL["regression_metrics"] = f"""
-SELECT Store, rows, {ROUNDED_MEASURES}
+SELECT Store, rows, {", ".join(r(m, 6) for m in ("MAE", "RMSE", "R_square", "MAPE_percent"))}
 FROM (SELECT Store, COUNT(*) AS rows, {measures("predicted_sales_lag30")} FROM pred GROUP BY Store)"""
 SQL["baseline_forecast"] = of_panel(f"AVG(Sales) {before(30)} AS predicted_sales_baseline")
 PREDICTION_COLUMNS = [

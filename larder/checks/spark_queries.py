@@ -860,11 +860,10 @@ def time_split(spark, sf):
 
 @query
 def regression_metrics(spark, sf):
-    return rounded(
-        evaluate.metrics(
-            predictions(spark, sf), "actual_sales", f"predicted_sales_{FORECAST}", by=["Store"]
-        )
+    measured = evaluate.metrics(
+        predictions(spark, sf), "actual_sales", f"predicted_sales_{FORECAST}", by=["Store"]
     )
+    return rounded(measured, digits=6)  # means of eighths over a hundred rows end by the fifth
 
 
 @query
