@@ -144,8 +144,8 @@ def closure(
     """The lists of each vector: its nearest, and the next ones that are nearly as near."""
     out = []
     most = min(most, len(centres))
-    for low in range(0, len(v), 1024):
-        d = distances2(v[low : low + 1024], centres)
+    for low in range(0, len(v), 256):
+        d = distances2(v[low : low + 256], centres)
         near = np.argpartition(d, most - 1, axis=1)[:, :most]
         near_d = np.take_along_axis(d, near, 1)
         order = np.argsort(near_d, axis=1, kind="stable")
