@@ -81,6 +81,11 @@ def once(spark: SparkSession, *key: object, make: Callable[[], object]) -> objec
     return _KEPT[full]
 
 
+def forget() -> None:
+    """Make what queries share anew when next asked for; for timing a query from the raw files."""
+    _KEPT.clear()
+
+
 # --- inputs ----------------------------------------------------------------------------------
 
 
