@@ -21,7 +21,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeats of passages are cut; a document made of nothing else goes."""
-    kept = linededup.dedup(docs)
+    kept = linededup.dedup(docs, whole_runs=True)
     nothing_left = (F.col("words_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     return kept.filter(~nothing_left).select(
         *[

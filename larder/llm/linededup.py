@@ -90,7 +90,7 @@ def _same(mine: str, other: str) -> F.Column:
     ).cast("int")
 
 
-def repeats(lines: DataFrame) -> DataFrame:
+def repeats(lines: DataFrame, whole_runs: bool = False) -> DataFrame:
     """Runs of lines that occur before, as ``place``, ``low`` and ``high``.
 
     Lines are counted among those with words. What comes before is decided by ``place``, then
@@ -98,6 +98,9 @@ def repeats(lines: DataFrame) -> DataFrame:
     that keeps the pairs as many as the positions, however many texts share a line. The group's
     first is a partial aggregate and the join is split by adaptive execution. Matches are
     extended to the lines before and after as far as both texts agree.
+
+    A run may go on as in another earlier place than the first; the lines by which it does are
+    found with ``whole_runs`` only, see `longer`.
     """
     windows = lines.select("place", F.explode("windows").alias("w")).select("place", "w.*")
     first = (
@@ -114,10 +117,47 @@ def repeats(lines: DataFrame) -> DataFrame:
     )
     up = _same("head", "first.head")
     down = _same("tail", "first.tail")
-    return later.select(
+    spans = later.select(
         "place",
         (F.col("pos") - up).alias("low"),
         (F.col("pos") + F.col("lines") - 1 + down).alias("high"),
+        "pos",
+        "window",
+        down.alias("down"),
+        F.when(down < F.size("tail"), F.col("tail")).alias("tail"),
+    )
+    if not whole_runs:
+        return spans.select("place", "low", "high")
+    spans = materialize(spans, "repeats")
+    return spans.select("place", "low", "high").unionByName(longer(spans))
+
+
+def longer(spans: DataFrame) -> DataFrame:
+    """Runs that go on past what they share with the first of their group, as in an earlier place.
+
+    Two windows that share more of their tails than the first does both part from it at the same
+    line. So only these are looked at, by the hash of each longer prefix of the tail, of under
+    ``min_words`` lines, and each is joined with the first of its prefix: rows, not pairs.
+    """
+    sizes = F.sequence(F.col("down") + 1, F.size("tail"))
+    prefixes = (
+        spans.filter("tail is not null")
+        .withColumn("more", F.explode(sizes))
+        .withColumn("prefix", F.xxhash64("window", F.slice("tail", F.lit(1), F.col("more"))))
+        .drop("tail")
+    )
+    key = ["window", "prefix", "more"]
+    first = (
+        prefixes.groupBy(*key)
+        .agg(F.count("*").alias("n"), F.min(F.struct("place", "pos")).alias("first"))
+        .filter("n > 1")
+        .drop("n")
+    )
+    return (
+        prefixes.join(first, key)
+        .filter(F.struct("place", "pos") != F.col("first"))
+        .groupBy("place", "low")
+        .agg(F.max(F.col("high") - F.col("down") + F.col("more")).alias("high"))
     )
 
 
@@ -147,11 +187,16 @@ _removed.__annotations__ = {k: pa.Array for k in ("lows", "highs", "at", "words"
 
 
 def removals(
-    docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", min_words: int = 50
+    docs: DataFrame,
+    row: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    min_words: int = 50,
+    whole_runs: bool = False,
 ) -> DataFrame:
     """What to cut from each document: ``row``, ``doc_id``, ``n_lines``, and what `dedup` adds."""
     lines = line_table(docs, row, doc_id, text, min_words)
-    spans = repeats(lines).groupBy("place").agg(F.collect_set(F.struct("low", "high")).alias("s"))
+    spans = repeats(lines, whole_runs).groupBy("place").agg(F.collect_set(F.struct("low", "high")).alias("s"))
     removed = F.arrow_udf(_removed, "lines_removed string, words_removed long")
     return (
         lines.drop("windows")
@@ -184,10 +229,19 @@ _cut.__annotations__ = {k: pa.Array for k in ("texts", "spans", "return")}
 
 
 def dedup(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50
+    docs: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    min_words: int = 50,
+    whole_runs: bool = False,
 ) -> DataFrame:
     """``docs`` with later repeats of runs of ``min_words`` or more words cut out of ``text``.
 
+    By default each position is compared with the first of its group only, as the SQL of
+    op9_repeated_lines states it: where the first place of a window does not go on like two later
+    ones, the last lines of the later run, under ``min_words`` words, stay. With ``whole_runs``
+    every later repeat is cut whole.
+
     Adds ``lines_removed`` (string, such as ``3-7,12-12``; numbers of lines from 0) and
     ``words_removed`` (long). Two lines are equal if they are but for spaces at their ends.
     Whole texts are compared. A run is looked for in all other documents and in its own. Runs
@@ -200,7 +254,7 @@ def dedup(
     row = free_name(docs, "_row")
     docs = docs.drop("lines_removed", "words_removed")
     docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
-    changes = removals(docs, row, doc_id, text, min_words).select(
+    changes = removals(docs, row, doc_id, text, min_words, whole_runs).select(
         row, "lines_removed", "words_removed"
     )
     changed = changes.filter("lines_removed <> ''")

@@ -89,3 +89,44 @@ def test_every_line_survives_somewhere(spark):
 
 def test_empty(spark):
     assert linededup.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def whole_runs(texts, min_words=50):
+    """texts in order. For each, the set of numbers of lines with words in runs seen before."""
+    seen, cut = set(), []
+    for text in texts:
+        lines = [(i, x.strip()) for i, x in enumerate((text or "").split("\n")) if x.strip()]
+        cut.append(set())
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = tuple(x for _, x in lines[a:b])
+                if sum(len(brute.words_of(x)) for x in run) >= min_words:
+                    if run in seen:
+                        cut[-1].update(i for i, _ in lines[a:b])
+                    seen.add(run)
+    return cut
+
+
+def test_whole_runs_are_cut_though_the_first_place_goes_on_otherwise(spark):
+    window, tail = " ".join(f"w{k}" for k in range(60)), "t1 t2\nt3 t4"
+    by_hand = [(1, window), (2, f"{window}\n{tail}\nx"), (3, f"y\n{window}\n{tail}\nz"), (4, f"{window}\nt1 t2\nv")]
+    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(by_hand, SCHEMA), whole_runs=True).collect()}
+    assert got == {1: window, 2: f"{tail}\nx", 3: "y\nz", 4: "v"}
+    for seed in (1, 4):
+        rows = documents(seed)
+        df = spark.createDataFrame(rows, SCHEMA).coalesce(1).withColumn("row", F.monotonically_increasing_id())
+        got = {r.row: r.lines_removed for r in linededup.removals(df, "row", whole_runs=True).collect()}
+        for (i, (_, text)), cut in zip(in_order(rows), whole_runs([r[1] for _, r in in_order(rows)])):
+            spans = [tuple(map(int, s.split("-"))) for s in got[i].split(",") if s]
+            lines = (text or "").split("\n")
+            assert {k for a, b in spans for k in range(a, b + 1) if lines[k].strip()} == cut
+
+
+def test_the_pipeline_cuts_whole_runs(spark):
+    import corpus_pipeline
+
+    window, tail = " ".join(f"w{k}" for k in range(60)), "t1 t2 t3"
+    rows = [(1, window, 1), (2, f"{window}\n{tail}\nx", 1), (3, f"{window}\n{tail}\nz", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    kept = corpus_pipeline.cut_repeated_lines(spark, docs, "").collect()
+    assert {r.doc_id: r.text for r in kept} == {1: window, 2: f"{tail}\nx", 3: "z"}
