@@ -32,6 +32,9 @@ IDENTIFIER = re.compile(
 DIGEST = re.compile(r"(?:[0-9a-f]++|[0-9A-F]++)(?:==?)?")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)  # hexadecimal digits of md5, sha1 and the sha2 family
 MOST_CHARS_A_TOKEN = 2.0
+WINDOW = 20  # characters tested at a time within a run that is not random as a whole
+PART = re.compile(r"[A-Za-z0-9]+")
+UUID = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
 PIECE = 256  # characters encoded at a time
 
 
@@ -79,6 +82,40 @@ def is_known(candidate: str) -> bool:
     return len(candidate) in DIGEST_LENGTHS and bool(DIGEST.fullmatch(candidate))
 
 
+def is_random(candidate: str, encode: Callable[[str], list[int]], most: float) -> bool:
+    return not is_known(candidate) and chars_a_token(candidate, encode) < most
+
+
+def random_parts(
+    run: str, encode: Callable[[str], list[int]], most: float
+) -> list[tuple[int, int]]:
+    """Starts and ends of what is random in a run: all of it, or else parts and windows of it.
+
+    A part is what stands between two of +/_=-. Between the UUIDs, digests and random parts, every
+    window of ``WINDOW`` characters is tried, as a secret may hold +/_=- or adjoin a word.
+    """
+    if is_random(run, encode, most):
+        return [(0, len(run))]
+    found, passed = [], [m.span() for m in UUID.finditer(run)]
+    for m in PART.finditer(run):
+        if m.end() - m.start() < WINDOW or any(a <= m.start() < b for a, b in passed):
+            continue
+        if is_random(m.group(), encode, most):
+            found.append(m.span())
+        elif is_known(m.group()):
+            passed.append(m.span())
+    if not is_known(run):
+        gaps = sorted(found + passed)
+        for low, high in zip([0, *(b for _, b in gaps)], [*(a for a, _ in gaps), len(run)]):
+            for at in range(low, high - WINDOW + 1):
+                if is_random(run[at : at + WINDOW], encode, most):
+                    if found and low <= found[-1][0] and at <= found[-1][1] and found[-1][1] <= high:
+                        found[-1] = (found[-1][0], at + WINDOW)
+                    else:
+                        found.append((at, at + WINDOW))
+    return sorted(found)
+
+
 def spans(
     text: str, encode: Callable[[str], list[int]], most: float = MOST_CHARS_A_TOKEN
 ) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -89,8 +126,9 @@ def spans(
         while at < len(base) and base[at][1] < m.end():
             upto = max(upto, base[at][2])
             at += 1
-        if upto <= m.start() and not is_known(m.group()) and chars_a_token(m.group(), encode) < most:
-            more.append(("random", m.start(), m.end()))
+        if upto <= m.start():
+            for low, high in random_parts(m.group(), encode, most):
+                more.append(("random", m.start() + low, m.start() + high))
     order = {kind: i for i, kind in enumerate((*KINDS, "random"))}
     return base, sorted(base + more, key=lambda s: (s[1], order[s[0]], s[2]))
 
@@ -111,7 +149,9 @@ def find(
     exclusive), by start, then kind. The base patterns find assignments, access keys and long
     hexadecimal runs. A run of 20 or more letters, digits and +/_=- is ``random`` besides if
     its tokens hold fewer than ``most`` characters each, it overlaps no base span and has not
-    the form of a digest or an identifier. Nulls and empty texts have no spans. Each row stands for
+    the form of a digest or an identifier; so is each part of 20 or more between +/_=- and each
+    window of 20 characters of a run that is not random as a whole. Windows are not tried in a
+    run that has the form of names in parts. Nulls and empty texts have no spans. Each row stands for
     itself: repeated rows get the same, no rows give none, ids may be null, and other columns are
     not looked at.
 

@@ -88,3 +88,28 @@ def test_documents(spark):
     assert hidden.columns == df.columns
     assert [r.text for r in hidden.collect()] == [None, "", "é <random>.", "<assign> x", "fine", "fine"]
     assert df.limit(0).select(s.find(df)).count() == 0
+
+
+def share_found(encode, before, length, alphabet, n=100):
+    """The share of random strings behind ``before`` that are covered, but for a tenth at most."""
+    rng, found = random.Random(7), 0
+    for _ in range(n):
+        made = "".join(rng.choice(alphabet) for _ in range(length))
+        text = f"see {before}{made} there"
+        covered = set().union(*(range(a, b) for k, a, b in s.spans(text, encode)[1] if k == "random"))
+        at = text.index(made)
+        found += len(covered & set(range(at, at + length))) >= 0.9 * length
+    return found / n
+
+
+def test_random_parts_of_runs_are_found(encode):
+    mixed = string.ascii_letters + string.digits
+    for before in (
+        "api.example.com/v1/customers/accounts/settings/download/",
+        "reset-account-settings-confirmation-",
+        "customers/550e8400-e29b-41d4-a716-446655440000/",
+    ):
+        assert share_found(encode, before, 24, mixed) > 0.95
+    assert share_found(encode, "/v1/customers/accounts/settings/download/", 40, mixed + "+/") > 0.9
+    for text in ("customers/550e8400-e29b-41d4-a716-446655440000/settings", "customers/accounts/settings/confirmation/documents/download/D41D8CD98F00B204E9800998ECF8427E"):
+        assert s.spans(text, encode) == ([], [])
