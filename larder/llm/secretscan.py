@@ -26,12 +26,13 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 IDENTIFIER = re.compile(
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"  # UUID
     r"|[0-9+/_=-]++"  # numbers, dates and rules
-    r"|[A-Za-z]?[a-z]++|[A-Z]++"  # one word, however rare
     r"|(?:[A-Za-z]?[a-z]*+[A-Z]*+[0-9]{0,4}[+/_=-]++)++[A-Za-z]*+[0-9]{0,4}"  # names in parts
 )
 DIGEST = re.compile(r"(?:[0-9a-f]++|[0-9A-F]++)(?:==?)?")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)  # hexadecimal digits of md5, sha1 and the sha2 family
 MOST_CHARS_A_TOKEN = 2.0
+ONE_CASE = re.compile(r"[A-Za-z]?[a-z]++|[A-Z]++")
+ONE_CASE_SHARE = 0.95  # of the limit, for what may be a long compound word
 WINDOW = 20  # characters tested at a time within a run that is not random as a whole
 PART = re.compile(r"[A-Za-z0-9]+")
 UUID = re.compile(r"(?<![A-Za-z0-9])[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}(?![A-Za-z0-9])")
@@ -83,7 +84,10 @@ def is_known(candidate: str) -> bool:
 
 
 def is_random(candidate: str, encode: Callable[[str], list[int]], most: float) -> bool:
-    return not is_known(candidate) and chars_a_token(candidate, encode) < most
+    if is_known(candidate):
+        return False
+    share = ONE_CASE_SHARE if ONE_CASE.fullmatch(candidate) else 1.0
+    return chars_a_token(candidate, encode) < share * most
 
 
 def random_parts(
@@ -104,7 +108,7 @@ def random_parts(
             found.append(m.span())
         elif is_known(m.group()):
             passed.append(m.span())
-    if not is_known(run):
+    if not is_known(run) and not ONE_CASE.fullmatch(run):
         gaps = sorted(found + passed)
         for low, high in zip([0, *(b for _, b in gaps)], [*(a for a, _ in gaps), len(run)]):
             for at in range(low, high - WINDOW + 1):
@@ -151,7 +155,8 @@ def find(
     its tokens hold fewer than ``most`` characters each, it overlaps no base span and has not
     the form of a digest or an identifier; so is each part of 20 or more between +/_=- and each
     window of 20 characters of a run that is not random as a whole. Windows are not tried in a
-    run that has the form of names in parts. Nulls and empty texts have no spans. Each row stands for
+    run that has the form of names in parts or of one word. Letters in one case have a limit of ``ONE_CASE_SHARE``
+    of ``most``. Nulls and empty texts have no spans. Each row stands for
     itself: repeated rows get the same, no rows give none, ids may be null, and other columns are
     not looked at.
 

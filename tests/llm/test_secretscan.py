@@ -113,3 +113,10 @@ def test_random_parts_of_runs_are_found(encode):
     assert share_found(encode, "/v1/customers/accounts/settings/download/", 40, mixed + "+/") > 0.9
     for text in ("customers/550e8400-e29b-41d4-a716-446655440000/settings", "customers/accounts/settings/confirmation/documents/download/D41D8CD98F00B204E9800998ECF8427E"):
         assert s.spans(text, encode) == ([], [])
+
+
+def test_random_letters_in_one_case_are_found(encode):
+    for alphabet in (string.ascii_lowercase, string.ascii_uppercase):
+        assert share_found(encode, "", 32, alphabet) > 0.9
+    for text in ("Rindfleischetikettierungsueberwachung", "INTERNATIONALIZATIONSTEAM", "lentokonesuihkuturbiinimoottori"):
+        assert s.spans(text, encode) == ([], [])
