@@ -120,19 +120,39 @@ def random_parts(
     return sorted(found)
 
 
+def uncovered(
+    start: int, end: int, base: list[tuple[str, int, int]], at: int, text: str
+) -> list[tuple[int, int]]:
+    """What the base spans from the one at ``at`` leave of a run, if of 20 characters or more."""
+    left, low = [], start
+    while at < len(base) and base[at][1] < end:
+        left.append((low, base[at][1]))
+        low = max(low, base[at][2])
+        at += 1
+    left.append((low, end))
+    cut = []
+    for a, b in left:
+        while a != start and a < b and text[a] in "+/_=-":
+            a += 1
+        while b != end and a < b and text[b - 1] in "+/_=-":
+            b -= 1
+        if b - a >= WINDOW:
+            cut.append((a, b))
+    return cut
+
+
 def spans(
     text: str, encode: Callable[[str], list[int]], most: float = MOST_CHARS_A_TOKEN
 ) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """The base spans, and all spans: with those of kind ``random``, which overlap no base span."""
     base = base_spans(text)
-    more, at, upto = [], 0, 0
+    more, at = [], 0
     for m in CANDIDATE.finditer(text):
-        while at < len(base) and base[at][1] < m.end():
-            upto = max(upto, base[at][2])
+        while at < len(base) and base[at][2] <= m.start():
             at += 1
-        if upto <= m.start():
-            for low, high in random_parts(m.group(), encode, most):
-                more.append(("random", m.start() + low, m.start() + high))
+        for start, end in uncovered(m.start(), m.end(), base, at, text):
+            for low, high in random_parts(text[start:end], encode, most):
+                more.append(("random", start + low, start + high))
     order = {kind: i for i, kind in enumerate((*KINDS, "random"))}
     return base, sorted(base + more, key=lambda s: (s[1], order[s[0]], s[2]))
 
@@ -151,12 +171,12 @@ def find(
 
     A struct: ``base`` and ``all``, arrays of ``kind``, ``start`` and ``end`` (code points, end
     exclusive), by start, then kind. The base patterns find assignments, access keys and long
-    hexadecimal runs. A run of 20 or more letters, digits and +/_=- is ``random`` besides if
-    its tokens hold fewer than ``most`` characters each, it overlaps no base span and has not
-    the form of a digest or an identifier; so is each part of 20 or more between +/_=- and each
-    window of 20 characters of a run that is not random as a whole. Windows are not tried in a
-    run that has the form of names in parts or of one word. Letters in one case have a limit of ``ONE_CASE_SHARE``
-    of ``most``. Nulls and empty texts have no spans. Each row stands for
+    hexadecimal runs. What these leave of a run of 20 or more letters, digits and +/_=- is
+    ``random`` besides if it has 20 characters or more, its tokens hold fewer than ``most``
+    characters each and it has not the form of a digest or an identifier. If it is not random as
+    a whole, so is each part of 20 or more between +/_=- and each window of 20 characters; windows
+    are not tried in what has the form of names in parts or of one word. Letters in one case have a
+    limit of ``ONE_CASE_SHARE`` of ``most``. Nulls and empty texts have no spans. Each row stands for
     itself: repeated rows get the same, no rows give none, ids may be null, and other columns are
     not looked at.
 
