@@ -19,6 +19,7 @@ TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 HREF = re.compile(r"""\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 RAW = {"script", "style", "template", "noscript", "svg", "textarea"}
+CODE = {"script", "style"}
 END = {name: re.compile(rf"</{name}\b", re.I) for name in (*RAW, "title")}
 BLOCKS = set(
     "address article aside blockquote body br dd div dl dt fieldset figcaption figure footer form "
@@ -43,12 +44,24 @@ def record_id(*parts: object) -> str:
     return f"<urn:uuid:{d[:8]}-{d[8:12]}-5{d[13:16]}-{'89ab'[int(d[16], 16) % 4]}{d[17:20]}-{d[20:32]}>"
 
 
+def is_empty(rest: str) -> bool:
+    """Whether a tag closes itself, by all after its name: a / in a bare value is the value's."""
+    if not rest.endswith("/>"):
+        return False
+    last = rest.split()[-1]
+    return "=" not in last or '"' in last or "'" in last
+
+
 def parse_html(page: str) -> tuple[str, str, list[str]]:
     """Title, text and links of a page, in time that grows with its length only.
 
-    Scripts, styles and comments have no text; block elements begin new lines; spaces within a
-    line are one; character references are resolved. Broken markup is text or ends the page.
+    The contents of script, style, template, noscript, svg and textarea and comments are left out,
+    and the title stands apart; block elements begin new lines; spaces within a line are one;
+    character references are resolved. Of these elements one that ends in /> is empty, and one
+    that is never closed loses its tag alone; a script or style that is never closed and an open
+    comment end the page. Other broken markup is text.
     """
+    unclosed: set[str] = set()
     out: list[str] = []
     links: list[str] = []
     title, at, quotes = "", 0, True
@@ -84,8 +97,11 @@ def parse_html(page: str) -> tuple[str, str, list[str]]:
             continue
         if name == "a" and (href := HREF.search(page, start, at)):
             links.append(entities.unescape(href[1] or href[2] or href[3] or ""))
-        if name in END:
+        if name in END and name not in unclosed and not is_empty(page[start:at]):
             close = END[name].search(page, at)
+            if not close and name not in CODE:
+                unclosed.add(name)
+                continue
             stop = close.start() if close else len(page)
             if name == "title" and not title:
                 title = " ".join(entities.unescape(page[at:stop]).split())

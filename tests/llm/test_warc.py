@@ -74,3 +74,16 @@ def test_odd_rows(spark):
     data = b"".join(warc.serialize([(h.name, h.value) for h in r.headers], r.block.encode()) for r in got)
     assert [b.decode() for _, b in warc.parse(data)] == [r.block for r in got]
     assert warc.derivatives(df.limit(0)).count() == 0
+
+
+def test_empty_and_unclosed_elements_lose_no_text():
+    for page in (
+        '<p>a</p><svg viewBox="0 0 1 1"/><p>b <a href=u>c</a></p>',
+        '<p>a</p><script src="x.js" /><p>b <a href=u>c</a></p><script>no</script>',
+        "<title/><p>a</p><p>b <a href=u>c</a></p><svg><title>no</title></svg>",
+        *(f"<p>a</p><{name}><p>b <a href=u>c</a></p>" for name in ("svg", "noscript", "template", "textarea", "title")),
+    ):
+        assert warc.parse_html(page) == ("", "a\nb c", ["u"])
+    assert warc.parse_html("a<script src=/x/>no</script>b<svg width=5/>no</svg>c<style>no")[1] == "abc"
+    for name in ("svg", "title", "textarea"):
+        warc.parse_html(f"<{name}>" * 100_000)
