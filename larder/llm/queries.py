@@ -15,6 +15,7 @@ from larder.llm import (
     quality,
     secretscan,
     simhash,
+    tokalign,
     warc,
 )
 from larder.llm.common import read, remainder
@@ -123,6 +124,13 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "held_out", "found.*")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokalign.alignments(read(spark, sf_dir, "documents"), keep_groups=False)
+    return found.select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -136,5 +144,6 @@ QUERIES = {
         op8_simhash_components,
         op9_repeated_lines,
         op10_language,
+        op12_token_alignment,
     )
 }
