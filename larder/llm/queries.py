@@ -13,6 +13,7 @@ from larder.llm import (
     mix,
     pii,
     quality,
+    repair,
     secretscan,
     simhash,
     tokalign,
@@ -124,6 +125,39 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).select("doc_id", "held_out", "found.*")
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with faults put in by the hash of a row's conversation and turn."""
+    space = F.lit(" ")
+    key = [F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")]
+    fault = F.crc32(F.concat(key[0], F.lit(":"), key[1])) % 20
+    role, text = (F.coalesce(c, space) for c in ("role", "text"))
+    changed = turns.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(role).alias("role"),
+        F.when(fault == 1, "")
+        .when(fault == 2, F.regexp_replace(text, "[.!?]", ""))
+        .otherwise(text)
+        .alias("text"),
+        F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("copies"),
+    )
+    copy = F.explode(F.array_repeat(F.lit(0), F.col("copies")))
+    return changed.withColumn("copy", copy).drop("copy", "copies")
+
+
+def op11_repaired_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = read(spark, sf_dir, "conversations")
+    rows = damaged(turns)
+    found = repair.audits(rows)
+    every = turns.select(F.col("conv_id").alias("id")).distinct()
+    heads = every.join(found, F.col("id").eqNullSafe(F.col("conv_id")), "left").select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(f, F.lit(0)).cast("long").alias(f) for f in repair.FIGURES],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+    )
+    return repair.digests(rows, heads)
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokalign.alignments(read(spark, sf_dir, "documents"), keep_groups=False)
     return found.select(
@@ -144,6 +178,7 @@ QUERIES = {
         op8_simhash_components,
         op9_repeated_lines,
         op10_language,
+        op11_repaired_conversations,
         op12_token_alignment,
     )
 }
