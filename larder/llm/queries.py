@@ -16,6 +16,7 @@ from larder.llm import (
     repair,
     secretscan,
     simhash,
+    superminhash,
     tokalign,
     warc,
 )
@@ -165,6 +166,10 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_shingle_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superminhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -180,5 +185,6 @@ QUERIES = {
         op10_language,
         op11_repaired_conversations,
         op12_token_alignment,
+        op13_shingle_components,
     )
 }
