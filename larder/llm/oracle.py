@@ -144,4 +144,143 @@ SELECT doc_id, len(parts)::BIGINT AS n_lines, coalesce(lines_removed, '') AS lin
 FROM docs LEFT JOIN cut USING (row)
 """
 
-STATEMENTS = {"op1_pareto_mix": OP1, "op3_decontaminate": OP3, "op9_repeated_lines": OP9}
+
+def _add(string: str, cost: str, edits: str) -> str:
+    """A string of a cost in nine digits and edits, with more of both."""
+    digits = f"lpad(((left({string}, 9))::BIGINT + {cost})::VARCHAR, 9, '0')"
+    return f"({digits} || substr({string}, 10) || {edits})"
+
+
+OP11 = rf"""
+WITH RECURSIVE polynomial AS (
+  SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY n) AS crc
+  FROM (SELECT unnest(generate_series(0::BIGINT, 255)) AS n)
+), rows AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+      string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+      lambda x: ascii(x)::BIGINT)),
+      lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])), 4294967295) % 20 AS fault
+  FROM conversations, polynomial
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fault = 1 THEN '' WHEN fault = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END
+      AS text,
+    unnest(generate_series(1, CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM rows WHERE fault <> 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS again,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid,
+    substr(role, 1, 1) AS initial
+  FROM damaged
+), faults AS (
+  SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN again > 1 THEN 'duplicate'
+    WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    coalesce(lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial NOT IN ('su', 'ua', 'au'),
+      FALSE) AS illegal
+  FROM placed
+), dp AS (
+  -- The least of cost and edits up to a row, as one string that orders like them, by what the
+  -- repaired rows so far end in: nothing, system, user, assistant.
+  SELECT conv_id, 0::BIGINT AS i, '000000000' AS n, NULL::VARCHAR AS s, NULL::VARCHAR AS u, NULL::VARCHAR AS a
+  FROM (SELECT DISTINCT conv_id FROM damaged)
+  UNION ALL
+  SELECT conv_id, i,
+    {_add("n", "3", "'D'")},
+    least({_add("s", "3", "'D'")}, CASE WHEN stays AND initial = 's' THEN {_add("n", "more", "'K'")} END),
+    least({_add("u", "3", "'D'")},
+      CASE WHEN NOT stays THEN NULL WHEN initial = 'u' THEN {_add("least(n, s, a)", "more", "'K'")}
+        ELSE {_add("least(n, s, a)", "2 + more", "'R'")} END),
+    least({_add("a", "3", "'D'")},
+      CASE WHEN NOT stays THEN NULL WHEN initial = 'a' THEN {_add("u", "more", "'K'")}
+        ELSE {_add("u", "2 + more", "'R'")} END)
+  FROM (
+    SELECT conv_id, i, n, s, u, least(a, {_add("u", "2", "'I'")}) AS a, initial, stays, more FROM (
+      SELECT dp.conv_id, f.i, n, s, least(u, {_add("least(n, s, a)", "2", "'I'")}) AS u, a, initial,
+        fault IN ('', 'truncated') AS stays, (fault = 'truncated')::INT AS more
+      FROM dp JOIN faults f ON dp.conv_id IS NOT DISTINCT FROM f.conv_id AND f.i = dp.i + 1))
+), last AS (
+  SELECT conv_id, max(i) AS i FROM faults GROUP BY conv_id
+), audits AS (
+  SELECT conv_id, least(n, a, {_add("u", "2", "'I'")}, {_add("s", "4", "'II'")}) AS best
+  FROM dp WHERE (conv_id, i) IN (SELECT (conv_id, i) FROM last)
+    OR conv_id IS NULL AND i = (SELECT i FROM last WHERE conv_id IS NULL)
+), edits AS (
+  SELECT conv_id, substr(best, 10) AS audit, unnest(generate_series(1, len(best) - 9)) AS spot FROM audits
+), steps AS (
+  SELECT e.conv_id, spot, substr(audit, spot, 1) AS edit,
+    (len(replace(substr(audit, 1, spot), 'I', '')))::BIGINT AS i,
+    len(replace(substr(audit, 1, spot), 'D', '')) AS made
+  FROM edits e
+), outcome AS (
+  SELECT t.conv_id, spot, edit, made, role, text,
+    bool_or(edit = 'K' AND made = 1 AND initial = 's') OVER (PARTITION BY t.conv_id) AS system
+  FROM steps t LEFT JOIN faults f ON t.conv_id IS NOT DISTINCT FROM f.conv_id AND t.i = f.i
+    AND edit <> 'I'
+  WHERE edit <> 'D'
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN edit = 'K' THEN role
+      WHEN (made - system::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END
+    || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY spot) AS text
+  FROM outcome GROUP BY conv_id
+), figures AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal
+  FROM faults GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+  coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+  coalesce(illegal, 0)::BIGINT AS illegal, coalesce(left(best, 9)::BIGINT, 0)::BIGINT AS cost,
+  coalesce(substr(best, 10), '') AS audit, sha256(coalesce(r.text, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c
+LEFT JOIN figures f ON c.conv_id IS NOT DISTINCT FROM f.conv_id
+LEFT JOIN audits a ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN repaired r ON c.conv_id IS NOT DISTINCT FROM r.conv_id
+"""
+
+OP13 = r"""
+WITH RECURSIVE folded AS (
+  SELECT row_number() OVER () AS row, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+      'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), sets AS (
+  SELECT row, doc_id, CASE WHEN len(words) = 0 THEN [] ELSE list_sort(list_distinct(list_transform(
+    generate_series(1, greatest(len(words) - 2, 1)), lambda i: array_to_string(words[i : i + 2], ' ')))) END
+    AS shingles
+  FROM folded
+), nodes AS (  -- equal sets are one node
+  SELECT row_number() OVER () AS node, shingles, min(doc_id) AS least
+  FROM sets WHERE len(shingles) > 0 GROUP BY shingles
+), parts AS (
+  SELECT node, len(shingles) AS n, unnest(shingles) AS shingle FROM nodes
+), common AS (
+  SELECT a.node AS a, b.node AS b, any_value(a.n + b.n) AS total, count(*) AS shared
+  FROM parts a JOIN parts b ON a.shingle = b.shingle AND a.node < b.node
+    AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common WHERE 100 * shared >= 85 * (total - shared)
+), both_ways AS (
+  SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+), reached AS (
+  SELECT node AS a, node AS b FROM nodes UNION SELECT r.a, l.b FROM reached r JOIN both_ways l ON r.b = l.a
+), components AS (
+  SELECT a AS node, min(least) AS component_id FROM reached JOIN nodes ON b = node GROUP BY a
+)
+SELECT doc_id, len(s.shingles)::BIGINT AS n_shingles,
+  CASE WHEN len(s.shingles) = 0 THEN doc_id ELSE component_id END AS component_id,
+  doc_id IS NOT DISTINCT FROM CASE WHEN len(s.shingles) = 0 THEN doc_id ELSE component_id END AS kept
+FROM sets s LEFT JOIN nodes n ON s.shingles = n.shingles LEFT JOIN components c ON n.node = c.node
+"""
+
+STATEMENTS = {
+    "op1_pareto_mix": OP1,
+    "op3_decontaminate": OP3,
+    "op9_repeated_lines": OP9,
+    "op11_repaired_conversations": OP11,
+    "op13_shingle_components": OP13,
+}
