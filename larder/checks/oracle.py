@@ -10,6 +10,7 @@ import re
 from statistics import NormalDist
 
 from larder import params as P
+from larder.checks import model_sql
 
 CTES: dict[str, str] = {}
 SQL: dict[str, str] = {}
@@ -384,6 +385,29 @@ SELECT regr_slope(Sales, rolling_mean_30) AS slope,
        regr_intercept(Sales, rolling_mean_30) AS intercept
 FROM gold WHERE Date < (SELECT cut FROM gold_cut)"""
 
+# Models that SQL can fit as well: least squares on all inputs, and trees on inputs of few values.
+RECURSIVE = set()
+for name, inputs in {"safe": P.SAFE_FEATURES, "horizon": P.HORIZON_FEATURES}.items():
+    CTES[f"{name}_rows"] = f"""
+SELECT Store, Date, CAST(Sales AS DOUBLE) AS y, [{model_sql.values(inputs)}] AS x,
+       Date < (SELECT cut FROM gold_cut) AS learn
+FROM gold"""
+    CTES |= model_sql.least_squares(f"{name}_squares", f"{name}_rows", inputs)
+    RECURSIVE.add(f"{name}_squares_steps")
+CTES["tree_inputs"] = f"""
+SELECT Store, Date, CAST(Sales AS DOUBLE) AS y, CAST(Sales AS DOUBLE) AS goal,
+       [{model_sql.values(P.CHECKED_FEATURES)}] AS x, Date < (SELECT cut FROM gold_cut) AS learn
+FROM gold"""
+CTES |= model_sql.tree(
+    "one_tree", "tree_inputs", P.CHECKED_FOREST["maxDepth"], P.FOREST_PARAMS["minInstancesPerNode"], 0.0
+)
+CTES["boosted_inputs"] = "SELECT * EXCLUDE (goal) FROM tree_inputs"
+CTES |= model_sql.boosted(
+    "three_trees", "boosted_inputs", P.CHECKED_BOOSTED["maxIter"], P.BOOSTED_PARAMS["stepSize"],
+    P.CHECKED_BOOSTED["maxDepth"], P.BOOSTED_PARAMS["minInstancesPerNode"],
+    P.BOOSTED_PARAMS["minInfoGain"],
+)
+
 # --- sources, sinks, catalog -----------------------------------------------------------------
 
 SQL["scan_csv"] = "SELECT * FROM raw_sales"
@@ -808,21 +832,30 @@ SQL["fit_linear"] = """
 SELECT COUNT(*) AS rows, ROUND(SQRT(AVG((Sales - intercept - slope * rolling_mean_30) ** 2)), 3)
            AS one_input_RMSE, ROUND(AVG(Sales), 2) AS mean_prediction, TRUE AS no_worse_than_one_input
 FROM gold, fitted WHERE Date < (SELECT cut FROM gold_cut)"""
-SQL["score"] = """
-SELECT Store, Date, Sales, TRUE AS scored FROM gold WHERE Date >= (SELECT cut FROM gold_cut)"""
-SQL["score_horizon"] = SQL["score"]
+SQL["score"] = f"""
+SELECT Store, Date, y AS Sales, {r("intercept + list_dot_product(b, x)", 1, "prediction")}
+FROM safe_rows, safe_squares WHERE NOT learn"""
+SQL["score_horizon"] = SQL["score"].replace("safe_", "horizon_")
 SQL["fit_forest"] = """
-SELECT COUNT(*) FILTER (Date >= cut) AS rows,
-       ROUND(STDDEV_POP(Sales) FILTER (Date < cut), 4) AS mean_RMSE, TRUE AS beats_mean
-FROM gold, gold_cut"""
-SQL["fit_boosted"] = SQL["fit_forest"]
-SQL["fit_horizon"] = SQL["fit_forest"]
-ONE_ROW_EACH = f"FROM (VALUES {', '.join(f"('{f}')" for f in P.SAFE_FEATURES)}) t(feature)"
+SELECT COUNT(*) FILTER (NOT learn) AS rows,
+       ROUND(STDDEV_POP(y) FILTER (learn), 4) AS mean_RMSE, TRUE AS beats_mean,
+       ROUND(SQRT(AVG((y - leaf) ** 2) FILTER (learn)), 4) AS checked_RMSE
+FROM one_tree"""
+SQL["fit_boosted"] = SQL["fit_forest"].replace("leaf", "prediction").replace("one_tree", "three_trees")
+SQL["fit_horizon"] = SQL["fit_boosted"]
+SQL["score_nodes"] = f"""
+SELECT Store, Date, {r("t.leaf", 2, "forest")}, {r("b.prediction", 2, "boosted")}
+FROM one_tree t JOIN three_trees b USING (Store, Date) WHERE NOT t.learn"""
 SQL["coef_importance"] = f"""
-SELECT feature, TRUE AS is_number {ONE_ROW_EACH} WHERE (SELECT COUNT(*) FROM gold) > 0"""
+SELECT UNNEST([{in_list(P.SAFE_FEATURES)}]) AS feature,
+       UNNEST(list_transform(b, lambda v: ROUND(v, 4) + 0.0)) AS coefficient
+FROM safe_squares"""
 SQL["tree_importance"] = f"""
-SELECT feature, TRUE AS is_share, 1.0::DOUBLE AS total {ONE_ROW_EACH}
-WHERE (SELECT COUNT(*) FROM gold) > 0"""
+SELECT f.feature, TRUE AS is_share, 1.0::DOUBLE AS total,
+       {r("COALESCE(gained / SUM(gained) OVER (), 0)", 6, "checked_importance")}
+FROM (SELECT UNNEST([{in_list(P.SAFE_FEATURES)}]) AS feature) f LEFT JOIN (
+    SELECT ([{in_list(P.CHECKED_FEATURES)}])[feature] AS feature, SUM(gained) AS gained
+    FROM one_tree_gains GROUP BY feature) g ON f.feature = g.feature"""
 SQL["coef_importance_two_inputs"] = f"""
 WITH m AS (
     SELECT VAR_POP(a) AS aa, VAR_POP(b) AS bb, COVAR_POP(a, b) AS ab, COVAR_POP(a, y) AS ay,
@@ -832,9 +865,21 @@ WITH m AS (
 SELECT 'rolling_mean_30' AS feature,
        {r("(ay * bb - bb_y * ab) / (aa * bb - ab * ab)", 3, "coefficient")} FROM m
 UNION ALL SELECT 'Promo', {r("(bb_y * aa - ay * ab) / (aa * bb - ab * ab)", 3, "coefficient")} FROM m"""
-SQL["prediction_table"] = """
-SELECT Store, Date, Sales AS actual_sales, TRUE AS predicted, TRUE AS errors_agree
-FROM gold WHERE Date >= (SELECT cut FROM gold_cut)"""
+SQL["prediction_table"] = f"""
+SELECT *, {r("actual_sales - predicted_sales_boosted", 2, "error_boosted")},
+       {r("ABS(actual_sales - predicted_sales_boosted)", 2, "absolute_error_boosted")},
+       {r("ABS(actual_sales - predicted_sales_boosted) / NULLIF(actual_sales, 0) * 100", 2,
+          "percentage_error_boosted")}
+FROM (
+    SELECT Store, Date, b.y AS actual_sales, b.prediction AS predicted_sales_boosted,
+           t.leaf AS predicted_sales_rf, s.intercept + list_dot_product(s.b, l.x) AS predicted_sales_lr
+    FROM three_trees b JOIN one_tree t USING (Store, Date) JOIN safe_rows l USING (Store, Date),
+         safe_squares s
+    WHERE NOT b.learn)"""
+SQL["prediction_table"] = f"""
+SELECT * REPLACE ({r("predicted_sales_boosted", 2)}, {r("predicted_sales_rf", 2)},
+                  {r("predicted_sales_lr", 1)})
+FROM ({SQL["prediction_table"]})"""
 
 # --- inventory -------------------------------------------------------------------------------
 
@@ -1057,7 +1102,7 @@ def statement(body: str) -> str:
     body = body.strip()
     if not parts:
         return body
-    head = "WITH " + ",\n".join(parts)
+    head = ("WITH RECURSIVE " if needed & RECURSIVE else "WITH ") + ",\n".join(parts)
     if body.upper().startswith("WITH "):
         return f"{head},\n{body[5:]}"
     return f"{head}\n{body}"

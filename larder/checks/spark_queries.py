@@ -26,6 +26,7 @@ from larder.operators import (
     models,
     quality,
     quantile,
+    trees,
 )
 from larder.plans import reports
 from larder.sources import files, panel, tables
@@ -945,24 +946,41 @@ def _fitted(spark, sf, kind, names=P.SAFE_FEATURES):
     return once(spark, sf, kind, *names, make=lambda: models.fit(kind, train, names))
 
 
+def _checked(spark, sf, kind):
+    """A small model of the same kind, which SQL can fit alike."""
+    train, _ = _matrix_split(spark, sf)
+    small = {"forest": P.CHECKED_FOREST, "boosted": P.CHECKED_BOOSTED}[kind]
+    return once(
+        spark, sf, "checked", kind,
+        make=lambda: models.fit(
+            kind, train, P.CHECKED_FEATURES, prediction=f"checked_{kind}", **small
+        ),
+    )
+
+
 def _against_mean(spark, sf, kind, names=P.SAFE_FEATURES):
-    """Scored test rows, the training mean's error on the rows learned from, and whether the model
-    has a smaller one there. On the test rows it has none: the test data's sales are noise."""
+    """Scored test rows, the training mean's error on the rows learned from, whether the stated
+    model has a smaller one there, and the small model's error. On the test rows the stated model
+    has no smaller one: the test data's sales are noise."""
     train, test = _matrix_split(spark, sf, names)
     model = _fitted(spark, sf, kind, names)
-    sides = models.score(model, train.withColumn("part", F.lit("train"))).unionByName(
-        models.score(model, test.withColumn("part", F.lit("test")))
+    sides = train.withColumn("part", F.lit("train")).unionByName(
+        test.withColumn("part", F.lit("test"))
     )
+    both = models.score(_checked(spark, sf, kind), models.score(model, sides))
     old = F.col("part") == "train"
     error = F.when(old, F.col("Sales") - F.col("prediction"))
-    return sides.agg(
+    checked = F.when(old, F.col("Sales") - F.col(f"checked_{kind}"))
+    return both.agg(
         F.count(F.when(~old & ~F.isnan("prediction"), 1)).alias("rows"),
         F.stddev_pop(F.when(old, F.col("Sales"))).alias("flat"),
         F.sqrt(F.avg(error * error)).alias("model"),
+        F.sqrt(F.avg(checked * checked)).alias("checked"),
     ).select(
         "rows",
         F.round("flat", 4).alias("mean_RMSE"),
         (F.col("model") < F.col("flat")).alias("beats_mean"),
+        F.round("checked", 4).alias("checked_RMSE"),
     )
 
 
@@ -997,10 +1015,25 @@ def fit_linear_one_input(spark, sf):
 
 @query
 def score(spark, sf):
+    """Least squares on all inputs, applied to the test rows."""
     _, test = _matrix_split(spark, sf)
     scored = models.score(_fitted(spark, sf, "linear"), test)
-    usable = F.col("prediction").isNotNull() & ~F.isnan("prediction")
-    return scored.select("Store", "Date", "Sales", usable.alias("scored"))
+    return rounded(scored.select("Store", "Date", "Sales", "prediction"), "prediction", digits=1)
+
+
+@query
+def score_nodes(spark, sf):
+    """Small ensembles as tables of nodes, applied by joins."""
+    _, test = _matrix_split(spark, sf)
+
+    def scored(kind):
+        model = _checked(spark, sf, kind)
+        nodes = trees.node_table(spark, model, P.CHECKED_FEATURES)
+        return trees.score_nodes(
+            nodes, test, P.CHECKED_FEATURES, trees.depth(model), P.SALES_KEY, kind
+        )
+
+    return rounded(scored("forest").join(scored("boosted"), P.SALES_KEY), digits=2)
 
 
 @query
@@ -1031,23 +1064,12 @@ def score_horizon(spark, sf):
     """Only inputs known thirty rows ahead, and the flagship's kind of model."""
     _, test = _matrix_split(spark, sf, P.HORIZON_FEATURES)
     scored = models.score(_fitted(spark, sf, "linear", P.HORIZON_FEATURES), test)
-    usable = F.col("prediction").isNotNull() & ~F.isnan("prediction")
-    return scored.select("Store", "Date", "Sales", usable.alias("scored"))
-
-
-def _weights(spark, sf, kind, name):
-    """Per input: whether its weight is a number, or a share between 0 and 1, and their sum."""
-    weights = models.importance(spark, _fitted(spark, sf, kind), P.SAFE_FEATURES)
-    value = F.col(name)
-    if name == "coefficient":
-        return weights.select("feature", (value.isNotNull() & ~F.isnan(value)).alias("is_number"))
-    total = F.round(F.sum(value).over(Window.partitionBy()), 6)
-    return weights.select("feature", value.between(0, 1).alias("is_share"), total.alias("total"))
+    return rounded(scored.select("Store", "Date", "Sales", "prediction"), "prediction", digits=1)
 
 
 @query
 def coef_importance(spark, sf):
-    return _weights(spark, sf, "linear", "coefficient")
+    return rounded(models.importance(spark, _fitted(spark, sf, "linear"), P.SAFE_FEATURES))
 
 
 @query
@@ -1059,25 +1081,31 @@ def coef_importance_two_inputs(spark, sf):
 
 @query
 def tree_importance(spark, sf):
-    return _weights(spark, sf, "forest", "importance")
+    """The stated forest's shares, and those of the small one."""
+    weights = models.importance(spark, _fitted(spark, sf, "forest"), P.SAFE_FEATURES)
+    total = weights.agg(F.round(F.sum("importance"), 6)).scalar()
+    nodes = trees.node_table(spark, _checked(spark, sf, "forest"), P.CHECKED_FEATURES)
+    small = trees.node_importance(nodes).withColumnRenamed("importance", "checked_importance")
+    both = weights.join(small, "feature", "left").select(
+        "feature",
+        F.col("importance").between(0, 1).alias("is_share"),
+        total.alias("total"),
+        F.coalesce("checked_importance", F.lit(0.0)).alias("checked_importance"),
+    )
+    return rounded(both, "checked_importance", digits=6)
 
 
 @query
 def prediction_table(spark, sf):
+    """Least squares on all inputs beside the small ensembles."""
     _, test = _matrix_split(spark, sf)
-    kinds = {"boosted": "boosted", "rf": "forest", "lr": "linear"}
-    wide = models.prediction_table(test, {s: _fitted(spark, sf, kind) for s, kind in kinds.items()})
-    usable = [F.col(f"predicted_sales_{s}").isNotNull() & ~F.isnan(f"predicted_sales_{s}") for s in kinds]
-    error = F.col("actual_sales") - F.col("predicted_sales_boosted")
-    return wide.select(
-        "Store",
-        "Date",
-        "actual_sales",
-        reduce(lambda a, b: a & b, usable).alias("predicted"),
-        (
-            (F.col("error_boosted") == error) & (F.col("absolute_error_boosted") == F.abs(error))
-        ).alias("errors_agree"),
-    )
+    fitted = {
+        "boosted": _checked(spark, sf, "boosted"),
+        "rf": _checked(spark, sf, "forest"),
+        "lr": _fitted(spark, sf, "linear"),
+    }
+    wide = rounded(models.prediction_table(test, fitted), "predicted_sales_lr", digits=1)
+    return rounded(wide, *[c for c in wide.columns if "boosted" in c or c.endswith("rf")], digits=2)
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

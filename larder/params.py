@@ -187,6 +187,13 @@ BOOSTED_PARAMS = {
     "maxIter": 150, "maxDepth": 10, "stepSize": 0.1, "subsamplingRate": 0.8,
     "featureSubsetStrategy": "0.8", "minInstancesPerNode": 3, "minInfoGain": 0.1, "seed": 42,
 }
+# Small models that SQL can fit alike: inputs of few values, every row and input for every tree.
+CHECKED_FEATURES = ["day_of_week", "month", "competition_pressure", "is_holiday", "is_promo_day"]
+CHECKED_FOREST = {"numTrees": 1, "maxDepth": 5, "bootstrap": False, "maxBins": 256}
+CHECKED_BOOSTED = {
+    "maxIter": 3, "maxDepth": 4, "subsamplingRate": 1.0, "featureSubsetStrategy": "all",
+    "maxBins": 256,
+}
 LINEAR_PARAMS = {"regParam": 0.0, "solver": "normal"}
 
 # --- fixed values: inventory -----------------------------------------------------------------
