@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -21,7 +21,7 @@ BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 PIECE_VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 IDS = 1 << 20  # ids of either vocabulary are below; a pair of ids is a * IDS + b
 CHUNK = 8 << 20  # characters of text whose links share one list of pairs
-HEAD = 64  # ends of the shorter list that gallop from one place of the longer
+HEAD = 8  # ends of the shorter list that gallop from one place of the longer
 
 
 class Tokenizer(NamedTuple):
@@ -90,87 +90,104 @@ def piece_tokenizer(path: str = PIECE_VOCABULARY) -> Tokenizer:
 def gallop(shorter: np.ndarray, longer: np.ndarray) -> np.ndarray:
     """Places in ``longer`` of the first value not below each of ``shorter``; both ascend.
 
-    Every 64th value gallops on from the place of the one before; those between gallop from
-    there, all at once: steps double until they pass the value, then the bracket is halved.
+    Every eighth value is looked up first, in the same way; the others gallop on from the place
+    of the one before them, all at once: steps double until they pass the value, then the bracket
+    is halved. So each costs the logarithm of how far it lies from its neighbour.
     """
     n, m = len(shorter), len(longer)
-    heads = shorter[::HEAD].tolist()
-    places, at = [], 0
-    for value in heads:
-        step = 1
-        while at + step < m and longer[at + step - 1] < value:
-            at, step = at + step, step * 2
-        low, high = at, min(at + step, m)
-        while low < high:
-            middle = (low + high) // 2
-            if longer[middle] < value:
-                low = middle + 1
-            else:
-                high = middle
-        at = low
-        places.append(at)
-    low = np.repeat(np.array(places, np.int64), HEAD)[:n]
+    if not n:
+        return np.zeros(0, np.int64)
+    low = np.zeros(n, np.int64)
+    if n > HEAD:
+        low = np.repeat(gallop(shorter[::HEAD], longer), HEAD)[:n]
+    high = low.copy()
     step, open_ = 1, np.arange(n)
-    high = np.full(n, m, np.int64)
     while len(open_):
         ahead = low[open_] + step
-        inside = ahead <= m
-        passed = inside & (longer[np.minimum(ahead, m) - 1] < shorter[open_])
-        low[open_[passed]] = ahead[passed]
-        stop = open_[~passed]
-        high[stop] = np.minimum(ahead[~passed], m)
-        open_, step = open_[passed], step * 2
+        at_end = ahead > m
+        ahead[at_end] = m
+        passed = (longer[ahead - 1] < shorter[open_]) & ~at_end
+        high[open_] = ahead
+        open_ = open_[passed]
+        low[open_] = ahead[passed]
+        step *= 2
     open_ = np.flatnonzero(low < high)
     while len(open_):
-        middle = (low[open_] + high[open_]) // 2
+        middle = (low[open_] + high[open_]) >> 1
         below = longer[middle] < shorter[open_]
         low[open_[below]] = middle[below] + 1
-        high[open_[~below]] = middle[~below]
+        above = ~below
+        high[open_[above]] = middle[above]
         open_ = open_[low[open_] < high[open_]]
     return low
 
 
-def align(a: np.ndarray, b: np.ndarray, len_a: np.ndarray, len_b: np.ndarray) -> Aligned:
-    """Groups and links of two tokenizations of the same bytes; no tokens give no groups.
+def align_all(
+    all_a: list[np.ndarray], all_b: list[np.ndarray], len_a: np.ndarray, len_b: np.ndarray
+) -> list[Aligned]:
+    """Groups and links of two tokenizations of each text; those without tokens have none.
 
     The shorter list of token ends is looked up in the longer. The place of an end is the rank
     at which the other list has to be cut, so equal ends are the cuts of the groups, and the
-    difference of an interval's two ranks is how many tokens of the other list it overlaps.
+    difference of an interval's two ranks is how many tokens of the other list it overlaps. All
+    texts are looked up as one, as both lists end where a text does.
     """
-    ends_a, ends_b = np.cumsum(len_a), np.cumsum(len_b)
-    if not len(a) or not len(b):
-        none = np.zeros(0, np.int64)
-        return Aligned(a, b, none, none, none)
+    a, b = np.concatenate(all_a), np.concatenate(all_b)
+    none = np.zeros(0, np.int64)
+    if not len(a):
+        return [Aligned(none, none, none, none, none) for _ in all_a]
+    ends_a, ends_b = np.cumsum(len_a[a]), np.cumsum(len_b[b])
     a_is_short = len(a) <= len(b)
     short, long_ = (ends_a, ends_b) if a_is_short else (ends_b, ends_a)
     place = gallop(short, long_)
-    common = long_[np.minimum(place, len(long_) - 1)] == short
+    common = long_[place] == short
     own, other = np.flatnonzero(common) + 1, place[common] + 1
     # Token i of the shorter list overlaps those from the one that holds its first byte, which is
     # the one after the end before, if common, to the one whose end is not below its own.
     first = np.zeros(len(short), np.int64)
     first[1:] = place[:-1] + common[:-1]
     overlaps = place - first + 1
+    upto = np.cumsum(overlaps)
     left = np.repeat(np.arange(len(short)), overlaps)
-    before = np.cumsum(overlaps) - overlaps
-    right = np.arange(len(left)) - np.repeat(before - first, overlaps)
+    right = np.arange(len(left)) - np.repeat(upto - overlaps - first, overlaps)
     if a_is_short:
-        return Aligned(a, b, own, other, a[left] * IDS + b[right])
-    return Aligned(a, b, other, own, a[right] * IDS + b[left])
+        cuts_a, cuts_b, pairs = own, other, a[left] * IDS + b[right]
+    else:
+        cuts_a, cuts_b, pairs = other, own, a[right] * IDS + b[left]
+    until_a = np.cumsum([len(x) for x in all_a])
+    until_b = np.cumsum([len(x) for x in all_b])
+    groups = np.searchsorted(cuts_a, until_a, "right").tolist()
+    links = np.append(0, upto)[until_a if a_is_short else until_b].tolist()
+    found, group, link, at_a, at_b = [], 0, 0, 0, 0
+    for i, (x, y) in enumerate(zip(all_a, all_b)):
+        g, k = slice(group, groups[i]), slice(link, links[i])
+        found.append(Aligned(x, y, cuts_a[g] - at_a, cuts_b[g] - at_b, pairs[k]))
+        group, link, at_a, at_b = groups[i], links[i], until_a[i], until_b[i]
+    return found
+
+
+MARKS = (",", "|", ";", "")
+
+
+def spelled(ids: int) -> list[str]:
+    """The decimal form of ids below ``ids`` with each of the marks that may follow."""
+    return [str(i) + mark for i in range(ids) for mark in MARKS]
 
 
 def written(aligned: Aligned, names: list[str]) -> str:
-    """The groups as ``a1,a2|b1;a3|b2,b3``; ``names`` has the decimal form of each id."""
-    a = [names[i] for i in aligned.a.tolist()]
-    b = [names[i] for i in aligned.b.tolist()]
-    groups, at_a, at_b = [], 0, 0
-    for to_a, to_b in zip(aligned.cuts_a.tolist(), aligned.cuts_b.tolist()):
-        if to_a - at_a == 1 == to_b - at_b:
-            groups.append(a[at_a] + "|" + b[at_b])
-        else:
-            groups.append(",".join(a[at_a:to_a]) + "|" + ",".join(b[at_b:to_b]))
-        at_a, at_b = to_a, to_b
-    return ";".join(groups)
+    """The groups as ``a1,a2|b1;a3|b2,b3``; ``names`` is what :func:`spelled` gives."""
+    a, b, cuts_a, cuts_b = aligned.a, aligned.b, aligned.cuts_a, aligned.cuts_b
+    if not len(cuts_a):
+        return ""
+    codes = np.empty(len(a) + len(b), np.int64)
+    # Behind the tokens of a in a group come those of b, so each moves by the cuts of the other.
+    sizes_a, sizes_b = np.diff(cuts_a, prepend=0), np.diff(cuts_b, prepend=0)
+    codes[np.arange(len(a)) + np.repeat(cuts_b - sizes_b, sizes_a)] = a * len(MARKS)
+    codes[np.arange(len(b)) + np.repeat(cuts_a, sizes_b)] = b * len(MARKS)
+    codes[cuts_a - 1 + cuts_b - sizes_b] += MARKS.index("|")
+    codes[cuts_a + cuts_b - 1] += MARKS.index(";")
+    codes[-1] += MARKS.index("") - MARKS.index(";")
+    return "".join([names[code] for code in codes.tolist()])
 
 
 class Aligner:
@@ -182,23 +199,22 @@ class Aligner:
         self.len_b = np.array([len(p) for p in b.pieces], np.int64)
         if max(len(a.pieces), len(b.pieces)) > IDS:
             raise ValueError(f"ids have to be below {IDS}")
-        self.names = [str(i) for i in range(max(len(a.pieces), len(b.pieces)))]
+        self.names = spelled(max(len(a.pieces), len(b.pieces)))
 
-    def __call__(self, texts: list[str | None]) -> Iterator[Aligned]:
+    def __call__(self, texts: list[str | None]) -> list[Aligned]:
         """The alignment of each text, with no tokens where either's bytes are not space + text."""
         real = [text for text in texts if text]
         ids_a = iter(self.a.encode([" " + text for text in real]))
         ids_b = iter(self.b.encode(real))
-        none = np.zeros(0, np.int64)
+        all_a, all_b = [], []
         for text in texts:
-            a = b = none
-            if text:
-                a, b = next(ids_a), next(ids_b)
-                whole = b" " + text.encode()
-                same = b"".join(map(self.a.pieces.__getitem__, a)) == whole
-                same = same and b"".join(map(self.b.pieces.__getitem__, b)) == whole
-                a, b = (np.array(a, np.int64), np.array(b, np.int64)) if same else (none, none)
-            yield align(a, b, self.len_a[a], self.len_b[b])
+            a, b = (next(ids_a), next(ids_b)) if text else ((), ())
+            whole = b" " + text.encode() if text else b""
+            same = b"".join(map(self.a.pieces.__getitem__, a)) == whole
+            same = same and b"".join(map(self.b.pieces.__getitem__, b)) == whole
+            all_a.append(np.array(a if same else (), np.int64))
+            all_b.append(np.array(b if same else (), np.int64))
+        return align_all(all_a, all_b, self.len_a, self.len_b)
 
 
 def _aligner(path_a: str, path_b: str) -> Aligner:
@@ -290,7 +306,7 @@ def _rank_task():
             names = batch.column("chunk")
             places = batch.column("place").to_numpy(zero_copy_only=False)
             values = batch.column("value").to_numpy(zero_copy_only=False)
-            edges = pa.compute.run_end_encode(names, run_end_type=pa.int32())
+            edges = pc.run_end_encode(names, run_end_type=pa.int32())
             start = 0
             keep, sums, bests = [], [], []
             for name, stop in zip(edges.values.to_pylist(), edges.run_ends.to_pylist()):
