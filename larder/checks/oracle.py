@@ -399,18 +399,21 @@ SELECT Store, Date, CAST(Sales AS DOUBLE) AS y, CAST(Sales AS DOUBLE) AS goal,
        [{model_sql.values(P.CHECKED_FEATURES)}] AS x, Date < (SELECT cut FROM gold_cut) AS learn
 FROM gold"""
 CTES |= model_sql.tree(
-    "one_tree", "tree_inputs", P.CHECKED_FOREST["maxDepth"], P.FOREST_PARAMS["minInstancesPerNode"], 0.0
+    "one_tree", "tree_inputs", P.CHECKED_FOREST["maxDepth"],
+    P.CHECKED_FOREST["minInstancesPerNode"], 0.0,
 )
 CTES["boosted_inputs"] = "SELECT * EXCLUDE (goal) FROM tree_inputs"
 CTES |= model_sql.boosted(
     "three_trees", "boosted_inputs", P.CHECKED_BOOSTED["maxIter"], P.BOOSTED_PARAMS["stepSize"],
-    P.CHECKED_BOOSTED["maxDepth"], P.BOOSTED_PARAMS["minInstancesPerNode"],
+    P.CHECKED_BOOSTED["maxDepth"], P.CHECKED_BOOSTED["minInstancesPerNode"],
     P.BOOSTED_PARAMS["minInfoGain"],
 )
 
 # --- sources, sinks, catalog -----------------------------------------------------------------
 
 SQL["scan_csv"] = "SELECT * FROM raw_sales"
+SQL["scan_rejected"] = """
+SELECT CAST(Store AS VARCHAR) || ',oops' AS record, 1 AS fields_read FROM raw_stores"""
 SQL["scan_format_guard"] = """
 SELECT f AS table_name, (SELECT COUNT(*) FROM raw_sales) AS record_count
 FROM (VALUES ('csv'), ('json'), ('parquet')) t(f)"""
@@ -429,8 +432,8 @@ SELECT Store, Date, sha256(concat_ws('||', {HASHED})) AS row_hash,
 FROM raw_sales"""
 SQL["sink_overwrite"] = "SELECT * FROM panel"
 SQL["sink_append"] = """
-SELECT Store, COUNT(*) AS days FROM panel GROUP BY Store
-UNION ALL SELECT Store, COUNT(*) FROM panel GROUP BY Store"""
+SELECT Store, COUNT(*) AS days, 'first' AS batch FROM panel GROUP BY Store
+UNION ALL SELECT Store, COUNT(*), 'second' FROM panel GROUP BY Store"""
 SQL["lineage_record"] = """
 SELECT t AS table_name, f AS full_table_name, s AS source_file, 'raw/' AS source_path,
        n AS record_count, '2024-01-01 00:00:00' AS load_timestamp, 'initial_load' AS load_type,
@@ -443,7 +446,7 @@ SELECT key, value, (SELECT COUNT(*) FROM panel) AS record_count
 FROM (VALUES ('quality.layer', 'bronze'), ('feature.version', 'v1.0')) t(key, value)"""
 SQL["table_comment"] = """
 SELECT 'Sales per store and day, the owner''s copy' AS comment, COUNT(*) AS record_count FROM panel"""
-SQL["compact_table"] = "SELECT * FROM panel"
+SQL["compact_table"] = "SELECT *, TRUE AS fewer_files, TRUE AS one_file_a_bucket FROM panel"
 SQL["table_stats"] = "SELECT COUNT(*) AS row_count FROM panel"
 SQL["layer_schemas"] = """
 SELECT n AS namespace,
@@ -850,6 +853,10 @@ SQL["coef_importance"] = f"""
 SELECT UNNEST([{in_list(P.SAFE_FEATURES)}]) AS feature,
        UNNEST(list_transform(b, lambda v: ROUND(v, 4) + 0.0)) AS coefficient
 FROM safe_squares"""
+SQL["fit_linear_merged"] = f"""
+SELECT UNNEST([{in_list(P.SAFE_FEATURES)}]) AS feature,
+       UNNEST(list_transform(b, lambda v: ROUND(v, 4) + 0.0)) AS coefficient, {r("intercept")}
+FROM safe_squares"""
 SQL["tree_importance"] = f"""
 SELECT f.feature, TRUE AS is_share, 1.0::DOUBLE AS total,
        {r("COALESCE(gained / SUM(gained) OVER (), 0)", 6, "checked_importance")}

@@ -24,6 +24,7 @@ from larder.operators import (
     ingest,
     inventory,
     models,
+    moments,
     quality,
     quantile,
     trees,
@@ -174,11 +175,26 @@ def with_unknown_stores(df: DataFrame) -> DataFrame:
 # --- sources, sinks, catalog -----------------------------------------------------------------
 
 
+def _checked_csv(spark, sf):
+    """The sales as CSV beside a file with a line for each store that does not fit."""
+    path = tables.shared_folder(spark, "scan_csv")
+    source = panel.raw_sales(spark, sf)
+    source.write.option("header", True).csv(path)
+    broken = panel.raw_stores(spark, sf).select("Store", F.lit("oops").alias("DayOfWeek"))
+    broken.write.mode("append").option("header", True).csv(path)
+    return files.read_checked(spark, path, source.schema)
+
+
 @query
 def scan_csv(spark, sf):
-    path = tables.shared_folder(spark, "scan_csv")
-    panel.raw_sales(spark, sf).write.option("header", True).csv(path)
-    return files.read_raw(spark, path, schema=panel.raw_sales(spark, sf).schema)
+    """Lines that do not fit are left out."""
+    return _checked_csv(spark, sf)[0]
+
+
+@query
+def scan_rejected(spark, sf):
+    """Lines that do not fit are kept."""
+    return _checked_csv(spark, sf)[1].select("record", "fields_read")
 
 
 @query
@@ -228,9 +244,18 @@ def sink_overwrite(spark, sf):
 
 @query
 def sink_append(spark, sf):
+    """Two batches, of which the second is tried twice, with other rows the first time."""
     counts = quality.freq(panel.store_days(spark, sf), "Store").withColumnRenamed("count", "days")
-    table, _ = saved(counts, "append")
-    return tables.write_table(counts.select("days", "Store"), table, mode="append")
+    table, path = scratch("append"), tables.shared_folder(spark, "append")
+    for batch, rows in (
+        ("first", counts),
+        ("second", counts.filter("Store % 2 = 0").withColumn("days", F.col("days") + 1)),
+        ("second", counts.select("days", "Store")),
+    ):
+        saved_rows = tables.append_batch(
+            rows.withColumn("batch", F.lit(batch)), table, "batch", path=path
+        )
+    return saved_rows
 
 
 @query
@@ -263,8 +288,16 @@ def table_comment(spark, sf):
 
 @query
 def compact_table(spark, sf):
-    table, _ = saved(panel.store_days(spark, sf).repartition(16), "compact")
-    return tables.compact(spark, table, tables.shared_folder(spark, "compacted"))
+    """A bucketed table of many small files: rows stay, and every bucket is one file."""
+    rows = panel.store_days(spark, sf).repartition(16)
+    table, before = saved(rows, "compact", bucket_by=(4, ["Store"]), sort_by=["Store", "Date"])
+    after = tables.compact(spark, table, tables.shared_folder(spark, "compacted"))
+    files_of = F.count_distinct("_metadata.file_path")
+    shrunk = before.agg(files_of).scalar() > after.agg(files_of).scalar()
+    bucket = F.pmod(F.hash("Store"), F.lit(4))
+    spread = after.groupBy(bucket.alias("bucket")).agg(files_of.alias("files"))
+    single = spread.agg(F.max("files")).scalar() == 1
+    return after.withColumns({"fewer_files": shrunk, "one_file_a_bucket": single})
 
 
 @query
@@ -924,7 +957,11 @@ def model_run_log(spark, sf):
         )
         for measured in rounded(_comparison(spark, sf)).collect()
     ]
-    _, log = saved(reduce(DataFrame.unionByName, runs), "run_log")
+    name, path = scratch("run_log"), tables.shared_folder(spark, "run_log")
+    for run in [*runs, *runs]:  # a run that is logged again replaces its entry
+        log = tables.append_batch(
+            run.withColumn("batch", F.col("run")), name, "batch", path=path
+        )
     return log.select("run", F.explode("metrics").alias("metric", "value"))
 
 
@@ -1004,6 +1041,20 @@ def fit_linear(spark, sf):
     )
 
 
+@query
+def fit_linear_merged(spark, sf):
+    """Least squares from stored moments of two halves of the training rows."""
+    train, _ = _matrix_split(spark, sf)
+    columns = [*P.SAFE_FEATURES, "Sales"]
+    halves = [
+        tables.materialize(moments.co_moments(train.filter(F.col("Store") % 2 == side), columns))
+        for side in (0, 1)
+    ]
+    whole = moments.merge(halves[0].unionByName(halves[1]))
+    coefficients, intercept = moments.linear(spark, whole, P.SAFE_FEATURES)
+    return rounded(coefficients.withColumn("intercept", F.lit(intercept)))
+
+
 @query
 def fit_linear_one_input(spark, sf):
     train, _ = _matrix_split(spark, sf, ["rolling_mean_30"])

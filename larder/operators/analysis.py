@@ -7,50 +7,44 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def _correlations(
-    df: DataFrame, columns: Sequence[str], pairs: Sequence[tuple[int, int]]
-) -> DataFrame:
-    """Pearson correlation of pairs of columns, given by position, in one read of ``df``.
-
-    Every row is laid out as a row per pair and combined before the shuffle, so the generated
-    code is the same for any number of pairs. A pair skips rows where either value is NULL; a
-    column's correlation with itself is 1, or NULL where it does not vary.
-    """
-    values = F.array(*[F.col(c).cast("double") for c in columns])
-    names = F.array(*[F.lit(c) for c in columns])
-    listed = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs])
-    varies = F.when(F.max("x") > F.min("x"), 1.0)
-    return (
-        df.select(values.alias("v"), F.explode(listed).alias("p"))
-        .select("p.a", "p.b", F.col("v")[F.col("p.a")].alias("x"), F.col("v")[F.col("p.b")].alias("y"))
-        .groupBy("a", "b")
-        .agg(F.when(F.col("a") == F.col("b"), varies).otherwise(F.corr("x", "y")).alias("correlation"))
-        .select(names[F.col("a")].alias("feature_a"), names[F.col("b")].alias("feature_b"), "correlation")
-    )
+from larder.operators import moments
 
 
 def top_correlations(df: DataFrame, target: str, columns: Sequence[str], k: int = 5) -> DataFrame:
     """The k columns with the highest Pearson correlation with the target."""
     name = f"correlation_with_{target.lower()}"
-    pairs = [(i, len(columns)) for i in range(len(columns))]
-    rows = _correlations(df, [*columns, target], pairs)
+    pairs = moments.co_moments(df, [*columns, target]).filter(F.col("b") == len(columns))
+    rows = pairs.filter("a <> b").select("a", moments.correlation().alias(name))
+    named = _local(df, [(i, c) for i, c in enumerate(columns)], "a int, feature string")
     return (
-        rows.select(F.col("feature_a").alias("feature"), F.col("correlation").alias(name))
+        named.join(F.broadcast(rows), "a", "left")
+        .select("feature", name)
         .orderBy(F.desc_nulls_last(name), "feature")
         .limit(k)
     )
 
 
+def _local(df: DataFrame, rows: list[tuple], schema: str) -> DataFrame:
+    """A table as small as a list of columns."""
+    return df.sparkSession.createDataFrame(rows, schema).coalesce(1)
+
+
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pearson correlation of every two of the listed columns, and of each with itself."""
-    upper = _correlations(df, columns, [(i, j) for j in range(len(columns)) for i in range(j + 1)])
-    sides = F.array(
-        F.struct("feature_a", "feature_b"),
-        F.struct(F.col("feature_b").alias("feature_a"), F.col("feature_a").alias("feature_b")),
+    """Pearson correlation of every two of the listed columns, and of each with itself.
+
+    A pair skips rows where either value is NULL. The correlation of a column with itself is 1;
+    it is NULL where a column does not vary or a pair has no rows in common.
+    """
+    upper = moments.co_moments(df, columns).select("a", "b", moments.correlation().alias("correlation"))
+    names = [
+        (min(i, j), max(i, j), one, two)
+        for i, one in enumerate(columns)
+        for j, two in enumerate(columns)
+    ]
+    pairs = _local(df, names, "a int, b int, feature_a string, feature_b string")
+    return pairs.join(F.broadcast(upper), ["a", "b"], "left").select(
+        "feature_a", "feature_b", "correlation"
     )
-    both = F.explode(F.array_distinct(sides)).alias("side")
-    return upper.select("correlation", both).select("side.feature_a", "side.feature_b", "correlation")
 
 
 def key_digest(keys: Sequence[str]) -> Column:

@@ -65,6 +65,7 @@ SALES_TYPES = {
 EXPECTED_TYPES = {"Store": "int", "Date": "date", "Sales": "double", "Customers": "int"}
 CRITICAL_SALES_COLUMNS = ["Store", "Date", "Sales", "DayOfWeek"]
 SALES_KEY = ["Store", "Date"]
+BATCH_COLUMN = "run_batch"  # of the logs: which run and step a row comes from
 DATE_FORMAT = "yyyy-MM-dd"
 HOLIDAY_CODES = {"0": "None", "a": "Public", "b": "Easter", "c": "Christmas"}
 OUTLIER_QUANTILE = 0.99
@@ -187,12 +188,15 @@ BOOSTED_PARAMS = {
     "maxIter": 150, "maxDepth": 10, "stepSize": 0.1, "subsamplingRate": 0.8,
     "featureSubsetStrategy": "0.8", "minInstancesPerNode": 3, "minInfoGain": 0.1, "seed": 42,
 }
-# Small models that SQL can fit alike: inputs of few values, every row and input for every tree.
+# Small models that SQL can fit alike: inputs of few values, every row and input for every tree, and
+# nodes so large that no two inputs split them alike.
 CHECKED_FEATURES = ["day_of_week", "month", "competition_pressure", "is_holiday", "is_promo_day"]
-CHECKED_FOREST = {"numTrees": 1, "maxDepth": 5, "bootstrap": False, "maxBins": 256}
+CHECKED_FOREST = {
+    "numTrees": 1, "maxDepth": 5, "bootstrap": False, "minInstancesPerNode": 50, "maxBins": 256,
+}
 CHECKED_BOOSTED = {
     "maxIter": 3, "maxDepth": 4, "subsamplingRate": 1.0, "featureSubsetStrategy": "all",
-    "maxBins": 256,
+    "minInstancesPerNode": 50, "maxBins": 256,
 }
 LINEAR_PARAMS = {"regParam": 0.0, "solver": "normal"}
 

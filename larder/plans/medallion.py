@@ -58,9 +58,25 @@ class Run:
     def table(self, name: str) -> DataFrame:
         return self.spark.table(name)
 
-    def save(self, df: DataFrame, name: str, mode: str = "overwrite", **options) -> DataFrame:
-        path = None if self.root is None else f"{self.root}/{name.replace('.', '/')}"
-        return tables.write_table(df, name, mode, path=path, **options)
+    def path(self, name: str) -> str | None:
+        return None if self.root is None else f"{self.root}/{name.replace('.', '/')}"
+
+    def save(self, df: DataFrame, name: str, **options) -> DataFrame:
+        return tables.write_table(df, name, path=self.path(name), **options)
+
+    def add(self, df: DataFrame, name: str, step: str = "") -> DataFrame:
+        """Append to a log. The run and ``step`` name the batch, so a step done again replaces
+        its earlier rows."""
+        batch = "-".join(filter(None, (self.batch_id, step)))
+        rows = df.withColumn(P.BATCH_COLUMN, F.lit(batch))
+        return tables.append_batch(rows, name, P.BATCH_COLUMN, path=self.path(name))
+
+    def tidy(self, name: str) -> DataFrame:
+        """Put a table's small files together, if it has any to put together."""
+        path = tables.shared_folder(self.spark, name) if self.root is None else (
+            f"{self.root}/_compacted/{name.replace('.', '/')}-{self.batch_id}"
+        )
+        return tables.compact(self.spark, name, path)
 
     def save_by_store(self, df: DataFrame, name: str, placed: bool = False) -> DataFrame:
         """Save bucketed by store, so that store windows over the table need no shuffle.
@@ -85,18 +101,25 @@ class Run:
 def build_bronze(
     run: Run, sales_path: str, stores_path: str, fmt: str = "csv", mode: str = "overwrite"
 ) -> None:
-    """Load the raw files with audit columns. ``mode="append"`` keeps earlier loads."""
+    """Load the raw files with audit columns; records that do not fit are kept apart.
+
+    ``mode="append"`` keeps earlier loads. A load that is tried again under the same batch replaces
+    what it left before.
+    """
     tables.ensure_layers(run.spark)
     sources = [
         ("raw_sales", sales_path, P.RAW_SALES, "Daily sales per store"),
         ("raw_stores", stores_path, P.RAW_STORES, "Store master data"),
     ]
     for name, path, schema, text in sources:
-        raw = files.read_raw(run.spark, path, fmt, schema)
+        raw, rejected = files.read_checked(run.spark, path, schema, fmt)
         loaded = ingest.with_ingest_metadata(
             raw, path, "retail files", text, run.batch_id, run.started_at
         )
-        saved = run.save(loaded, f"bronze.{name}", mode)
+        saved = tables.append_batch(
+            loaded, f"bronze.{name}", "ingestion_batch_id", mode, path=run.path(f"bronze.{name}")
+        )
+        run.add(rejected.withColumn("table_name", F.lit(name)), "bronze.rejected_records", name)
         run.describe(f"bronze.{name}", text, quality_layer="bronze", last_batch=run.batch_id)
         folder, _, file = path.rstrip("/").rpartition("/")
         batch = saved.filter(F.col("ingestion_batch_id") == run.batch_id)
@@ -104,7 +127,7 @@ def build_bronze(
         entry = ingest.lineage_row(
             batch, f"bronze_{name}", f"bronze.{name}", file, folder, run.started_at, kind
         )
-        run.save(entry, "bronze.data_lineage", "append")
+        run.add(entry, "bronze.data_lineage", name)
 
 
 def profile_bronze(run: Run) -> None:
@@ -153,10 +176,9 @@ def build_silver(run: Run) -> None:
     status = "cleaned" if checks.filter("status = 'FAIL'").isEmpty() else "failed"
     run.save(quality.coverage(sales), "silver.date_coverage")
     report = {"Silver Sales": sales, "Silver Stores": stores}
-    run.save(
-        quality.quality_report(report, run.started_at, status), "silver.data_quality_report", "append"
-    )
+    run.add(quality.quality_report(report, run.started_at, status), "silver.data_quality_report")
     for name in ("silver.cleaned_sales", "silver.cleaned_stores"):
+        run.tidy(name)
         tables.analyze(run.spark, name)
 
 
@@ -171,7 +193,8 @@ def build_gold(run: Run) -> None:
         quality_layer="gold",
         feature_version=P.FEATURE_VERSION,
     )
-    tables.analyze(run.spark, "gold.demand_features", ["Store", "Date", "Promo"])
+    gold = run.tidy("gold.demand_features")
+    tables.analyze(run.spark, "gold.demand_features", "all")
     run.save(
         analysis.top_correlations(gold, "Sales", P.CORRELATED_FEATURES),
         "gold.feature_correlation_analysis",
@@ -197,10 +220,9 @@ def build_gold(run: Run) -> None:
         ),
         "gold.validation_checks",
     )
-    run.save(
+    run.add(
         quality.validation_report(gold, P.CRITICAL_FEATURES, run.started_at),
         "gold.feature_validation_report",
-        "append",
     )
 
 
@@ -259,7 +281,7 @@ def log_models(run: Run, fitted: Mapping[str, models.PipelineModel], train: Data
         entry = evaluate.log_run(
             run.spark, label, settings | {"n_features": len(run.features)}, errors, run.started_at
         )
-        run.save(entry, "ml.model_runs", "append")
+        run.add(entry, "ml.model_runs", suffix)
 
 
 def build_recommendations(run: Run, stock: DataFrame | None = None) -> None:
@@ -271,7 +293,7 @@ def build_recommendations(run: Run, stock: DataFrame | None = None) -> None:
     run.describe("ml.inventory_recommendations", "Stock levels and actions per store")
     run.save(inventory.urgent(saved), "ml.urgent_orders")
     impact = inventory.business_impact(saved, run.policy, at)
-    run.save(impact, "ml.business_impact_analysis", "append")
+    run.add(impact, "ml.business_impact_analysis")
     run.describe("ml.business_impact_analysis", "Savings and avoided stock-outs over time")
 
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import math
+import re
 import uuid
 from collections.abc import Mapping
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larder.params import LAYERS
@@ -115,6 +116,43 @@ def write_table(
     return spark.table(name)
 
 
+def append_batch(
+    df: DataFrame,
+    name: str,
+    batch: str,
+    mode: str = "append",
+    fmt: str = "parquet",
+    path: str | None = None,
+) -> DataFrame:
+    """Add the rows of one or more batches to a table that keeps each batch in a folder of its own.
+
+    ``batch`` is the column that tells them apart. A batch that is there already, whole or in part
+    from an earlier try, is replaced when the write commits, so that a job can be retried without
+    doubling rows; other batches are not read or touched. A try that fails leaves the table as it
+    was. A batch has to be written as a whole, and one that turns out empty replaces nothing.
+    ``mode="overwrite"`` drops all other batches and the schema. The batch column comes last.
+    """
+    spark = df.sparkSession
+    exists = spark.catalog.tableExists(name)
+    if mode == "overwrite" or not exists and path is None:
+        return write_table(df, name, "overwrite", fmt, path, partition_by=[batch])
+    if exists:
+        columns = spark.catalog.listColumns(name)
+        if {c.name for c in columns} != set(df.columns):
+            raise ValueError(f"{name} has columns {[c.name for c in columns]}, not {df.columns}")
+        if [c.name for c in columns if c.isPartition] != [batch]:
+            raise ValueError(f"{name} does not keep its batches apart by {batch}")
+        path = table_detail(spark, name, "Location").first()["location"]
+        df = df.select(*[c.name for c in columns])
+    writer = df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(batch).save(path)
+    if not exists:  # earlier batches may lie under the path although this session's catalog is new
+        spark.catalog.createTable(name, path=path, source=fmt)
+    spark.catalog.recoverPartitions(name)
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
 def set_properties(spark: SparkSession, name: str, properties: Mapping[str, str]) -> DataFrame:
     """Tag a table and return all its properties."""
     pairs = ", ".join(f"{quoted(k)} = {quoted(v)}" for k, v in properties.items())
@@ -152,25 +190,102 @@ def analyze(spark: SparkSession, name: str, columns: list[str] | str | None = No
     )
 
 
+def _layout(spark: SparkSession, name: str) -> tuple[list[str], tuple[int, list[str]] | None, list[str]]:
+    """Partition columns, buckets as for :func:`write_table`, and the order within files."""
+    details = {
+        row["col_name"]: row["data_type"]
+        for row in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()
+    }
+    listed = {k: re.findall(r"`([^`]*)`", details.get(f"{k} Columns", "")) for k in ("Bucket", "Sort")}
+    partitions = [c.name for c in spark.catalog.listColumns(name) if c.isPartition]
+    buckets = (int(details["Num Buckets"]), listed["Bucket"]) if listed["Bucket"] else None
+    return partitions, buckets, listed["Sort"]
+
+
+def file_bins(spark: SparkSession, name: str, target_bytes: int) -> DataFrame:
+    """Which files of a table belong together: ``path``, ``size``, and a number ``bin``.
+
+    Within a partition and bucket files are put next to one another by size and cut wherever
+    ``target_bytes`` are full, so a bin holds at most that much and one file more. Only the files'
+    footers are read. One row per file: a table of files, not of data.
+    """
+    partitions, buckets, _ = _layout(spark, name)
+    # The number of a file's bucket is a part of its name; files of unbucketed tables have none.
+    number = F.regexp_extract(F.col("_metadata.file_name"), r"_(\d{5,})(?:\.|$)", 1)
+    group = [*partitions, "bucket"]
+    found = (
+        spark.table(name)
+        .select(
+            *partitions,
+            (number if buckets else F.lit("")).alias("bucket"),
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_size").alias("size"),
+        )
+        .groupBy(*group, "path", "size")
+        .agg(F.count("*").alias("rows"))
+    )
+    order = Window.partitionBy(*group).orderBy("size", "path")
+    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    place = found.withColumn("part", F.floor(F.coalesce(before, F.lit(0)) / target_bytes))
+    every = Window.orderBy(*group, "part")  # of all files, in one task
+    return place.select(
+        *group,
+        "path",
+        "size",
+        "rows",
+        F.count("*").over(Window.partitionBy(*group, "part")).alias("files"),
+        (F.dense_rank().over(every) - 1).alias("bin"),
+    )
+
+
+def _partition(folder: str) -> str:
+    """A partition's folder, such as a=1/b=x%20y, as SQL names it."""
+    pairs = [level.split("=", 1) for level in folder.split("/")]
+    return ", ".join(
+        f"`{unquote(k)}` = " + ("NULL" if v == "__HIVE_DEFAULT_PARTITION__" else quoted(unquote(v)))
+        for k, v in pairs
+    )
+
+
 def compact(
-    spark: SparkSession, name: str, path: str, target_file_mb: int = 256, fmt: str = "parquet"
+    spark: SparkSession,
+    name: str,
+    path: str,
+    target_file_mb: float = 256,
+    fmt: str = "parquet",
 ) -> DataFrame:
     """Rewrite a table's small files as files of about ``target_file_mb`` under a new ``path``.
 
-    The new files are complete before the table is pointed at them, so a reader sees the old or
-    the new set and a failed run leaves the table as it was. The old files stay until removed.
-    Bucketed and partitioned tables, whose files have to keep their layout, are refused.
+    Partitions, buckets and the order within files stay: files are put together within their
+    partition and bucket only, a task to each bin of :func:`file_bins`. Rows go to their bin by the
+    file they are read from, without a sort or a hash of data. Where no two files would be put
+    together nothing is written. The new files are complete before the table is pointed at them, so
+    a reader sees the old or the new set, partition by partition, and a failed run leaves the table
+    as it was. The old files stay until removed.
     """
-    placed = [c.name for c in spark.catalog.listColumns(name) if c.isBucket or c.isPartition]
-    if placed:
-        raise ValueError(f"{name} is laid out by {placed}; write it again instead")
-    spark.sql(f"ANALYZE TABLE {name} COMPUTE STATISTICS NOSCAN")
-    size = table_detail(spark, name, "Statistics").select(
-        F.regexp_extract("statistics", r"(\d+) bytes", 1).cast("bigint").alias("size")
+    partitions, buckets, order = _layout(spark, name)
+    bins = materialize(file_bins(spark, name, int(target_file_mb * 1024 * 1024)), "bins")
+    extent = bins.agg(F.max("bin").alias("last"), F.max("files").alias("most")).first()
+    if extent["most"] is None or extent["most"] < 2:
+        return spark.table(name)
+    columns = spark.table(name).columns
+    rows = spark.table(name).withColumn("_path", F.col("_metadata.file_path"))
+    placed = (
+        rows.join(bins.select(F.col("path").alias("_path"), F.col("bin").alias("_bin")), "_path")
+        .repartitionById(extent["last"] + 1, F.col("_bin").cast("int"))
+        .select(*columns)
     )
-    files = max(1, math.ceil(size.first()["size"] / (target_file_mb * 1024 * 1024)))
-    spark.table(name).repartition(files).write.format(fmt).save(path)
+    staged = f"{name}_compacted_{uuid.uuid4().hex[:12]}"
+    write_table(
+        placed, staged, "errorifexists", fmt, path,
+        partition_by=partitions, bucket_by=buckets, sort_by=order,
+    )
     spark.sql(f"ALTER TABLE {name} SET LOCATION {quoted(path)}")
+    for folder in spark.sql(f"SHOW PARTITIONS {name}").collect() if partitions else []:
+        spec = _partition(folder["partition"])
+        at = quoted(f"{path.rstrip('/')}/{folder['partition']}")
+        spark.sql(f"ALTER TABLE {name} PARTITION ({spec}) SET LOCATION {at}")
+    spark.sql(f"DROP TABLE {staged}")  # its files are the table's now
     spark.catalog.refreshTable(name)
     return spark.table(name)
 

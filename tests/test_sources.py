@@ -2,7 +2,7 @@ import os
 from datetime import datetime
 
 import pytest
-from conftest import SF
+from conftest import SF, plan_of
 from helpers import raw_rows
 from pyspark.sql import functions as F
 
@@ -35,6 +35,33 @@ def test_other_formats(spark, tmp_path, fmt):
     assert files.read_raw(spark, path, fmt, P.RAW_SALES).count() == 1
 
 
+def test_records_that_do_not_fit_are_kept_apart(spark, tmp_path):
+    good = raw_rows(spark, {}, {"Sales": None, "StateHoliday": "a"})
+    path = str(tmp_path / "sales")
+    good.write.option("header", True).csv(path)
+    header = ",".join(good.columns)
+    (tmp_path / "sales" / "more.csv").write_text(
+        header + "\n" + "1,2\n" + "x,5,2013-01-01,1.0,2,1,0,0,0\n"
+        + "1,5,2013-01-01,1.0,2,1,0,0,0,9,9\n" + "3,5,2013-01-02,7.0,2,1,0,b,0\n"
+    )
+    rows, rejected = files.read_checked(spark, path, P.RAW_SALES)
+    assert rows.schema == P.RAW_SALES and rows.count() == 3
+    assert sorted((r.record[:3], r.fields_read) for r in rejected.collect()) == [
+        ("1,2", 2), ("1,5", 9), ("x,5", 8),
+    ]
+    assert all(r.source_file.endswith("more.csv") for r in rejected.collect())
+
+
+@pytest.mark.parametrize("fmt", ["json", "parquet"])
+def test_other_formats_are_checked(spark, tmp_path, fmt):
+    path = str(tmp_path / fmt)
+    raw_rows(spark, {}).write.format(fmt).save(path)
+    if fmt == "json":
+        (tmp_path / fmt / "more.json").write_text('{"Store": "x"}\n{"Sto\n')
+    rows, rejected = files.read_checked(spark, path, P.RAW_SALES, fmt)
+    assert (rows.count(), rejected.count()) == (1, 2 if fmt == "json" else 0)
+
+
 def test_unknown_format_is_refused(spark):
     with pytest.raises(ValueError, match="xml"):
         files.read_raw(spark, "nowhere", "xml")
@@ -80,13 +107,96 @@ def test_compaction_keeps_rows_in_fewer_files(spark):
     assert tables.table_detail(spark, "t_compact", "Comment").first().comment == "kept"
 
 
-def test_compaction_refuses_tables_with_a_layout(spark):
-    rows = spark.range(10).withColumn("part", F.col("id") % 2)
-    tables.write_table(rows, "t_buckets", bucket_by=(2, ["id"]))
-    tables.write_table(rows, "t_parts", partition_by=["part"])
-    for name in ("t_buckets", "t_parts"):
-        with pytest.raises(ValueError, match="laid out"):
-            tables.compact(spark, name, tables.shared_folder(spark, "refused"))
+LAYOUTS = {
+    "buckets": {"bucket_by": (4, ["k"]), "sort_by": ["k", "id"]},
+    "parts": {"partition_by": ["p"]},
+    "both": {"partition_by": ["p"], "bucket_by": (3, ["k"])},
+}
+
+
+@pytest.mark.parametrize("layout", LAYOUTS)
+@pytest.mark.parametrize("external", [False, True])
+def test_compaction_keeps_the_layout(spark, tmp_path, layout, external):
+    rows = spark.range(2000).selectExpr(
+        "id", "id % 7 AS k", "CASE WHEN id % 3 < 2 THEN concat('x y/', id % 3) END AS p"
+    )
+    name = f"t_{layout}_{external}".lower()
+    path = f"file://{tmp_path}/{name}" if external else None
+    tables.write_table(rows.repartition(6), name, path=path, **LAYOUTS[layout])
+    before, laid_out = len(spark.table(name).inputFiles()), tables._layout(spark, name)
+    after = tables.compact(spark, name, tables.shared_folder(spark, "compacted"))
+    groups = {"buckets": 3, "parts": 3, "both": 9}[layout]  # seven values of k fill three buckets
+    assert (before, len(after.inputFiles())) == (6 * groups, groups)
+    assert tables._layout(spark, name) == laid_out
+    assert after.exceptAll(rows.select(*after.columns)).isEmpty() and after.count() == 2000
+    if layout == "buckets":
+        assert "Exchange" not in plan_of(after.groupBy("k").count())
+    files = set(after.inputFiles())
+    again = tables.compact(spark, name, tables.shared_folder(spark, "compacted"))
+    assert set(again.inputFiles()) == files  # nothing to put together, nothing written
+
+
+def test_bins_hold_a_target_and_one_file_more(spark):
+    tables.write_table(spark.range(30_000).repartition(30), "t_bins", bucket_by=(2, ["id"]))
+    bins = tables.file_bins(spark, "t_bins", 20_000)
+    whole = bins.groupBy("bin", "bucket").agg(F.sum("size").alias("s"), F.max("size").alias("m"))
+    assert whole.count() == bins.select("bin").distinct().count() > 4
+    assert whole.filter("s > 20000 + m").isEmpty()
+    assert bins.agg(F.sum("rows"), F.max("bin")).first()[0] == 30_000
+    target = 20_000 / (1 << 20)
+    after = tables.compact(spark, "t_bins", tables.shared_folder(spark, "bins"), target)
+    assert len(after.inputFiles()) == whole.count() and after.agg(F.sum("id")).first()[0] == 449_985_000
+    assert "Exchange" not in plan_of(after.groupBy("id").count())
+
+
+def test_compaction_shuffles_by_file_alone(spark, monkeypatch):
+    tables.write_table(spark.range(500).repartition(5), "t_by_file", bucket_by=(2, ["id"]))
+    plans = []
+    write = tables.write_table
+    monkeypatch.setattr(
+        tables, "write_table", lambda df, *a, **k: (plans.append(plan_of(df)), write(df, *a, **k))[1]
+    )
+    tables.compact(spark, "t_by_file", tables.shared_folder(spark, "by_file"))
+    assert "_bin" in plans[0] and "hashpartitioning(id" not in plans[0] and "rangepartitioning" not in plans[0]
+
+
+@pytest.mark.parametrize("external", [False, True])
+def test_a_retried_batch_changes_nothing(spark, tmp_path, external):
+    name, path = f"t_batches_{external}".lower(), f"file://{tmp_path}/batches" if external else None
+
+    def append(batch, n):
+        rows = spark.range(n).select(F.lit(batch).alias("batch"), "id")
+        return tables.append_batch(rows, name, "batch", path=path)
+
+    for batch, n in (("a", 3), ("b", 9), ("b", 4), ("b", 4), ("c d/e", 2)):
+        saved = append(batch, n)
+    assert {r.batch: r["count"] for r in saved.groupBy("batch").count().collect()} == {
+        "a": 3, "b": 4, "c d/e": 2,
+    }
+    assert saved.columns == ["id", "batch"]
+    with pytest.raises(ValueError, match="columns"):
+        tables.append_batch(spark.range(1), name, "batch", path=path)
+    assert append("d", 0).count() == 9
+    if external:  # a new catalog knows nothing of the table
+        spark.sql(f"DROP TABLE {name}")
+        assert append("e", 1).count() == 10
+    fresh = tables.append_batch(spark.range(2).withColumn("batch", F.lit("x")), name, "batch", "overwrite", path=path)
+    assert fresh.count() == 2
+
+
+def test_a_failed_try_leaves_the_table_as_it_was(spark):
+    rows = spark.range(5).withColumn("batch", F.lit("a"))
+    tables.append_batch(rows, "t_failed", "batch")
+    broken = rows.withColumn("id", F.when(F.col("id") < 4, F.col("id")).otherwise(F.raise_error(F.lit("no")).cast("long")))
+    with pytest.raises(Exception, match="no"):
+        tables.append_batch(broken, "t_failed", "batch").count()
+    assert spark.table("t_failed").agg(F.sum("id")).first()[0] == 10
+
+
+def test_batches_need_a_table_that_keeps_them_apart(spark):
+    tables.write_table(spark.range(2).withColumn("batch", F.lit("a")), "t_flat")
+    with pytest.raises(ValueError, match="apart"):
+        tables.append_batch(spark.range(2).withColumn("batch", F.lit("a")), "t_flat", "batch")
 
 
 def test_layers_and_views(spark):
