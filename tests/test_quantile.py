@@ -42,6 +42,34 @@ def test_ranks_are_enclosed_whatever_is_proposed(spark, monkeypatch):
         assert quantile.quantile_values(df, "v", [0.5, 0.0, 1.0, 0.995]) == [49.5, 0.0, 99.0, 98.505]
 
 
+@pytest.mark.parametrize("make", [spread, one_value_holds_a_third, coarse_and_gappy])
+def test_bands_are_narrowed_until_they_are_bounded(spark, monkeypatch, make):
+    monkeypatch.setattr(quantile, "MOST_SORTED", 8)
+    monkeypatch.setattr(quantile, "ACCURACY", 40)
+    sorted_rows = []
+    within = quantile._Band.within
+    values_at = quantile._values_at
+    monkeypatch.setattr(quantile, "_values_at", lambda values, band, ranks: (
+        sorted_rows.append(0 if band.low == band.high else within(band, values).count()),
+        values_at(values, band, ranks))[1])
+    df = make(spark).persist()
+    values = np.array([r.v for r in df.collect() if r.v is not None])
+    levels = [0.0, 0.013, 0.5, 0.99, 1.0]
+    got = quantile.quantile_values(df, "v", levels)
+    assert got == pytest.approx(list(np.quantile(values, levels)), rel=1e-12)
+    # Two neighbours of which one is held by many rows stay; a value's rows are one row when sorted.
+    assert len(sorted_rows) == 5 and all(n <= 8 or make is not spread for n in sorted_rows)
+    df.unpersist()
+
+
+def test_narrowing_ends_whatever_is_proposed(spark, monkeypatch):
+    monkeypatch.setattr(quantile, "MOST_SORTED", 3)
+    df = spark.range(64).select((F.col("id") * F.col("id")).cast("double").alias("v")).persist()
+    monkeypatch.setattr(quantile, "_proposed", lambda values, qs: (64, [0.0, 3969.0]))
+    assert quantile.quantile_values(df, "v", [0.5, 0.0, 1.0]) == [(31**2 + 32**2) / 2, 0.0, 3969.0]
+    df.unpersist()
+
+
 def test_reads_its_input_a_few_times(spark, tmp_path):
     spark.range(50_000).select((F.col("id") * 7919 % 50_021).cast("double").alias("v")).write.parquet(
         str(tmp_path / "v")
