@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from larder.llm.common import free_name, per_text
 from larder.sources.tables import materialize
 
-WINDOW = "pos int, lines int, least long, window long, head array<long>, tail array<long>"
+WINDOW = "window long, low int, high int"
 
 
 def solid_lines(text: bytes) -> tuple[list[int], list[bytes]]:
@@ -23,43 +23,45 @@ def solid_lines(text: bytes) -> tuple[list[int], list[bytes]]:
     return at, [lines[i] for i in at]
 
 
-def fingerprints(text: bytes, min_words: int) -> list[tuple]:
-    """The winnowed windows of a text, as rows of ``WINDOW``.
+def windows(words: np.ndarray, min_words: int) -> list[tuple[int, int]]:
+    """The windows of a text by the words of its lines: first line, and one past the last.
 
-    A window starts at a line and takes the fewest lines that hold ``min_words`` words, so any
-    run of that many words in two places has a whole window in common. Its smallest line hash
-    is its fingerprint. The hash of all its lines goes with it: else a common short line, where
-    it is the smallest, would bring unrelated texts together. ``head`` and ``tail`` are the
-    hashes of the lines next to it that hold fewer than ``min_words`` words, nearest first.
+    A window holds ``min_words`` words, and would not without its last line or without its first.
+    Whether lines are a window depends on nothing else, so a run of that many words that stands in
+    two places has the same windows in both; and they cover it, since of any of its lines either the
+    window that starts there, or the one that ends there, or one between lies within the run.
     """
-    _, lines = solid_lines(text)
-    hashes = [xxhash.xxh64_intdigest(line) - (1 << 63) for line in lines]
-    words = np.fromiter((len(line.split()) for line in lines), np.int64, len(lines))
     before = np.r_[0, np.cumsum(words)]
-    starts = np.arange(len(lines))
-    ends = np.searchsorted(before, before[:-1] + min_words)  # one past the last line
-    whole = starts[ends <= len(lines)]
-    packed = np.array(hashes, np.int64)
-    heads = np.searchsorted(before, before[:-1] - min_words, side="right")
-    rows = []
-    for start in whole.tolist():
-        end = int(ends[start])
-        upto = int(ends[end]) - 1 if end < len(lines) else end
-        rows.append(
-            (
-                start,
-                end - start,
-                min(hashes[start:end]),
-                xxhash.xxh64_intdigest(packed[start:end].tobytes()) - (1 << 63),
-                hashes[int(heads[start]) : start][::-1],
-                hashes[end : min(upto, len(lines))],
-            )
-        )
-    return rows
+    lines = np.arange(len(words))
+    ends = np.searchsorted(before, before[:-1] + min_words)
+    starts = np.searchsorted(before, before[1:] - min_words, side="right") - 1
+    whole = ends <= len(words)
+    found = set(zip(lines[whole].tolist(), ends[whole].tolist()))
+    fits = before[1:] >= min_words
+    found |= set(zip(starts[fits].tolist(), (lines[fits] + 1).tolist()))
+    return sorted(found)
+
+
+def minima(hashes: list[int], spans: list[tuple[int, int]]) -> list[int]:
+    """Winnowing: the places of the least line hash of each window, the last of equal ones.
+
+    Windows that overlap mostly share theirs, so few lines are selected, and a window has its
+    least hash wherever it stands: two places with the same run select the same of its lines.
+    """
+    chosen: list[int] = []
+    for low, high in spans:
+        if chosen and low <= chosen[-1] < high and high - 1 == last:
+            continue  # only lines above the least one have left
+        least = min(hashes[low:high])
+        place = high - 1 - hashes[low:high][::-1].index(least)
+        last = high - 1
+        if not chosen or place != chosen[-1]:
+            chosen.append(place)
+    return sorted(set(chosen))
 
 
 def line_table(docs: DataFrame, row: str, doc_id: str, text: str, min_words: int) -> DataFrame:
-    """What is compared of each document, without its text: its place, lines and windows.
+    """What is compared of each document, without its text: its place, lines and selected lines.
 
     ``place`` orders documents: by the smaller id, nulls last, then by ``row``, a unique column.
     """
@@ -68,10 +70,14 @@ def line_table(docs: DataFrame, row: str, doc_id: str, text: str, min_words: int
         for text in texts:
             at, lines = solid_lines(text)
             counts = [len(line.split()) for line in lines]
-            yield text.count(b"\n") + 1, at, counts, fingerprints(text, min_words)
+            hashes = [xxhash.xxh64_intdigest(line) - (1 << 63) for line in lines]
+            spans = windows(np.array(counts, np.int64), min_words)
+            chosen = [hashes[i] for i in minima(hashes, spans)]
+            yield text.count(b"\n") + 1, at, counts, hashes, chosen
 
-    schema = f"n_lines int, at array<int>, words array<int>, windows array<struct<{WINDOW}>>"
+    schema = "n_lines int, at array<int>, words array<int>, hashes array<long>, chosen array<long>"
     found = docs.select(
+        F.col(row).alias("row"),
         F.struct(
             F.col(doc_id).isNull().alias("no_id"),
             F.col(doc_id).alias("doc_id"),
@@ -79,86 +85,61 @@ def line_table(docs: DataFrame, row: str, doc_id: str, text: str, min_words: int
         ).alias("place"),
         per_text(compute, schema)(docs[text]).alias("lines"),
     )
-    return materialize(found.select("place", "lines.*"), "lines")
-
-
-def _same(mine: str, other: str) -> F.Column:
-    """How many leading elements two arrays have in common."""
-    differs = F.zip_with(mine, other, lambda x, y: x.eqNullSafe(y) & x.isNotNull())
-    return F.coalesce(
-        F.nullif(F.array_position(differs, False), F.lit(0)) - 1, F.size(differs)
-    ).cast("int")
-
-
-def repeats(lines: DataFrame, whole_runs: bool = False) -> DataFrame:
-    """Runs of lines that occur before, as ``place``, ``low`` and ``high``.
-
-    Lines are counted among those with words. What comes before is decided by ``place``, then
-    by position. Positions are joined on the fingerprint, each with the first of its group only:
-    that keeps the pairs as many as the positions, however many texts share a line. The group's
-    first is a partial aggregate and the join is split by adaptive execution. Matches are
-    extended to the lines before and after as far as both texts agree.
-
-    A run may go on as in another earlier place than the first; the lines by which it does are
-    found with ``whole_runs`` only, see `longer`.
+    return materialize(found.select("row", "place", "lines.*"), "lines")
+
+
+def _extended(min_words: int):
+    """For lines and fingerprints found elsewhere: the windows around these, by all their lines."""
+
+    def run(hashes: pa.Array, words: pa.Array, live: pa.Array) -> pa.Array:
+        rows = []
+        for line_hashes, counts, marks in zip(*(x.to_pylist() for x in (hashes, words, live))):
+            marks, packed, found = set(marks), np.array(line_hashes, np.int64), []
+            for low, high in windows(np.array(counts, np.int64), min_words):
+                if min(line_hashes[low:high]) in marks:
+                    whole = xxhash.xxh64_intdigest(packed[low:high].tobytes()) - (1 << 63)
+                    found.append({"window": whole, "low": low, "high": high - 1})
+            rows.append(found)
+        kind = pa.struct([("window", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+        return pa.array(rows, pa.list_(kind))
+
+    run.__annotations__ = {k: pa.Array for k in ("hashes", "words", "live", "return")}
+    return F.arrow_udf(run, f"array<struct<{WINDOW}>>")
+
+
+def repeats(lines: DataFrame, min_words: int) -> DataFrame:
+    """Windows that occur before, as ``row``, ``low`` and ``high``, lines counted among those with
+    words.
+
+    Positions are joined on their fingerprints: a selected line whose hash is selected nowhere else
+    is in no repeated window, and most texts end there. From the others the match is extended up
+    and down to every window around the line, and these are told apart by the hashes of all their
+    lines. A window that is not the first of its content, by ``place`` and position, occurs before,
+    whichever of the earlier places it is that a longer run has in common with this one. So no
+    pairs are made: a window is a row, its group's first a partial aggregate, and the joins are
+    split by adaptive execution.
     """
-    windows = lines.select("place", F.explode("windows").alias("w")).select("place", "w.*")
-    first = (
-        windows.groupBy("least", "window")
-        .agg(
-            F.count("*").alias("n"),
-            F.min(F.struct("place", "pos", "head", "tail")).alias("first"),
-        )
-        .filter("n > 1")
-        .drop("n")
+    marks = lines.select("row", F.explode("chosen").alias("mark"))
+    twice = marks.groupBy("mark").agg(F.count("*").alias("n")).filter("n > 1").select("mark")
+    live = (
+        lines.select("row", F.explode(F.array_distinct("chosen")).alias("mark"))
+        .join(twice, "mark")
+        .groupBy("row")
+        .agg(F.collect_list("mark").alias("live"))
     )
-    later = windows.join(first, ["least", "window"]).filter(
-        F.struct("place", "pos") != F.struct("first.place", "first.pos")
+    found = lines.select("row", "place", "hashes", "words").join(live, "row")
+    around = found.select(
+        "row", "place", F.explode(_extended(min_words)("hashes", "words", "live")).alias("w")
     )
-    up = _same("head", "first.head")
-    down = _same("tail", "first.tail")
-    spans = later.select(
-        "place",
-        (F.col("pos") - up).alias("low"),
-        (F.col("pos") + F.col("lines") - 1 + down).alias("high"),
-        "pos",
-        "window",
-        down.alias("down"),
-        F.when(down < F.size("tail"), F.col("tail")).alias("tail"),
-    )
-    if not whole_runs:
-        return spans.select("place", "low", "high")
-    spans = materialize(spans, "repeats")
-    return spans.select("place", "low", "high").unionByName(longer(spans))
-
-
-def longer(spans: DataFrame) -> DataFrame:
-    """Runs that go on past what they share with the first of their group, as in an earlier place.
-
-    Two windows that share more of their tails than the first does both part from it at the same
-    line. So only these are looked at, by the hash of each longer prefix of the tail, of under
-    ``min_words`` lines, and each is joined with the first of its prefix: rows, not pairs.
-    """
-    sizes = F.sequence(F.col("down") + 1, F.size("tail"))
-    prefixes = (
-        spans.filter("tail is not null")
-        .withColumn("more", F.explode(sizes))
-        .withColumn("prefix", F.xxhash64("window", F.slice("tail", F.lit(1), F.col("more"))))
-        .drop("tail")
-    )
-    key = ["window", "prefix", "more"]
+    placed = materialize(around.select("row", "place", "w.*"), "windows")
     first = (
-        prefixes.groupBy(*key)
-        .agg(F.count("*").alias("n"), F.min(F.struct("place", "pos")).alias("first"))
+        placed.groupBy("window")
+        .agg(F.count("*").alias("n"), F.min(F.struct("place", "low")).alias("first"))
         .filter("n > 1")
-        .drop("n")
-    )
-    return (
-        prefixes.join(first, key)
-        .filter(F.struct("place", "pos") != F.col("first"))
-        .groupBy("place", "low")
-        .agg(F.max(F.col("high") - F.col("down") + F.col("more")).alias("high"))
+        .select("window", F.col("first.place.row").alias("first_row"), F.col("first.low").alias("first_low"))
     )
+    later = placed.join(first, "window").filter("row <> first_row OR low <> first_low")
+    return later.select("row", "low", "high")
 
 
 def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -187,22 +168,17 @@ _removed.__annotations__ = {k: pa.Array for k in ("lows", "highs", "at", "words"
 
 
 def removals(
-    docs: DataFrame,
-    row: str,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    min_words: int = 50,
-    whole_runs: bool = False,
+    docs: DataFrame, row: str, doc_id: str = "doc_id", text: str = "text", min_words: int = 50
 ) -> DataFrame:
     """What to cut from each document: ``row``, ``doc_id``, ``n_lines``, and what `dedup` adds."""
     lines = line_table(docs, row, doc_id, text, min_words)
-    spans = repeats(lines, whole_runs).groupBy("place").agg(F.collect_set(F.struct("low", "high")).alias("s"))
+    spans = repeats(lines, min_words).groupBy("row").agg(F.collect_set(F.struct("low", "high")).alias("s"))
     removed = F.arrow_udf(_removed, "lines_removed string, words_removed long")
     return (
-        lines.drop("windows")
-        .join(spans, "place", "left")
+        lines.select("row", "place", "n_lines", "at", "words")
+        .join(spans, "row", "left")
         .select(
-            F.col("place.row").alias(row),
+            F.col("row").alias(row),
             F.col("place.doc_id").alias("doc_id"),
             F.col("n_lines").cast("long").alias("n_lines"),
             removed(F.col("s.low"), F.col("s.high"), "at", "words").alias("removed"),
@@ -229,32 +205,25 @@ _cut.__annotations__ = {k: pa.Array for k in ("texts", "spans", "return")}
 
 
 def dedup(
-    docs: DataFrame,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    min_words: int = 50,
-    whole_runs: bool = False,
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_words: int = 50
 ) -> DataFrame:
     """``docs`` with later repeats of runs of ``min_words`` or more words cut out of ``text``.
 
-    By default each position is compared with the first of its group only, as the SQL of
-    op9_repeated_lines states it: where the first place of a window does not go on like two later
-    ones, the last lines of the later run, under ``min_words`` words, stay. With ``whole_runs``
-    every later repeat is cut whole.
+    A run is cut whole wherever any earlier place has it, whatever the other places have.
 
     Adds ``lines_removed`` (string, such as ``3-7,12-12``; numbers of lines from 0) and
     ``words_removed`` (long). Two lines are equal if they are but for spaces at their ends.
     Whole texts are compared. A run is looked for in all other documents and in its own. Runs
     within one line, or shorter ones, stay; empty lines between lines that are cut go too. Of a run that
     overlaps its own repeat the first period stays. Every line that is cut occurs in an earlier
-    place that keeps it. Null texts stay null, empty ones empty; a text of repeats alone becomes
+    place that keeps it. Rows with the same id are taken in the order in which they are read. Null texts stay null, empty ones empty; a text of repeats alone becomes
     empty. Repeated rows are copies like any others; rows with a null id come last. No rows give
     no rows. Other columns pass through; two with the names of the added ones are replaced.
     """
     row = free_name(docs, "_row")
     docs = docs.drop("lines_removed", "words_removed")
     docs = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
-    changes = removals(docs, row, doc_id, text, min_words, whole_runs).select(
+    changes = removals(docs, row, doc_id, text, min_words).select(
         row, "lines_removed", "words_removed"
     )
     changed = changes.filter("lines_removed <> ''")

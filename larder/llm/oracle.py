@@ -107,27 +107,21 @@ WITH docs AS (
   FROM solid
 ), whole AS (
   SELECT row, list(line ORDER BY pos) AS lines, list(upto ORDER BY pos) AS ends FROM placed GROUP BY row
-), starts AS (
-  SELECT p.row, doc_id, pos, lines, ends, upto - w AS before,
-    len(list_filter(ends, lambda x: x < upto - w + 50)) + 1 AS last
-  FROM placed p JOIN whole USING (row)
 ), windows AS (
-  SELECT row, pos, last, lines[pos : last] AS content,
-    {'no': doc_id IS NULL, 'd': doc_id, 'r': row, 'p': pos} AS place,
-    list_reverse(lines[len(list_filter(list_prepend(0, ends), lambda x: x <= before - 50)) + 1 : pos - 1])
-      AS head,
-    lines[last + 1 : len(list_filter(ends, lambda x: x < ends[last] + 50))] AS tail
-  FROM starts WHERE last <= len(lines)
+  -- The fewest lines from here on, and up to here, with 50 words.
+  SELECT row, doc_id, pos AS low, len(list_filter(ends, lambda x: x < upto - w + 50)) + 1 AS high, lines
+  FROM placed p JOIN whole USING (row)
+  UNION
+  SELECT row, doc_id, len(list_filter(list_prepend(0::BIGINT, ends), lambda x: x <= upto - 50)), pos, lines
+  FROM placed p JOIN whole USING (row) WHERE upto >= 50
+), fitting AS (
+  SELECT row, low, high, lines[low : high] AS content,
+    {'no': doc_id IS NULL, 'd': doc_id, 'r': row, 'p': low} AS place
+  FROM windows WHERE high <= len(lines)
 ), first AS (
-  SELECT content, min(place) AS place, arg_min(head, place) AS head, arg_min(tail, place) AS tail
-  FROM windows GROUP BY content HAVING count(*) > 1
+  SELECT content, min(place) AS place FROM fitting GROUP BY content HAVING count(*) > 1
 ), spans AS (
-  SELECT row,
-    pos - len(list_filter(generate_series(1, least(len(w.head), len(f.head))),
-      lambda i: w.head[1 : i] = f.head[1 : i])) AS low,
-    last + len(list_filter(generate_series(1, least(len(w.tail), len(f.tail))),
-      lambda i: w.tail[1 : i] = f.tail[1 : i])) AS high
-  FROM windows w JOIN first f USING (content) WHERE w.place <> f.place
+  SELECT row, low, high FROM fitting w JOIN first f USING (content) WHERE w.place <> f.place
 ), gone AS (
   SELECT DISTINCT row, unnest(generate_series(low, high)) AS pos FROM spans
 ), runs AS (

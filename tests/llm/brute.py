@@ -83,42 +83,23 @@ def mix(rows):
 
 
 def repeated_lines(texts, min_words=50):
-    """texts in order. For each, the set of numbers of lines to cut."""
-    docs = []
+    """texts in order. For each, the set of numbers of lines in runs that stand before."""
+    seen, cut, docs = set(), [], []
     for text in texts:
         lines = [line.strip() for line in (text or "").split("\n")]
         at = [i for i, line in enumerate(lines) if words_of(line)]
         docs.append((at, [lines[i] for i in at], len(lines)))
-    first, cut = {}, [set() for _ in docs]
-    for d, (at, lines, _) in enumerate(docs):
-        for start in range(len(lines)):
-            total, end = 0, start
-            while end < len(lines) and total < min_words:
-                total += len(words_of(lines[end]))
-                end += 1
-            if total < min_words:
-                break
-            d0, s0 = first.setdefault(tuple(lines[start:end]), (d, start))
-            if (d0, s0) == (d, start):
-                continue
-            other = docs[d0][1]
-            low, high, e0 = start, end, s0 + end - start
-            count = lambda part: sum(len(words_of(x)) for x in part)
-            while (
-                low > 0
-                and s0 - (start - low) > 0
-                and lines[low - 1] == other[s0 - (start - low) - 1]
-                and count(lines[low - 1 : start]) < min_words
-            ):
-                low -= 1
-            while (
-                high < len(lines)
-                and e0 + high - end < len(other)
-                and lines[high] == other[e0 + high - end]
-                and count(lines[end : high + 1]) < min_words
-            ):
-                high += 1
-            cut[d].update(range(low, high))
+        cut.append(set())
+        solid = docs[-1][1]
+        for a in range(len(solid)):
+            total = 0
+            for b in range(a + 1, len(solid) + 1):
+                total += len(words_of(solid[b - 1]))
+                if total >= min_words:
+                    run = tuple(solid[a:b])
+                    if run in seen:
+                        cut[-1].update(range(a, b))
+                    seen.add(run)
     # Lines without words go with the lines that are cut on both sides of them.
     return [
         {

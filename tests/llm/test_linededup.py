@@ -1,6 +1,8 @@
 import random
 
 import brute
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from larder.llm import linededup
@@ -72,12 +74,47 @@ def test_removals_say_the_same(spark):
         assert got[i].words_removed == sum(len(brute.words_of(lines[k])) for k in numbers)
 
 
-def test_any_window_has_a_fingerprint_in_common():
-    shared = [" ".join(f"s{i}x{j}" for j in range(7)) for i in range(8)]  # 56 words
-    one = "\n".join(["mine a b c", *shared, "z z z"])
-    two = "\n".join([*(f"other {i}" for i in range(30)), *shared])
-    keys = lambda t: {(f[2], f[3]) for f in linededup.fingerprints(t.encode(), 50)}
-    assert keys(one) & keys(two)
+@pytest.mark.parametrize("seed", range(6))
+def test_windows_cover_any_run_and_depend_on_it_alone(seed):
+    rng = random.Random(seed)
+    words = [rng.choice([1, 2, 5, 20, 49, 50, 80]) for _ in range(30)]
+    found = linededup.windows(np.array(words), 50)
+    assert found == sorted(
+        (a, b) for a in range(30) for b in range(a + 1, 31)
+        if sum(words[a:b]) >= 50 and (sum(words[a : b - 1]) < 50 or sum(words[a + 1 : b]) < 50)
+    )
+    for a in range(30):
+        for b in range(a + 1, 31):
+            if sum(words[a:b]) >= 50:
+                within = [(x, y) for x, y in found if a <= x and y <= b]
+                assert {i for x, y in within for i in range(x, y)} == set(range(a, b))
+                assert [(x - a, y - a) for x, y in within] == linededup.windows(np.array(words[a:b]), 50)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_minima_are_those_of_every_window_and_few(seed):
+    rng = random.Random(seed)
+    hashes = [rng.randrange(20) if seed % 2 else rng.getrandbits(60) for _ in range(400)]
+    spans = linededup.windows(np.full(400, 5), 50)
+    chosen = linededup.minima(hashes, spans)
+    want = {max(i for i in range(a, b) if hashes[i] == min(hashes[a:b])) for a, b in spans}
+    assert set(chosen) == want and len(chosen) < 130  # of 400; ten lines a window
+    shared = hashes[100:160]
+    other = [rng.getrandbits(60) for _ in range(70)] + shared
+    theirs = {other[i] for i in linededup.minima(other, linededup.windows(np.full(130, 5), 50))}
+    for a, b in linededup.windows(np.full(60, 5), 50):
+        assert min(shared[a:b]) in theirs & {hashes[i] for i in chosen}
+
+
+def test_texts_without_repeats_make_no_window_rows(spark):
+    rng = random.Random(3)
+    short = "\n".join(f"w{rng.getrandbits(40)}" for _ in range(4000))  # one word a line
+    rows = [(1, short), (2, "\n".join(f"v{rng.getrandbits(40)}" for _ in range(4000)))]
+    docs = spark.createDataFrame(rows, SCHEMA).withColumn("row", F.monotonically_increasing_id())
+    lines = linededup.line_table(docs, "row", "doc_id", "text", 50)
+    assert linededup.repeats(lines, 50).count() == 0
+    kept = lines.agg(F.sum(8 * F.size("chosen")), F.sum(8 * F.size("hashes"))).first()
+    assert kept[0] < 0.1 * 2 * len(short) and kept[1] < 2 * 2 * len(short)
 
 
 def test_every_line_survives_somewhere(spark):
@@ -91,35 +128,11 @@ def test_empty(spark):
     assert linededup.dedup(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
-def whole_runs(texts, min_words=50):
-    """texts in order. For each, the set of numbers of lines with words in runs seen before."""
-    seen, cut = set(), []
-    for text in texts:
-        lines = [(i, x.strip()) for i, x in enumerate((text or "").split("\n")) if x.strip()]
-        cut.append(set())
-        for a in range(len(lines)):
-            for b in range(a + 1, len(lines) + 1):
-                run = tuple(x for _, x in lines[a:b])
-                if sum(len(brute.words_of(x)) for x in run) >= min_words:
-                    if run in seen:
-                        cut[-1].update(i for i, _ in lines[a:b])
-                    seen.add(run)
-    return cut
-
-
-def test_whole_runs_are_cut_though_the_first_place_goes_on_otherwise(spark):
+def test_runs_are_cut_whole_though_the_first_place_goes_on_otherwise(spark):
     window, tail = " ".join(f"w{k}" for k in range(60)), "t1 t2\nt3 t4"
     by_hand = [(1, window), (2, f"{window}\n{tail}\nx"), (3, f"y\n{window}\n{tail}\nz"), (4, f"{window}\nt1 t2\nv")]
-    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(by_hand, SCHEMA), whole_runs=True).collect()}
+    got = {r.doc_id: r.text for r in linededup.dedup(spark.createDataFrame(by_hand, SCHEMA)).collect()}
     assert got == {1: window, 2: f"{tail}\nx", 3: "y\nz", 4: "v"}
-    for seed in (1, 4):
-        rows = documents(seed)
-        df = spark.createDataFrame(rows, SCHEMA).coalesce(1).withColumn("row", F.monotonically_increasing_id())
-        got = {r.row: r.lines_removed for r in linededup.removals(df, "row", whole_runs=True).collect()}
-        for (i, (_, text)), cut in zip(in_order(rows), whole_runs([r[1] for _, r in in_order(rows)])):
-            spans = [tuple(map(int, s.split("-"))) for s in got[i].split(",") if s]
-            lines = (text or "").split("\n")
-            assert {k for a, b in spans for k in range(a, b + 1) if lines[k].strip()} == cut
 
 
 def test_the_pipeline_cuts_whole_runs(spark):
