@@ -102,7 +102,35 @@ def test_any_text(aligner, text):
     assert sorted(pairs) == sorted(links)
 
 
-@pytest.mark.parametrize("chunk", [40, 8 << 20])
+def library_ids(texts):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokalign.BYTE_VOCABULARY)
+    library.encode_special_tokens = True
+    return [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(text=st.text(max_size=200) | st.text(alphabet="ab'st \n\t1É_-", max_size=200))
+def test_both_byte_encoders_agree(aligner, text):
+    assert aligner.a.encode([text]) == library_ids([text])
+
+
+def test_both_byte_encoders_agree_on_strings_of_tokens(aligner):
+    rng, texts = random.Random(7), []
+    for _ in range(20_000):
+        text = b"".join(rng.choice(aligner.a.pieces) for _ in range(rng.randint(1, 5)))
+        texts.append(text.decode(errors="replace"))
+    assert aligner.a.encode(texts) == library_ids(texts)
+
+
+def test_long_runs_take_no_quadratic_time(aligner):
+    texts = [" " + "ab" * 200_000, " " * 300_000, "a b " * 100_000, ""]
+    assert [tokalign._longest_run(t) for t in texts] == [400_000, 300_000, 1, 0]
+    assert aligner.a.encode(texts) == library_ids(texts)
+
+
+@pytest.mark.parametrize("chunk", [40, tokalign.CHUNK])
 def test_odd_texts(spark, aligner, chunk):
     rows = [(i, text) for i, text in enumerate(ODD)] + [(3, "Hello world"), (None, "Hello"), (None, None)]
     docs = spark.createDataFrame(
