@@ -147,7 +147,11 @@ def append_batch(
     writer = df.write.format(fmt).mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(batch).save(path)
     if not exists:  # earlier batches may lie under the path although this session's catalog is new
-        spark.catalog.createTable(name, path=path, source=fmt)
+        listed = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+        spark.sql(
+            f"CREATE TABLE {name} ({listed}) USING {fmt} PARTITIONED BY (`{batch}`) "
+            f"LOCATION {quoted(path)}"
+        )
     spark.catalog.recoverPartitions(name)
     spark.catalog.refreshTable(name)
     return spark.table(name)

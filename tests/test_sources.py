@@ -168,7 +168,7 @@ def test_a_retried_batch_changes_nothing(spark, tmp_path, external):
         rows = spark.range(n).select(F.lit(batch).alias("batch"), "id")
         return tables.append_batch(rows, name, "batch", path=path)
 
-    for batch, n in (("a", 3), ("b", 9), ("b", 4), ("b", 4), ("c d/e", 2)):
+    for batch, n in (("none", 0), ("a", 3), ("b", 9), ("b", 4), ("b", 4), ("c d/e", 2)):
         saved = append(batch, n)
     assert {r.batch: r["count"] for r in saved.groupBy("batch").count().collect()} == {
         "a": 3, "b": 4, "c d/e": 2,
