@@ -895,6 +895,7 @@ SELECT p.Store, p.Date, {", ".join(r(f"p.{c}", name=c) for c in PREDICTION_COLUM
        {r("g.demand_volatility", name="demand_volatility")},
        {r("g.rolling_std_30", name="rolling_std_30")}
 FROM ({strays("pred")}) p LEFT JOIN gold g ON p.Store = g.Store AND p.Date = g.Date"""
+SQL["enrich_predictions_bucketed"] = SQL["enrich_predictions"]
 AHEAD = f"OVER ({BY_STORE} ROWS BETWEEN CURRENT ROW AND 29 FOLLOWING)"
 SQL["forward_sum"] = of_panel(f"SUM(Sales) {AHEAD} AS sales_next_30")
 SQL["forward_avg"] = of_panel(f"AVG(Customers) {AHEAD} AS customers_next_30")
@@ -1064,6 +1065,8 @@ SELECT CAST(date_trunc('week', Date) AS DATE) AS week_start,
        {r("SUM(predicted_sales_lag30)", name="total_predicted_sales")},
        {r("AVG(percentage_error_lag30)", name="weekly_mape")}, COUNT(*) AS prediction_count
 FROM pred GROUP BY 1"""
+for name in ("kpi_summary", "accuracy_by_type", "weekly_trend"):
+    SQL[f"{name}_merged"] = SQL[name]
 SQL["importance_rank"] = f"""
 SELECT feature, importance, CAST(RANK() OVER (ORDER BY importance DESC) AS INTEGER) AS importance_rank
 FROM (SELECT feature, {r("c", name="importance")} FROM correlations)

@@ -29,7 +29,7 @@ from larder.operators import (
     quantile,
     trees,
 )
-from larder.plans import reports
+from larder.plans import reports, rollups
 from larder.sources import files, panel, tables
 
 AT = datetime(2024, 1, 1)
@@ -1181,6 +1181,18 @@ def enrich_predictions(spark, sf):
     return rounded(inventory.enrich(with_unknown_stores(forecasts(known)), known))
 
 
+@query
+def enrich_predictions_bucketed(spark, sf):
+    """Both sides bucketed by store, joined by store and date without a shuffle of either."""
+    known = gold_table(spark, sf)
+    layout = {"bucket_by": (4, ["Store"]), "sort_by": ["Store", "Date"]}
+    _, ahead = saved(with_unknown_stores(forecasts(known)).repartition(4, "Store"), "ahead", **layout)
+    _, features = saved(known.repartition(4, "Store"), "features", **layout)
+    with tables.on_shared_buckets(spark):
+        joined = tables.materialize(inventory.enrich(ahead, features), "enriched")
+    return rounded(joined)
+
+
 @query
 def forward_sum(spark, sf):
     return _with(
@@ -1366,6 +1378,37 @@ def kpi_summary(spark, sf):
     return rounded(reports.kpi_summary(predictions(spark, sf), FORECAST).drop("report_date"))
 
 
+def _rollup(spark, sf):
+    """Stored sums of two batches of predictions, of which one was first sent incomplete."""
+    rows = predictions(spark, sf)
+    late = F.dayofmonth("Date") % 3 == 0
+    name, path = scratch("rollup"), tables.shared_folder(spark, "rollup")
+    for batch, part in (
+        ("first", rows.filter(~late & (F.col("Store") % 2 == 0))),
+        ("second", rows.filter(late)),
+        ("first", rows.filter(~late)),
+    ):
+        stored = tables.append_batch(
+            rollups.partials(part, FORECAST).withColumn("batch", F.lit(batch)), name, "batch", path=path
+        )
+    return stored
+
+
+@query
+def kpi_summary_merged(spark, sf):
+    return rounded(rollups.kpi_summary(_rollup(spark, sf)).drop("report_date"))
+
+
+@query
+def accuracy_by_type_merged(spark, sf):
+    return rounded(rollups.accuracy_by_type(_rollup(spark, sf), silver_stores(spark, sf)))
+
+
+@query
+def weekly_trend_merged(spark, sf):
+    return rounded(rollups.weekly_trend(rollups.merge(_rollup(spark, sf))))
+
+
 @query
 def kpi_cards(spark, sf):
     return reports.kpi_cards(reports.kpi_summary(predictions(spark, sf), FORECAST))

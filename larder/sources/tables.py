@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
+from contextlib import contextmanager
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -294,6 +295,24 @@ def compact(
     return spark.table(name)
 
 
+@contextmanager
+def on_shared_buckets(spark: SparkSession) -> Iterator[None]:
+    """Within this block, joins may rest on buckets by some of their keys.
+
+    Spark by default shuffles two tables bucketed by store again if they are joined by store and
+    date. All rows of a store lie in one bucket on either side, so that is not needed; it is the
+    default because buckets by few values would leave tasks idle. A plan is made when a result is
+    computed, so compute it within the block.
+    """
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def register_view(df: DataFrame, name: str) -> DataFrame:
     """Name a DataFrame for SQL in this session."""
     df.createOrReplaceTempView(name)
