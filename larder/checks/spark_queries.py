@@ -76,8 +76,11 @@ _KEPT: dict[tuple, object] = {}
 
 
 def once(spark: SparkSession, *key: object, make: Callable[[], object]) -> object:
-    """What several queries of a session need and is slow to make: training rows, fitted models."""
-    full = (spark.sparkContext.applicationId, *key)
+    """What several queries of a session need and is slow to make: training rows, fitted models.
+
+    Made anew after steps were released, as it may read them.
+    """
+    full = (spark.sparkContext.applicationId, tables.releases(spark), *key)
     if full not in _KEPT:
         _KEPT[full] = make()
     return _KEPT[full]

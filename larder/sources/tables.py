@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from larder.params import LAYERS
 
 _STEPS: dict[str, list[str]] = {}  # by application: the folders materialize() has written
+_RELEASES: dict[str, int] = {}  # by application: how often release() has removed any
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -46,6 +47,11 @@ def steps(spark: SparkSession) -> int:
     return len(_STEPS.get(spark.sparkContext.applicationId, []))
 
 
+def releases(spark: SparkSession) -> int:
+    """How often steps have been released: what was kept before may read files that are gone."""
+    return _RELEASES.get(spark.sparkContext.applicationId, 0)
+
+
 def release(spark: SparkSession, keep: int = 0) -> int:
     """Remove the files of all steps but the first ``keep``; returns how many there were.
 
@@ -54,6 +60,9 @@ def release(spark: SparkSession, keep: int = 0) -> int:
     """
     written = _STEPS.get(spark.sparkContext.applicationId, [])
     steps, written[keep:] = written[keep:], []
+    if steps:
+        application = spark.sparkContext.applicationId
+        _RELEASES[application] = _RELEASES.get(application, 0) + 1
     jvm = spark.sparkContext._jvm
     for step in steps:
         path = jvm.org.apache.hadoop.fs.Path(step)

@@ -2,8 +2,10 @@ from datetime import date, datetime, timedelta
 
 import numpy as np
 import pytest
+from conftest import SF
 from pyspark.sql import functions as F
 
+from larder.checks import spark_queries
 from larder.operators import analysis, evaluate
 from larder.sources import tables
 
@@ -98,3 +100,10 @@ def test_histogram_matches_numpy(spark):
     assert [r.lower_edge for r in rows] == pytest.approx(edges[:-1].tolist())
     same = analysis.histogram(spark.createDataFrame([(4.0,), (4.0,)], "v double"), "v", 3)
     assert sum(r.row_count for r in same.collect()) == 2
+
+
+def test_kept_results_are_made_anew_after_a_release(spark):
+    before = tables.steps(spark)
+    rows = spark_queries.gold_table(spark, SF).count()
+    assert tables.release(spark, keep=before) > 0
+    assert spark_queries.gold_table(spark, SF).count() == rows
