@@ -30,6 +30,9 @@ IDENTIFIER = re.compile(
 )
 DIGEST = re.compile(r"(?:[0-9a-f]++|[0-9A-F]++)(?:==?)?")
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)  # hexadecimal digits of md5, sha1 and the sha2 family
+# A digest behind its algorithm's name, as lock files, integrity attributes and archives write it.
+NAMED = re.compile(r"(md5|sha-?(?:1|224|256|384|512))[-:=]([A-Za-z0-9+/_-]+={0,6})", re.IGNORECASE)
+DIGEST_BYTES = {"md5": 16, "sha1": 20, "sha224": 28, "sha256": 32, "sha384": 48, "sha512": 64}
 MOST_CHARS_A_TOKEN = 2.0
 ONE_CASE = re.compile(r"[A-Za-z]?[a-z]++|[A-Z]++")
 ONE_CASE_SHARE = 0.95  # of the limit, for what may be a long compound word
@@ -141,16 +144,36 @@ def uncovered(
     return cut
 
 
+def named_digests(text: str) -> list[tuple[str, int, int]]:
+    """Where the text has an algorithm's name and a value as long as its digest.
+
+    In hexadecimal, base32 or base64, with or without padding.
+    """
+    lower = text.lower()
+    if "sha" not in lower and "md5" not in lower:
+        return []
+    found = []
+    for m in NAMED.finditer(text):
+        size = DIGEST_BYTES[m.group(1).lower().replace("-", "")]
+        value = m.group(2).rstrip("=")
+        padded = len(m.group(2))
+        lengths = {2 * size, -(-8 * size // 5), -(-4 * size // 3)}
+        if len(value) in lengths and padded in (len(value), 8 * -(-size // 5), 4 * -(-size // 3)):
+            found.append(("digest", m.start(), m.end()))
+    return found
+
+
 def spans(
     text: str, encode: Callable[[str], list[int]], most: float = MOST_CHARS_A_TOKEN
 ) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """The base spans, and all spans: with those of kind ``random``, which overlap no base span."""
     base = base_spans(text)
+    passed = sorted(base + named_digests(text), key=lambda s: s[1])
     more, at = [], 0
     for m in CANDIDATE.finditer(text):
-        while at < len(base) and base[at][2] <= m.start():
+        while at < len(passed) and passed[at][2] <= m.start():
             at += 1
-        for start, end in uncovered(m.start(), m.end(), base, at, text):
+        for start, end in uncovered(m.start(), m.end(), passed, at, text):
             for low, high in random_parts(text[start:end], encode, most):
                 more.append(("random", start + low, start + high))
     order = {kind: i for i, kind in enumerate((*KINDS, "random"))}
@@ -173,7 +196,8 @@ def find(
     exclusive), by start, then kind. The base patterns find assignments, access keys and long
     hexadecimal runs. What these leave of a run of 20 or more letters, digits and +/_=- is
     ``random`` besides if it has 20 characters or more, its tokens hold fewer than ``most``
-    characters each and it has not the form of a digest or an identifier. If it is not random as
+    characters each and it has not the form of a digest or an identifier; digests in base32 or
+    base64 are known by the name of their algorithm before them. If it is not random as
     a whole, so is each part of 20 or more between +/_=- and each window of 20 characters; windows
     are not tried in what has the form of names in parts or of one word. Letters in one case have a
     limit of ``ONE_CASE_SHARE`` of ``most``. Nulls and empty texts have no spans. Each row stands for
