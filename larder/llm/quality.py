@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+import math
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larder.llm.common import free_name, per_text, remainder
+from larder.operators.quantile import quantile_values
+from larder.sources.tables import materialize
 
 UPPER = np.zeros(256, bool)
 UPPER[65:91] = True
@@ -25,7 +29,8 @@ MARK = np.zeros(256, bool)
 MARK[33:128] = True
 MARK &= ~(UPPER | LOWER | DIGIT | STOP)
 FEATURES = 11
-MOST_LABELS = 6000  # labelled rows that are learned from, at most
+BLOCK = 4096  # labelled rows of one kind that a task pairs at once, about
+ROUNDS = 8  # pairs of each row of the more frequent kind
 FOLDS = 5
 CUT = 0.3
 
@@ -72,41 +77,65 @@ class Model(NamedTuple):
         return 1 / (1 + np.exp(-np.clip(log_odds, -30, 30)))
 
 
-def fit(x: np.ndarray, preferred: np.ndarray, rounds: int = 8, ridge: float = 1e-2) -> Model:
-    """Learn from pairs of a preferred and another row; needs rows of both kinds.
-
-    Each row of either kind is paired with ``rounds`` rows of the other, by fixed strides. The
-    loss is log(1 + exp(-w . difference)) plus a ridge, minimised by Newton's method.
-    """
-    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = np.clip((x - mean) / scale, -8, 8)
-    good, bad = z[preferred], z[~preferred]
+def _differences(good: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Each row of the longer side less, or from, ``ROUNDS`` rows of the other, by fixed strides."""
     most = max(len(good), len(bad))
-    first = np.tile(np.arange(most), rounds)
-    turn = np.repeat(np.arange(rounds), most)
+    first = np.tile(np.arange(most), ROUNDS)
+    turn = np.repeat(np.arange(ROUNDS), most)
     # The larger side is walked through; the smaller is shifted by another stride each round.
     walk = lambda part, shift: part[(first + shift * turn * 7919) % len(part)]
-    difference = walk(good, len(good) < len(bad)) - walk(bad, len(bad) <= len(good))
-    weights = np.zeros(z.shape[1])
+    return walk(good, len(good) < len(bad)) - walk(bad, len(bad) <= len(good))
+
+
+def _slopes(difference: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The number of pairs, and the sums of the loss's gradient and curvature over them."""
+    p = 1 / (1 + np.exp(np.clip(difference @ weights, -30, 30)))
+    curved = (difference * (p * (1 - p))[:, None]).T @ difference
+    return np.concatenate([[len(p)], -(difference.T @ p), curved.ravel()])
+
+
+def _newton(slopes: Callable[[np.ndarray], np.ndarray], ridge: float = 1e-2) -> np.ndarray:
+    """The weights of least loss, log(1 + exp(-w . difference)) plus a ridge."""
+    weights = np.zeros(FEATURES)
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(difference @ weights, -30, 30)))
-        gradient = ridge * weights - difference.T @ p / len(p)
-        curved = (difference * (p * (1 - p))[:, None]).T @ difference / len(p)
-        step = np.linalg.solve(curved + ridge * np.eye(len(weights)), gradient)
+        sums = slopes(weights)
+        means = sums[1:] / sums[0]
+        gradient = ridge * weights + means[:FEATURES]
+        curved = means[FEATURES:].reshape(FEATURES, FEATURES)
+        step = np.linalg.solve(curved + ridge * np.eye(FEATURES), gradient)
         weights = weights - step
         if np.abs(step).max() < 1e-8:
             break
+    return weights
+
+
+def _cut_rank(rows: int, rejected: int) -> int:
+    """How many of the ranked rows lie below the threshold."""
+    return min(max(rejected, 1), rows - 1)
+
+
+def fit(x: np.ndarray, preferred: np.ndarray) -> Model:
+    """Learn from pairs of a preferred and another row; needs rows of both kinds.
+
+    Each row of the more frequent kind is paired with ``ROUNDS`` rows of the other, by fixed
+    strides, and the loss is minimised by Newton's method. For one block of rows;
+    :func:`train` does the same over any number of blocks.
+    """
+    mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-3
+    z = np.clip((x - mean) / scale, -8, 8)
+    difference = _differences(z[preferred], z[~preferred])
+    weights = _newton(lambda w: _slopes(difference, w))
     ranked = np.sort(z @ weights)
-    share = (~preferred).mean()
-    at = min(max(int(round(share * len(ranked))), 1), len(ranked) - 1)
+    at = _cut_rank(len(ranked), int((~preferred).sum()))
     return Model(mean, scale, weights, float(ranked[at - 1 : at + 1].mean()))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int, text: str) -> DataFrame:
-    """Features and labels of the learning rows, at most ``most``, those of the least hashes.
+def labelled(docs: DataFrame, labels: DataFrame, text: str) -> DataFrame:
+    """Ids, labels and features of all learning rows.
 
     Rows of the held-out fold, without text, without label or with other labels than 0 and 1
-    are left out, and so are ids whose labels disagree.
+    are left out, and so are ids whose labels disagree. Features are taken before the join, so it
+    moves them and no texts.
     """
     fold = remainder(F.col("doc_id"), FOLDS)
     clear = (
@@ -117,9 +146,62 @@ def labelled(docs: DataFrame, labels: DataFrame, most: int, text: str) -> DataFr
         .filter("quality = other")
         .select("doc_id", "quality")
     )
-    known = clear.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select("doc_id", F.col(text).alias("text")).filter("text is not null")
-    return rows.join(F.broadcast(known), "doc_id").select("quality", _features(F.col("text")).alias("x"))
+    rows = docs.select("doc_id", F.col(text).alias("text")).filter((fold != 0) & F.col("text").isNotNull())
+    return rows.select("doc_id", _features(F.col("text")).alias("x")).join(clear, "doc_id")
+
+
+def _deal(rows: DataFrame) -> tuple[DataFrame, DataFrame, dict[int, int]] | None:
+    """Learning rows in blocks of about ``BLOCK``, pairs of blocks, and the rows of each kind.
+
+    Rows are dealt out by a hash, so a block is a random part of its kind whatever the order of
+    the rows. Each block of the more frequent kind meets one block of the other. None if
+    rows are not of both kinds.
+    """
+    found = rows.groupBy("quality").agg(
+        F.count("*").alias("n"), F.countDistinct("key").alias("keys")
+    )
+    counts = {row["quality"]: (row["n"], row["keys"]) for row in found.collect()}
+    if len(counts) < 2:
+        return None
+    often = int(counts[1][0] > counts[0][0])
+    many = math.ceil(counts[often][0] / BLOCK)
+    few = min(many, math.ceil(counts[1 - often][1] / BLOCK))  # by keys, so that none is empty
+    blocks = F.when(F.col("quality") == often, many).otherwise(few)
+    dealt = materialize(
+        rows.groupBy("quality", F.pmod("key", blocks).alias("block")).agg(
+            F.sort_array(F.collect_list("x")).alias("x")
+        ),
+        "blocks",
+    )
+    most = dealt.filter(F.col("quality") == often).select("block", F.col("x").alias("most"))
+    least = dealt.filter(F.col("quality") != often).select(F.col("block").alias("other"), F.col("x").alias("least"))
+    paired = most.join(least, F.pmod("block", F.lit(few)) == F.col("other")).select(
+        "block",
+        F.col("most" if often else "least").alias("good"),
+        F.col("least" if often else "most").alias("bad"),
+    )
+    return dealt, materialize(paired, "pairs"), {k: n for k, (n, _) in counts.items()}
+
+
+def _sums(blocks: DataFrame, order: Sequence[str], *columns: str, of: Callable[..., np.ndarray]) -> np.ndarray:
+    """The sum of what ``of`` gives for each block's arrays, added up in a fixed order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = [of(*arrays).tolist() for arrays in _arrays(batch, columns)]
+            kept = [batch.column(c).cast(pa.int64()) for c in order]
+            found = pa.array(sums, pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*kept, found], names=[*order, "sums"])
+
+    kinds = ", ".join(f"{c} long" for c in order)
+    found = blocks.select(*order, *columns).mapInArrow(run, f"{kinds}, sums array<double>").collect()
+    return np.sum([row["sums"] for row in sorted(found)], axis=0)
+
+
+def _arrays(batch: pa.RecordBatch, columns: Sequence[str]) -> Iterator[list[np.ndarray]]:
+    for i in range(batch.num_rows):
+        values = (batch.column(c)[i].values.flatten() for c in columns)
+        yield [v.to_numpy(zero_copy_only=False).reshape(-1, FEATURES) for v in values]
 
 
 def _features(text: Column) -> Column:
@@ -129,15 +211,41 @@ def _features(text: Column) -> Column:
     return per_text(compute, "x array<double>")(text)["x"]
 
 
-def train(
-    docs: DataFrame, labels: DataFrame, most: int = MOST_LABELS, text: str = "text"
-) -> Model | None:
-    """A model from at most ``most`` labelled ids, or None if they are not of both kinds."""
-    rows = labelled(docs, labels, most, text).limit(4 * most).collect()
-    rows.sort(key=lambda row: (row.quality, row.x))  # the same model however rows arrive
-    x = np.array([row.x for row in rows], float).reshape(-1, FEATURES)
-    preferred = np.array([row.quality == 1 for row in rows], bool)
-    return fit(x, preferred) if 0 < preferred.sum() < len(preferred) else None
+def train(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model | None:
+    """A model from all labelled rows, or None if they are not of both kinds.
+
+    The method of :func:`fit`, with each block's pairs added up in a task of its own: the driver
+    gets sums, of which there are as many for a block as for a row's square. The threshold is the
+    exact quantile of all learned rows. The model is the same however rows arrive.
+    """
+    learned = labelled(docs, labels, text).withColumn("key", F.xxhash64("doc_id", "x"))
+    dealt = _deal(materialize(learned, "labelled"))
+    if dealt is None:
+        return None
+    blocks, pairs, counts = dealt
+    n, each = sum(counts.values()), ("quality", "block")
+    mean = _sums(blocks, each, "x", of=lambda x: x.sum(axis=0)) / n
+    scale = np.sqrt(_sums(blocks, each, "x", of=lambda x: ((x - mean) ** 2).sum(axis=0)) / n) + 1e-3
+
+    def scaled(x: np.ndarray) -> np.ndarray:
+        return np.clip((x - mean) / scale, -8, 8)
+
+    weights = _newton(
+        lambda w: _sums(
+            pairs, ["block"], "good", "bad",
+            of=lambda good, bad: _slopes(_differences(scaled(good), scaled(bad)), w),
+        )
+    )
+
+    def preferences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for (x,) in _arrays(batch, ["x"]):
+                yield pa.RecordBatch.from_arrays([pa.array(scaled(x) @ weights)], names=["v"])
+
+    ranked = materialize(blocks.select("x").mapInArrow(preferences, "v double"), "preferences")
+    middle = (_cut_rank(n, counts[0]) - 0.5) / (n - 1)  # between the two rows around the cut
+    threshold = quantile_values(ranked, "v", [middle])[0]
+    return Model(mean, scale, weights, threshold)
 
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> Column:

@@ -71,3 +71,33 @@ def test_features_of_long_and_odd_texts():
     for text in ("", " ", "\n\n", "é" * 10, "a" * 10**6, "|" * 50, "\0"):
         values = q.features(text.encode())
         assert len(values) == q.FEATURES and np.isfinite(values).all()
+
+
+def test_every_labelled_row_is_learned_from(spark, documents, labels, monkeypatch):
+    """Over several blocks: moments and threshold are those of all rows, and all rows are paired."""
+    rows = q.labelled(documents, labels, "text").collect()
+    x, preferred = np.array([r.x for r in rows]), np.array([r.quality == 1 for r in rows])
+    whole = q.fit(x, preferred)
+    monkeypatch.setattr(q, "BLOCK", 16)
+    model = q.train(documents, labels)
+    assert model.mean == pytest.approx(x.mean(axis=0)) and model.scale == pytest.approx(x.std(axis=0) + 1e-3)
+    assert ((model.score(x) >= q.CUT) == preferred).mean() > 0.95
+    assert abs((model.score(x) >= q.CUT).mean() - preferred.mean()) < 1.5 / len(x)
+    assert np.corrcoef(model.preference(x), whole.preference(x))[0, 1] > 0.98
+    _, pairs, counts = q._deal(q.labelled(documents, labels, "text").withColumn("key", F.xxhash64("doc_id", "x")))
+    often = "good" if counts[1] > counts[0] else "bad"
+    assert pairs.count() > 3
+    assert pairs.agg(F.sum(F.size(often))).first()[0] == max(counts.values())
+
+
+def test_no_label_is_left_out_beyond_a_number(spark):
+    """10,000 labelled rows, of which the last by any order of hashes still count."""
+    ids = spark.range(10_000).withColumnRenamed("id", "doc_id")
+    text = F.concat(F.lit("word "), F.repeat(F.lit("| "), (F.col("doc_id") % 97).cast("int")))
+    docs = ids.withColumn("text", text)
+    marks = ids.withColumn("quality", (F.col("doc_id") % 97 < 30).cast("int"))
+    learned = q.labelled(docs, marks, "text").count()
+    assert learned == sum(zlib.crc32(str(i).encode()) % q.FOLDS != 0 for i in range(10_000)) > 6000
+    model = q.train(docs, marks)
+    x = np.array([q.features(("word " + "| " * (i % 97)).encode()) for i in range(10_000) if zlib.crc32(str(i).encode()) % q.FOLDS])
+    assert model.mean == pytest.approx(x.mean(axis=0))
