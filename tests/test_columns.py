@@ -43,3 +43,17 @@ def test_normal_quantile_of_a_column(spark):
 def test_normal_quantile_of_a_level(spark):
     z = spark.range(1).select(C.normal_quantile(0.95).alias("z")).first().z
     assert z == pytest.approx(1.6448536, abs=1e-7)
+
+
+def test_round_half_up_equals_round(spark):
+    near = [k / 8 for k in range(-40, 41)] + [i + 0.00005 for i in range(-300, 300)] + [k / 1e5 + 5e-6 for k in range(300)]
+    odd = [0.0, -0.0, 1e-12, -1e-12, 1.00005, 2.5e15, 1e300, 123456.78905, float("nan"), float("inf"), float("-inf"), None]
+    df = spark.createDataFrame([(v,) for v in near + odd], "v double")
+    for digits in (1, 2, 4, 6):
+        found, wanted = C.round_half_up(F.col("v"), digits) + 0.0, F.round("v", digits) + 0.0
+        assert df.filter(~found.eqNullSafe(wanted)).isEmpty()
+
+
+def test_large_generated_methods_are_split(spark):
+    C.keep_compiled(spark)
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= C.COMPILED_BYTES

@@ -2,7 +2,7 @@ import math
 from datetime import date
 
 import pytest
-from conftest import SF
+from conftest import SF, plan_of
 from helpers import series
 from pyspark.sql import functions as F
 
@@ -166,3 +166,27 @@ def test_dictionary(spark):
     kinds = {r.feature_name: r.data_type for r in dictionary.collect()}
     assert kinds["season"] == "Categorical" and kinds["season_num"] == "Numeric"
     assert len(P.REFERENCE_FEATURES) == 33 and len(P.SAFE_FEATURES) == 30
+
+
+def test_order_statistics_of_frames_come_from_one_sort(spark):
+    """As by the aggregates, with gaps, ties and short frames; and without a sketch per row."""
+    value = F.when(F.col("id") % 7 != 3, ((F.col("id") * 37) % 11 - 5) / 8.0)
+    df = spark.range(300).select(
+        (F.col("id") % 4).cast("int").alias("Store"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 2).cast("int")).alias("Date"),
+        value.alias("Sales"),
+        F.lit(3).alias("Customers"),
+        F.lit(1).alias("Promo"),
+    )
+    for calendar in (False, True):
+        found = features.add_rolling_features(df, calendar)
+        window = features.preceding(30, calendar)
+        wanted = {
+            "min": F.min("Sales").over(window),
+            "max": F.max("Sales").over(window),
+            "median": F.percentile_approx("Sales", 0.5).over(window),
+        }
+        both = found.withColumns({f"wanted_{k}": c for k, c in wanted.items()})
+        for stat in wanted:
+            assert both.filter(~F.col(f"rolling_{stat}_30").eqNullSafe(F.col(f"wanted_{stat}"))).isEmpty()
+        assert "percentile_approx" not in plan_of(found)
