@@ -7,6 +7,7 @@ from helpers import raw_rows
 from pyspark.sql import functions as F
 
 from larder import params as P
+from larder.checks import spark_queries
 from larder.operators import ingest
 from larder.sources import files, panel, tables
 
@@ -251,3 +252,36 @@ def test_release_removes_later_steps_only(spark):
     assert tables.release(spark, keep=before) == 1
     assert not os.path.exists(folder) and first.count() == 3
     assert tables.steps(spark) == before
+
+
+def test_many_order_lines_are_dealt_out_in_tasks_of_a_bounded_size(spark, tmp_path, monkeypatch):
+    lines = spark.range(5000).select(
+        (F.col("id") % 9).alias("l_suppkey"),
+        F.timestamp_seconds(F.col("id") * 7000).alias("l_shipdate"),
+        (F.col("id") % 13 + 0.5).alias("l_extendedprice"),
+        (F.col("id") % 5).cast("double").alias("l_quantity"),
+        F.lit(0.05).alias("l_discount"),
+    )
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    few = panel.store_days(spark, str(tmp_path)).collect()
+    monkeypatch.setattr(panel, "MANY_LINES", 1000)
+    monkeypatch.setattr(panel, "LINES_A_TASK", 500)
+    assert panel.tasks(spark, str(tmp_path)) == 10
+    many = panel.store_days(spark, str(tmp_path))
+    assert many.rdd.getNumPartitions() == 10  # not put together again
+    assert sorted(many.collect()) == sorted(few)
+
+
+def test_buckets_follow_the_number_of_tasks(spark, monkeypatch):
+    monkeypatch.setattr(panel, "MANY_LINES", 1000)
+    monkeypatch.setattr(panel, "LINES_A_TASK", 500)
+    written = []
+    save = spark_queries.saved
+    monkeypatch.setattr(
+        spark_queries, "saved", lambda df, name, **layout: written.append(layout["bucket_by"][0]) or save(df, name, **layout)
+    )
+    rows = spark_queries.enrich_predictions_bucketed(spark, SF)
+    assert written == [panel.tasks(spark, SF)] * 2 and written[0] > 4
+    spark_queries.forget()
+    monkeypatch.undo()
+    assert sorted(rows.collect()) == sorted(spark_queries.enrich_predictions(spark, SF).select(*rows.columns).collect())
