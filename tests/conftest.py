@@ -27,6 +27,14 @@ def spark(tmp_path_factory):
     session.stop()
 
 
+@pytest.fixture(scope="module", autouse=True)
+def nothing_kept():
+    """Each module makes anew what queries of a session share, whatever ran before it."""
+    from larder.checks import spark_queries
+
+    spark_queries.forget()
+
+
 def plan_of(df, initial=True):
     """The physical plan as text."""
     return df._jdf.queryExecution().executedPlan().toString()
